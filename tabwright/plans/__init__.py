@@ -1,4 +1,4 @@
 """Named queries over the driver tables, each with its DuckDB oracle when one exists."""
 
-from . import chat_queries, induce_queries  # noqa: F401  (registers queries)
+from . import chat_queries, induce_queries, message_queries  # noqa: F401  (registers queries)
 from .registry import ORACLES, QUERIES, table  # noqa: F401
