@@ -1 +1,3 @@
-"""streaming"""
+"""Incremental (streaming) runs."""
+
+from .incremental import run_incremental  # noqa: F401
