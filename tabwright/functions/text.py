@@ -22,17 +22,24 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Characters Python's ``str.isspace()`` accepts (what ``str.strip()`` removes).
+PY_WHITESPACE = ("\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(x) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Python ``str.strip()``: a character-set trim (no regex) of Unicode whitespace."""
+    return F.btrim(_c(x), F.lit(PY_WHITESPACE))
 
 
 def py_lines(x) -> Column:
-    """Python ``str.splitlines()`` as an array (one trailing empty piece dropped)."""
-    parts = F.split(_c(x), LINE_BREAK_RE, -1)
-    return F.when(_c(x).isNull(), F.array().cast("array<string>")).otherwise(
-        F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1))
-        .otherwise(parts))
+    """Python ``str.splitlines()`` as an array: one final line break is dropped
+    before splitting, so each regex runs once."""
+    c = _c(x)
+    body = F.regexp_replace(c, "(?:" + LINE_BREAK_RE + r")\z", "")
+    return (F.when(c.isNull() | (c == ""), F.array().cast("array<string>"))
+            .otherwise(F.split(body, LINE_BREAK_RE, -1)))
 
 
 # F1 ------------------------------------------------------------------------

@@ -29,38 +29,44 @@ def _first_index(arr: Column, pred) -> Column:
 
 
 # X1 ---------------------------------------------------------------------------------
-def atomic_statements(raw) -> Column:
-    """Statements after ``### Atomic Statements:`` up to a ``***`` or
+# Both parsers stage their intermediate arrays as columns: higher-order
+# functions are evaluated per element without common-subexpression
+# elimination, so an array used twice must be computed once, in its own
+# projection (Catalyst keeps such projections apart).
+def with_atomic_statements(df: DataFrame, raw_col: str, out_col: str = "atomic_statements") -> DataFrame:
+    """Statements after ``### Atomic Statements:`` up to a ``***`` or
     ``<REASONING STEPS>`` line; without the marker, every non-blank line."""
-    raw = _c(raw)
-    has = F.instr(raw, K.ATOMIC_MARKER) > 0
+    raw = F.col(raw_col)
     pos = F.instr(raw, K.ATOMIC_MARKER)
     tail = raw.substr(pos + F.lit(len(K.ATOMIC_MARKER)), F.lit(BIG))
-    lines = F.transform(T.py_lines(tail), T.py_strip)
-    stop = _first_index(lines, lambda x: F.startswith(x, F.lit(K.ATOMIC_STOP_PREFIXES[0]))
+    df = df.withColumn("_x1_has", F.coalesce(pos > 0, F.lit(False)))
+    df = df.withColumn("_x1_lines", F.transform(T.py_lines(F.when(F.col("_x1_has"), tail).otherwise(raw)),
+                                                T.py_strip))
+    stop = _first_index(F.col("_x1_lines"), lambda x: F.startswith(x, F.lit(K.ATOMIC_STOP_PREFIXES[0]))
                         | F.startswith(x, F.lit(K.ATOMIC_STOP_PREFIXES[1])))
-    sect = F.slice(lines, 1, F.least(stop, F.size(lines)))
-    marked = F.filter(sect, lambda x: x != "")
-    plain = F.filter(F.transform(T.py_lines(raw), T.py_strip), lambda x: x != "")
-    return F.when(has, marked).otherwise(plain)
+    df = df.withColumn("_x1_stop", F.when(F.col("_x1_has"), stop).otherwise(F.lit(BIG)))
+    out = F.filter(F.slice("_x1_lines", 1, F.least(F.col("_x1_stop"), F.size("_x1_lines"))), lambda x: x != "")
+    return df.withColumn(out_col, out).drop("_x1_has", "_x1_lines", "_x1_stop")
 
 
 # X2 ---------------------------------------------------------------------------------
-def numbered_statements(text) -> Column:
-    """Numbered lines of the ``Statements:`` section, which ends at a blank
+def with_numbered_statements(df: DataFrame, text_col: str, out_col: str = "statements") -> DataFrame:
+    """Numbered lines of the ``Statements:`` section, which ends at a blank
     line or ``Rows:``; unnumbered or indented lines are skipped."""
-    lines = T.py_lines(_c(text))
-    hdr = _first_index(lines, lambda x: F.startswith(T.py_strip(x), F.lit(K.STATEMENTS_HEADER)))
-    after = F.slice(lines, F.least(hdr + 2, F.size(lines) + 1), BIG)
-    stop = _first_index(after, lambda x: (T.py_strip(x) == "") | F.startswith(T.py_strip(x), F.lit(K.ROWS_HEADER)))
-    sect = F.slice(after, 1, F.least(stop, F.size(after)))
-    sect = F.filter(sect, lambda x: ~F.startswith(T.py_strip(x), F.lit(K.STATEMENTS_HEADER)))
-    pat = r"(?dU)^\d+\.\s*(.*)"
-    picked = F.transform(F.filter(sect, lambda x: x.rlike(r"(?dU)^\d+\.")),
-                         lambda x: T.py_strip(F.regexp_extract(x, pat, 1)))
-    out = F.filter(picked, lambda x: x != "")
-    return F.when(_c(text).isNull() | (_c(text) == ""), F.array().cast("array<string>")).otherwise(
-        F.when(hdr == BIG, F.array().cast("array<string>")).otherwise(out))
+    df = df.withColumn("_x2_l", T.py_lines(F.col(text_col)))
+    df = df.withColumn("_x2_s", F.transform("_x2_l", T.py_strip))
+    df = df.withColumn("_x2_h", _first_index(F.col("_x2_s"), lambda x: F.startswith(x, F.lit(K.STATEMENTS_HEADER))))
+    stop = F.array_min(F.transform("_x2_s", lambda x, i: F.when(
+        (i > F.col("_x2_h")) & ((x == "") | F.startswith(x, F.lit(K.ROWS_HEADER))), i).otherwise(F.lit(BIG))))
+    df = df.withColumn("_x2_stop", stop)
+
+    def pick(x, i):
+        inside = (i > F.col("_x2_h")) & (i < F.col("_x2_stop")) \
+            & ~F.startswith(F.col("_x2_s")[i], F.lit(K.STATEMENTS_HEADER)) & x.rlike(r"(?dU)^\d+\.")
+        return F.when(inside, T.py_strip(F.regexp_extract(x, r"(?dU)^\d+\.\s*(.*)", 1)))
+
+    out = F.filter(F.transform("_x2_l", pick), lambda x: x.isNotNull() & (x != ""))
+    return df.withColumn(out_col, out).drop("_x2_l", "_x2_s", "_x2_h", "_x2_stop")
 
 
 def statements_relation(df: DataFrame, key_cols: list[str], arr: Column) -> DataFrame:

@@ -75,7 +75,7 @@ def run_chain(records: DataFrame, key: str, text_col: str, statement_fn, schema_
     # stage 1: statements
     s1 = records.withColumn("_prompt", messages.statement_prompt(F.col(text_col)))
     s1 = call_model(s1, "_prompt", statement_fn, "raw_output", batch_size).drop("_prompt")
-    s1 = s1.withColumn("atomic_statements", extract.atomic_statements("raw_output"))
+    s1 = extract.with_atomic_statements(s1, "raw_output", "atomic_statements")
     st1 = materialize(lambda: s1, spark, f"{workdir}/statements")
     # stage 2: schema
     s2 = st1.withColumn("_prompt", messages.schema_prompt(F.col("atomic_statements")))

@@ -33,7 +33,7 @@ SELECT doc_id, len(st)::BIGINT AS n_statements, md5(array_to_string(st, chr(10))
 def statements_round_trip(spark, sf_dir):
     d = _doc_statements(spark, sf_dir)
     raw = F.concat(F.lit("Table:\n|x|\n\nStatements:\n"), T.number_lines("st"), F.lit("\n\nRows:\n1. |x|"))
-    got = d.select("doc_id", extract.numbered_statements(raw).alias("got"))
+    got = extract.with_numbered_statements(d.select("doc_id", raw.alias("raw")), "raw", "got")
     return got.select("doc_id", F.size("got").cast("bigint").alias("n_statements"),
                       F.md5(F.array_join("got", "\n")).alias("statements_md5"))
 
@@ -50,7 +50,7 @@ def atomic_marker_round_trip(spark, sf_dir):
     d = _doc_statements(spark, sf_dir)
     raw = F.concat(F.lit("<REASONING STEPS>\nread the text\n\n" + K.ATOMIC_MARKER + "\n"),
                    F.array_join("st", "\n"), F.lit("\n***\nend"))
-    got = d.select("doc_id", extract.atomic_statements(raw).alias("got"))
+    got = extract.with_atomic_statements(d.select("doc_id", raw.alias("raw")), "raw", "got")
     return got.select("doc_id", F.size("got").cast("bigint").alias("n_statements"),
                       F.md5(F.array_join("got", "\n")).alias("statements_md5"))
 

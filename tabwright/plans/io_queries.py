@@ -143,9 +143,9 @@ def model_call_stub(spark, sf_dir):
     """Prompts (M9) through a stand-in model that lists the text's lines."""
     d = table(spark, sf_dir, "documents").select("doc_id", messages.statement_prompt(F.col("text")).alias("prompt"))
     out = MD.call_model(d, "prompt", MD.echo_statements, "raw_output")
-    st = extract.atomic_statements("raw_output")
-    return out.select("doc_id", F.size(st).cast("bigint").alias("n_statements"),
-                      F.md5(F.array_join(st, "\n")).alias("statements_md5"))
+    out = extract.with_atomic_statements(out, "raw_output", "st")
+    return out.select("doc_id", F.size("st").cast("bigint").alias("n_statements"),
+                      F.md5(F.array_join("st", "\n")).alias("statements_md5"))
 
 
 # G3 ----------------------------------------------------------------------------------------------
@@ -183,7 +183,7 @@ def streaming_append(spark, sf_dir):
     def transform(src):
         p = src.select("doc_id", messages.statement_prompt(F.col("text")).alias("prompt"))
         out = MD.call_model(p, "prompt", MD.echo_statements, "raw_output")
-        return out.select("doc_id", extract.atomic_statements("raw_output").alias("statements"))
+        return extract.with_atomic_statements(out, "raw_output", "statements").select("doc_id", "statements")
 
     res = run_incremental(spark, f"{root}/in", d.schema, transform, f"{root}/out", f"{root}/ckpt",
                           max_files_per_trigger=4)
