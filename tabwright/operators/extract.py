@@ -92,42 +92,59 @@ def parse_schema_outputs(df: DataFrame, key: str, raw_col: str) -> tuple[DataFra
 
 
 # X4 ---------------------------------------------------------------------------------
-def parse_markdown_tables(df: DataFrame, key: str, raw_col: str) -> tuple[DataFrame, DataFrame]:
-    """Named tables under ``### Final Output Tables``.
+def parse_markdown_tables_long(df: DataFrame, key: str, raw_col: str) -> DataFrame:
+    """Named tables under ``### Final Output Tables``, one row per table line.
 
-    Returns ``(tables, rows)``: ``tables(key, table_pos, table_name, headers)``
-    and ``rows(key, table_name, row_pos, cells ARRAY<cell>)`` with F6 cells.
+    Returns ``(key, table_pos, table_name, kind, row_pos, headers, cells)``:
+    ``kind`` is ``header`` (with ``headers``) or ``row`` (with ``row_pos``
+    and F6 ``cells``).
     A later section with the same name replaces the earlier one but keeps
     its position; blank cells are dropped before alignment.
+
+    Lines are exploded once; every later step is a window partitioned by
+    the record (or by record plus section / name, which the record
+    partitioning already satisfies), so the whole parse costs one shuffle
+    and no record is gathered into a single row.
     """
     lines = df.select(key, F.posexplode(T.py_lines(F.col(raw_col))).alias("pos", "line"))
     s = lines.withColumn("line", T.py_strip("line"))
-    start = s.filter(F.startswith("line", F.lit(K.FINAL_TABLES_MARKER))).groupBy(key).agg(F.min("pos").alias("start"))
-    body = s.join(start, key).filter(F.col("pos") > F.col("start"))
+    by_rec = Window.partitionBy(key)
+    s = s.withColumn("start", F.min(F.when(F.startswith("line", F.lit(K.FINAL_TABLES_MARKER)), F.col("pos"))).over(by_rec))
+    body = s.filter(F.col("pos") > F.col("start"))
     body = body.withColumn("is_hdr", F.startswith("line", F.lit("### ")))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("section", F.sum(F.col("is_hdr").cast("int")).over(w))
-    names = body.filter("is_hdr").select(key, "section", T.py_strip(F.regexp_replace("line", "^#+", "")).alias("name"))
-    cells = body.filter(~F.col("is_hdr") & F.col("line").contains("|")).select(
-        key, "section", "pos",
-        F.filter(F.transform(F.split("line", r"\|", -1), T.py_strip), lambda x: x != "").alias("cells"))
-    cells = cells.filter(F.size("cells") > 0)
-    firsts = cells.groupBy(key, "section").agg(F.min("pos").alias("hpos"))
-    cells = cells.join(firsts, [key, "section"])
-    hdrs = cells.filter(F.col("pos") == F.col("hpos")).select(key, "section", F.col("cells").alias("headers"))
-    named = names.filter(F.col("name") != "").join(hdrs, [key, "section"])
-    # dict semantics: the last section of a name wins, the first fixes the position
-    pick = named.groupBy(key, "name").agg(F.max("section").alias("last"), F.min("section").alias("first"))
-    tables = named.join(pick, [key, "name"]).filter(F.col("section") == F.col("last"))
-    wr = Window.partitionBy(key).orderBy("first")
-    tables = tables.select(key, (F.row_number().over(wr) - 1).alias("table_pos"), F.col("name").alias("table_name"),
-                           "headers", "section")
-    rows = cells.filter(F.col("pos") > F.col("hpos")).join(
-        tables.select(key, "section", "table_name"), [key, "section"])
-    wrow = Window.partitionBy(key, "section").orderBy("pos")
-    rows = rows.select(key, "table_name", (F.row_number().over(wrow) - 1).alias("row_pos"),
-                       F.transform("cells", T.convert_cell).alias("cells"))
-    return tables.drop("section"), rows
+    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumn("section", F.sum(F.col("is_hdr").cast("int")).over(run))
+    cells = F.filter(F.transform(F.split("line", r"\|", -1), T.py_strip), lambda x: x != "")
+    body = body.withColumn("cells", F.when(~F.col("is_hdr") & F.col("line").contains("|"), cells))
+    body = body.withColumn("has_cells", F.coalesce(F.size("cells") > 0, F.lit(False)))
+    by_sec = Window.partitionBy(key, "section")
+    body = (body.withColumn("hpos", F.min(F.when(F.col("has_cells"), F.col("pos"))).over(by_sec))
+            .withColumn("name", F.max(F.when(F.col("is_hdr"), T.py_strip(F.regexp_replace("line", "^#+", "")))).over(by_sec)))
+    # a section counts when it has a non-empty name and a header line
+    valid = body.filter((F.col("section") > 0) & (F.col("name") != "") & F.col("hpos").isNotNull() & F.col("has_cells"))
+    by_name = Window.partitionBy(key, "name")
+    valid = (valid.withColumn("last", F.max("section").over(by_name))
+             .withColumn("first", F.min("section").over(by_name)))
+    kept = valid.filter(F.col("section") == F.col("last"))
+    kept = kept.withColumn("table_pos", F.dense_rank().over(Window.partitionBy(key).orderBy("first")) - 1)
+    kept = kept.withColumn("row_pos", F.row_number().over(Window.partitionBy(key, "section").orderBy("pos")) - 2)
+    is_head = F.col("pos") == F.col("hpos")
+    return kept.select(key, "table_pos", F.col("name").alias("table_name"),
+                       F.when(is_head, F.lit("header")).otherwise(F.lit("row")).alias("kind"),
+                       F.when(~is_head, F.col("row_pos")).alias("row_pos"),
+                       F.when(is_head, F.col("cells")).alias("headers"),
+                       F.when(~is_head, F.transform("cells", T.convert_cell)).alias("cells"))
+
+
+def parse_markdown_tables(df: DataFrame, key: str, raw_col: str) -> tuple[DataFrame, DataFrame]:
+    """X4 as two relations: ``tables(key, table_pos, table_name, headers)`` and
+    ``rows(key, table_name, row_pos, cells)``.  Both are filters of
+    :func:`parse_markdown_tables_long`; a consumer that needs both in one
+    result should aggregate the long form instead, which parses once."""
+    p = parse_markdown_tables_long(df, key, raw_col)
+    tables = p.filter(F.col("kind") == "header").select(key, "table_pos", "table_name", "headers")
+    rows = p.filter(F.col("kind") == "row").select(key, "table_name", "row_pos", "cells")
+    return tables, rows
 
 
 # X5 / X7 ------------------------------------------------------------------------------

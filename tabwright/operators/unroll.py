@@ -2,9 +2,10 @@
 
 Deterministic re-aim of what the original asks a model to do: a table is
 unrolled through its key column (A10 per table) into one sentence per
-non-missing, non-key cell.  Tables are long-form cells, so key detection is
-an aggregation per (table, column, value) and sentence building is a narrow
-projection; nothing gathers a table into one row.
+non-missing, non-key cell.  Key detection is an aggregation per (table,
+column, value) over exploded cells and sentence building is a projection of
+the rows joined to one key row per table; nothing gathers a table into one
+row, and a huge table is split by value rather than held by one task.
 """
 
 from __future__ import annotations
@@ -29,34 +30,37 @@ def table_keys(cells: DataFrame, table_cols: list[str], na_token: str = "") -> D
     return per_col.groupBy(*table_cols).agg(F.min(F.when(ok, F.col("col_pos"))).alias("key_pos"))
 
 
-def unroll_cells(cells: DataFrame, table_cols: list[str], na_token: str = "") -> DataFrame:
+def unroll_rows(rows: DataFrame, table_cols: list[str], headers_col: str = "headers",
+                values_col: str = "values", row_pos_col: str = "row_pos", na_token: str = "") -> DataFrame:
     """``The <column> of <key value> is <value>.`` per non-key, non-missing cell.
 
-    Without a key column the subject is ``row <n>`` (1-based).  Returns
-    ``(table..., row_pos, col_pos, statement)``; row-major order is
-    ``(row_pos, col_pos)``.
+    ``rows``: one row per table row with its ``headers`` and text ``values``
+    (a short row leaves the rest missing).  Without a key column the
+    subject is ``row <n>`` (1-based).  Returns ``(table..., row_pos,
+    col_pos, statement)``; row-major order is ``(row_pos, col_pos)``.
+
+    Key detection aggregates exploded cells (partial aggregation splits a
+    huge table by value); the per-table key relation is then joined back to
+    the rows, so the key value is an array lookup, not a cell self-join.
     """
+    cells = rows.select(*table_cols, values_col, F.posexplode(headers_col).alias("col_pos", "column"))
+    cells = cells.select(*table_cols, "col_pos",
+                         F.element_at(F.col(values_col), (F.col("col_pos") + 1).cast("int")).alias("value"))
     keys = table_keys(cells, table_cols, na_token)
-    c = cells.join(keys, table_cols, "left")
-    kv = c.filter(F.col("col_pos") == F.col("key_pos")).select(
-        *table_cols, "row_pos", T.py_strip("value").alias("key_value"))
-    body = c.filter(F.col("key_pos").isNull() | (F.col("col_pos") != F.col("key_pos")))
-    body = body.filter(~T.is_missing(F.col("value"), na_token))
-    body = body.join(kv, table_cols + ["row_pos"], "left")
+    r = rows.join(keys, table_cols, "left")
+    key_value = F.when(F.col("key_pos").isNotNull(),
+                       T.py_strip(F.element_at(F.col(values_col), (F.col("key_pos") + 1).cast("int"))))
+    r = r.select(*table_cols, F.col(row_pos_col).alias("row_pos"), "key_pos", key_value.alias("key_value"),
+                 values_col, F.posexplode(headers_col).alias("col_pos", "column"))
+    r = r.withColumn("value", F.element_at(F.col(values_col), (F.col("col_pos") + 1).cast("int")))
+    body = r.filter((F.col("key_pos").isNull() | (F.col("col_pos") != F.col("key_pos")))
+                    & ~T.is_missing(F.col("value"), na_token))
     subject = F.coalesce(F.col("key_value"), F.concat(F.lit("row "), (F.col("row_pos") + 1).cast("string")))
     stmt = F.concat(F.lit("The "), F.col("column"), F.lit(" of "), subject, F.lit(" is "),
                     T.py_strip("value"), F.lit("."))
     return body.select(*table_cols, "row_pos", "col_pos", stmt.alias("statement"))
 
 
-def cells_from_rows(rows: DataFrame, table_cols: list[str], headers_col: str = "headers",
-                    row_col: str = "row", row_pos_col: str = "row_pos") -> DataFrame:
-    """Long-form cells from rows of text values aligned to headers (short rows padded as missing)."""
-    x = rows.select(*table_cols, row_pos_col, F.posexplode(headers_col).alias("col_pos", "column"), row_col)
-    return x.select(*table_cols, F.col(row_pos_col).alias("row_pos"), "col_pos", "column",
-                    F.element_at(F.col(row_col), (F.col("col_pos") + 1).cast("int")).alias("value"))
-
-
 def unroll_named_tables(tables: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """Each named table unrolled into its own category.
 
@@ -68,9 +72,8 @@ def unroll_named_tables(tables: DataFrame, rows: DataFrame, key: str = "id") ->
     r = rows.join(usable.select(key, "table_name", "headers"), [key, "table_name"])
     r = r.select(key, "table_name", "row_pos", "headers",
                  F.transform("cells", lambda c: F.when(c.isNull(), F.lit(None).cast("string"))
-                             .otherwise(T.cell_text(c))).alias("row"))
-    cells = cells_from_rows(r, [key, "table_name"])
-    out = unroll_cells(cells, [key, "table_name"])
+                             .otherwise(T.cell_text(c))).alias("values"))
+    out = unroll_rows(r, [key, "table_name"])
     return out.select(key, "table_name", T.safe_table_name("table_name").alias("category"),
                       T.category_display_name(T.safe_table_name("table_name")).alias("display_name"),
                       "row_pos", "col_pos", "statement")

@@ -92,22 +92,19 @@ SELECT l_orderkey, 1, 'Lines', '{",".join(LINE_COLS)}', count(*)::BIGINT,
 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey
 """)
 def tables_round_trip(spark, sf_dir):
-    tables, rows = extract.parse_markdown_tables(_rendered_tables(spark, sf_dir), "id", "raw")
-    per = rows.select(
-        "id", "table_name", "row_pos",
-        F.array_join(F.transform("cells", T.cell_text), "|").alias("line"),
-        F.size(F.filter("cells", lambda c: c["kind"] == "int")).alias("n_int"))
-    agg = per.groupBy("id", "table_name").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-        F.sum("n_int").cast("bigint").alias("n_int_cells"),
-        F.sort_array(F.collect_list(F.struct("row_pos", "line"))).alias("ls"))
-    agg = agg.select("id", "table_name", "n_rows", "n_int_cells",
-                     F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body"))
-    return tables.join(agg, ["id", "table_name"], "left").select(
-        "id", F.col("table_pos").cast("bigint").alias("table_pos"), "table_name",
-        F.array_join("headers", ",").alias("headers"),
-        F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
-        F.coalesce("n_int_cells", F.lit(0)).cast("bigint").alias("n_int_cells"), "body")
+    p = extract.parse_markdown_tables_long(_rendered_tables(spark, sf_dir), "id", "raw")
+    is_row = F.col("kind") == "row"
+    line = F.array_join(F.transform("cells", T.cell_text), "|")
+    n_int = F.size(F.filter("cells", lambda c: c["kind"] == "int"))
+    agg = p.groupBy("id", "table_name").agg(
+        F.max("table_pos").cast("bigint").alias("table_pos"),
+        F.max("headers").alias("headers"),
+        F.count(F.when(is_row, 1)).cast("bigint").alias("n_rows"),
+        F.coalesce(F.sum(F.when(is_row, n_int)), F.lit(0)).cast("bigint").alias("n_int_cells"),
+        F.sort_array(F.collect_list(F.when(is_row, F.struct("row_pos", line.alias("line"))))).alias("ls"))
+    return agg.select("id", "table_pos", "table_name", F.array_join("headers", ",").alias("headers"),
+                      "n_rows", "n_int_cells",
+                      F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body"))
 
 
 # M7 M8 X5 X6 X7 -------------------------------------------------------------------------

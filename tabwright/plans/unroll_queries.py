@@ -42,11 +42,10 @@ CUSTOMER_COLS = ["c_mktsegment", "c_name", "c_acctbal", "c_custkey"]
 def unroll_customer(spark, sf_dir):
     """Customers of each nation form one table; unrolled through its key column."""
     c = table(spark, sf_dir, "customer")
-    arr = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(n).alias("column"), F.col(n).cast("string").alias("value"))
-                    for i, n in enumerate(CUSTOMER_COLS)])
-    cells = c.select(F.col("c_nationkey").alias("table_id"), F.col("c_custkey").alias("row_pos"),
-                     F.explode(arr).alias("x")).select("table_id", "row_pos", "x.*")
-    return unroll.unroll_cells(cells, ["table_id"])
+    rows = c.select(F.col("c_nationkey").alias("table_id"), F.col("c_custkey").alias("row_pos"),
+                    F.array(*[F.lit(n) for n in CUSTOMER_COLS]).alias("headers"),
+                    F.array(*[F.col(n).cast("string") for n in CUSTOMER_COLS]).alias("values"))
+    return unroll.unroll_rows(rows, ["table_id"])
 
 
 # G5 A7 F7 F8 ------------------------------------------------------------------------------------

@@ -73,7 +73,7 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     rdd = raw.rdd.zipWithIndex().map(lambda t: (t[0].line, t[0].file_path, t[1]))
     idx = spark.createDataFrame(rdd, "line string, file_path string, gidx long")
     starts = idx.groupBy("file_path").agg(F.min("gidx").alias("g0"))
-    return idx.join(F.broadcast(starts), "file_path").select(
+    return idx.join(starts, "file_path").select(
         "file_path", (F.col("gidx") - F.col("g0") + 1).alias("line_no"), "line")
 
 
