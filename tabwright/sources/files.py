@@ -30,7 +30,7 @@ def read_statement_dir(spark: SparkSession, root: str) -> DataFrame:
     """
     root = root.rstrip("/")
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-          .option("wholetext", "true").text(root))
+          .text(root, wholetext=True))
     path = F.col("_metadata.file_path")
     rel = F.regexp_replace(path, r"^.*?" + _escape(root.split(":", 1)[-1]) + "/", "")
     parts = F.split(rel, "/")
