@@ -1,10 +1,12 @@
 """Evaluation jobs.
 
-Statement scoring (E4/E5) never forms the full cross product of predicted
-and gold statements.  Scores are directional overlaps, so a pair that shares
-nothing scores 0 and cannot raise a maximum; pairs are produced only through
-an inverted index on ``(id, token)`` and counted with map-side partial
-aggregation.  The exact-match scorer needs no pairs at all (a semi join).
+Statement scoring (E4/E5) never pairs predicted with gold statements.  Each
+statement is scored against the *set* of statements on the other side of
+its id: the exact scorer asks whether an equal statement exists there, the
+lexical scorer what share of the statement's tokens occur there.  Both are
+semi joins on ``(id, statement)`` or ``(id, token)``, linear in the input,
+so an id holding a third of all statements costs a third of the work, not
+the square of it.
 """
 
 from __future__ import annotations
@@ -102,12 +104,16 @@ def tokens(x) -> Column:
 
 
 def best_scores(pred: DataFrame, gold: DataFrame, scorer: str = "token_overlap") -> tuple[DataFrame, DataFrame]:
-    """For each predicted statement its best score against the gold
-    statements of the same id (premise = predicted), and for each gold
-    statement its best score against the predictions of that category
-    (premise = gold).
+    """A score in [0, 1] for every predicted and every gold statement.
 
     ``pred``: ``(category, id, pos, statement)``; ``gold``: ``(id, pos, statement)``.
+    The hypothesis is the statement being scored, the premise the other
+    side's statements of the same id (for gold: of the same category too):
+
+    * ``exact``: 1 when an equal (trimmed) statement is on the other side;
+    * ``token_overlap``: share of the statement's distinct tokens that occur
+      in the other side's statements (0 for a statement without tokens).
+
     Returns ``(pred_best(category, id, pos, score), gold_best(category, id, pos, score))``;
     gold rows appear for each category that has predictions for the id.
     """
@@ -116,7 +122,8 @@ def best_scores(pred: DataFrame, gold: DataFrame, scorer: str = "token_overlap")
     if scorer == "exact":
         pk = pred.select("category", "id", "pos", T.py_strip("statement").alias("s"))
         gk = gold_c.select("category", "id", "pos", T.py_strip("statement").alias("s"))
-        pb = pk.join(gk.select("category", "id", "s").distinct(), ["category", "id", "s"], "left_semi")
+        gold_set = gold.select("id", T.py_strip("statement").alias("s")).distinct()
+        pb = pk.join(gold_set, ["id", "s"], "left_semi")
         gb = gk.join(pk.select("category", "id", "s").distinct(), ["category", "id", "s"], "left_semi")
         pred_best = pk.join(pb.select("category", "id", "pos").withColumn("score", F.lit(1.0)),
                             ["category", "id", "pos"], "left")
@@ -126,23 +133,23 @@ def best_scores(pred: DataFrame, gold: DataFrame, scorer: str = "token_overlap")
                 gold_best.select("category", "id", "pos", F.coalesce("score", F.lit(0.0)).alias("score")))
     if scorer != "token_overlap":
         raise ValueError(f"unknown scorer {scorer}")
-    pt = pred.select("category", "id", F.col("pos").alias("ppos"), tokens("statement").alias("t"))
-    gt = gold_c.select("category", "id", F.col("pos").alias("gpos"), tokens("statement").alias("t"))
-    psize = pt.select("category", "id", "ppos", F.size("t").alias("np"))
-    gsize = gt.select("category", "id", "gpos", F.size("t").alias("ng"))
-    pe = pt.select("category", "id", "ppos", F.explode("t").alias("tok"))
-    ge = gt.select("category", "id", "gpos", F.explode("t").alias("tok"))
-    shared = pe.join(ge, ["category", "id", "tok"]).groupBy("category", "id", "ppos", "gpos").agg(
+    pt = pred.select("category", "id", "pos", tokens("statement").alias("t"))
+    gt = gold_c.select("category", "id", "pos", tokens("statement").alias("t"))
+    pe = pt.select("category", "id", "pos", F.explode("t").alias("tok"))
+    ge = gt.select("category", "id", "pos", F.explode("t").alias("tok"))
+    gold_tokens = gold.select("id", F.explode(tokens("statement")).alias("tok")).distinct()
+    pred_tokens = pe.select("category", "id", "tok").distinct()
+    p_hit = pe.join(gold_tokens, ["id", "tok"], "left_semi").groupBy("category", "id", "pos").agg(
         F.count(F.lit(1)).alias("k"))
-    shared = shared.join(psize, ["category", "id", "ppos"]).join(gsize, ["category", "id", "gpos"])
-    # precision pair: premise = predicted, hypothesis = gold -> k / |gold tokens|
-    pmax = shared.groupBy("category", "id", "ppos").agg(F.max(F.col("k") / F.col("ng")).alias("score"))
-    gmax = shared.groupBy("category", "id", "gpos").agg(F.max(F.col("k") / F.col("np")).alias("score"))
-    pred_best = psize.join(pmax, ["category", "id", "ppos"], "left").select(
-        "category", "id", F.col("ppos").alias("pos"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    gold_best = gsize.join(gmax, ["category", "id", "gpos"], "left").select(
-        "category", "id", F.col("gpos").alias("pos"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    return pred_best, gold_best
+    g_hit = ge.join(pred_tokens, ["category", "id", "tok"], "left_semi").groupBy("category", "id", "pos").agg(
+        F.count(F.lit(1)).alias("k"))
+
+    def share(sizes, hits):
+        j = sizes.select("category", "id", "pos", F.size("t").alias("n")).join(hits, ["category", "id", "pos"], "left")
+        return j.select("category", "id", "pos",
+                        F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.coalesce("k", F.lit(0)) / F.col("n"))
+                        .alias("score"))
+    return share(pt, p_hit), share(gt, g_hit)
 
 
 def soft_prf(pred_best: DataFrame, gold_best: DataFrame) -> DataFrame:

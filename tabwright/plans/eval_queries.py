@@ -144,17 +144,17 @@ pred AS (SELECT CASE role WHEN 'assistant' THEN 'Assistant' ELSE 'System' END AS
          FROM st WHERE role IN ('assistant', 'system')),
 cats AS (SELECT DISTINCT category, id FROM pred),
 gold_c AS (SELECT cats.category, gold.id, gold.pos, gold.toks FROM gold JOIN cats ON gold.id = cats.id),
-pe AS (SELECT category, id, pos AS ppos, unnest(toks) AS tok FROM pred),
-ge AS (SELECT category, id, pos AS gpos, unnest(toks) AS tok FROM gold_c),
-sh AS (SELECT pe.category, pe.id, ppos, gpos, count(*) AS k FROM pe JOIN ge
-         ON pe.category = ge.category AND pe.id = ge.id AND pe.tok = ge.tok GROUP BY ALL),
-sh2 AS (SELECT sh.*, len(p.toks) AS np, len(g.toks) AS ng FROM sh
-          JOIN pred p ON sh.category = p.category AND sh.id = p.id AND sh.ppos = p.pos
-          JOIN gold_c g ON sh.category = g.category AND sh.id = g.id AND sh.gpos = g.pos),
-pbest AS (SELECT p.category, p.id, p.pos, coalesce(max(sh2.k / sh2.ng), 0.0) AS score
-          FROM pred p LEFT JOIN sh2 ON p.category = sh2.category AND p.id = sh2.id AND p.pos = sh2.ppos GROUP BY ALL),
-gbest AS (SELECT g.category, g.id, g.pos, coalesce(max(sh2.k / sh2.np), 0.0) AS score
-          FROM gold_c g LEFT JOIN sh2 ON g.category = sh2.category AND g.id = sh2.id AND g.pos = sh2.gpos GROUP BY ALL),
+gold_tok AS (SELECT DISTINCT id, unnest(toks) AS tok FROM gold),
+pred_tok AS (SELECT DISTINCT category, id, unnest(toks) AS tok FROM pred),
+pe AS (SELECT category, id, pos, len(toks) AS n, unnest(toks) AS tok FROM pred),
+ge AS (SELECT category, id, pos, len(toks) AS n, unnest(toks) AS tok FROM gold_c),
+phit AS (SELECT category, id, pos, count(*) AS k FROM pe WHERE (id, tok) IN (SELECT (id, tok) FROM gold_tok) GROUP BY ALL),
+ghit AS (SELECT category, id, pos, count(*) AS k FROM ge
+         WHERE (category, id, tok) IN (SELECT (category, id, tok) FROM pred_tok) GROUP BY ALL),
+pbest AS (SELECT p.category, p.id, p.pos, CASE WHEN len(p.toks) = 0 THEN 0.0 ELSE coalesce(h.k, 0) / len(p.toks) END AS score
+          FROM pred p LEFT JOIN phit h ON p.category = h.category AND p.id = h.id AND p.pos = h.pos),
+gbest AS (SELECT g.category, g.id, g.pos, CASE WHEN len(g.toks) = 0 THEN 0.0 ELSE coalesce(h.k, 0) / len(g.toks) END AS score
+          FROM gold_c g LEFT JOIN ghit h ON g.category = h.category AND g.id = h.id AND g.pos = h.pos),
 prf0 AS (SELECT p.category, p.id, p.precision, r.recall FROM
            (SELECT category, id, avg(score) AS precision FROM pbest GROUP BY ALL) p
            JOIN (SELECT category, id, avg(score) AS recall FROM gbest GROUP BY ALL) r

@@ -46,12 +46,19 @@ def test_soft_prf_exact(spark):
     assert (r["precision"], r["recall"]) == (0.5, 1.0) and r["f1"] == pytest.approx(2 / 3)
 
 
-def test_soft_prf_token_overlap_directional(spark):
-    # precision pair: premise = predicted, hypothesis = gold
-    r = _prf(spark, [("T", "1", 0, "the red car")], [("1", 0, "red car"), ("1", 1, "blue boat")],
-             "token_overlap")[("T", "1")]
-    assert r["precision"] == pytest.approx(1.0)            # gold 'red car' fully inside the prediction
-    assert r["recall"] == pytest.approx((2 / 3 + 0.0) / 2)  # gold as premise: 2 of 3 predicted tokens
+def test_soft_prf_token_overlap_against_the_other_set(spark):
+    # each statement is the hypothesis; the other side's statements of the id are the premise
+    r = _prf(spark, [("T", "1", 0, "the red car"), ("T", "1", 1, "")],
+             [("1", 0, "red car"), ("1", 1, "blue boat"), ("2", 0, "the")], "token_overlap")[("T", "1")]
+    assert r["precision"] == pytest.approx((2 / 3 + 0.0) / 2)   # 'the' is only in another id's gold
+    assert r["recall"] == pytest.approx((1.0 + 0.0) / 2)
+
+
+def test_exact_scorer_pairs_free(spark):
+    r = _prf(spark, [("T", "1", 0, " a "), ("T", "1", 1, "a"), ("U", "1", 0, "b")],
+             [("1", 0, "a"), ("1", 1, "c")], "exact")
+    assert (r[("T", "1")]["precision"], r[("T", "1")]["recall"]) == (1.0, 0.5)
+    assert (r[("U", "1")]["precision"], r[("U", "1")]["recall"]) == (0.0, 0.0)
 
 
 def test_per_example_zero_fill_and_macro(spark):
