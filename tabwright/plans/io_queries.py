@@ -189,3 +189,48 @@ def streaming_append(spark, sf_dir):
                           max_files_per_trigger=4)
     return res.select("doc_id", F.size("statements").cast("bigint").alias("n_statements"),
                       F.md5(F.array_join("statements", "\n")).alias("statements_md5"))
+
+
+# S5 S6 S7 S15 S16 X2 -------------------------------------------------------------------------
+def _turn_files(spark, sf_dir):
+    """One statement file per (role, conversation): the non-blank lines of that
+    role's turns, numbered; user turns go to the root folder."""
+    c = table(spark, sf_dir, "conversations")
+    per = c.groupBy("conv_id", "role").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    lines = F.filter(F.transform(F.flatten(F.transform("ts", lambda t: T.py_lines(t["text"]))), T.py_strip),
+                     lambda x: x != "")
+    per = per.select("conv_id", "role", lines.alias("st"))
+    text = F.concat(F.lit("Statements:\n"), T.number_lines("st"), F.lit("\n\nRows:\n"))
+    return per.select(F.when(F.col("role") != "user", F.col("role")).alias("category"),
+                      F.col("conv_id").alias("id"), text.alias("text"))
+
+
+_TURN_FILES_SQL = f"""
+WITH t AS (SELECT conv_id, role, turn, list_filter(list_transform({S.lines('text')}, lambda y: {S.strip('y')}),
+                                                   lambda y: y <> '') AS st FROM conversations),
+f AS (SELECT CASE role WHEN 'user' THEN 'Team' ELSE upper(role[1]) || lower(role[2:]) END AS category,
+             CAST(conv_id AS VARCHAR) AS id, sum(len(st))::BIGINT AS n_statements FROM t GROUP BY ALL)
+"""
+
+
+@query("statement_dir_categories", sql=_TURN_FILES_SQL + "SELECT category, id, n_statements FROM f")
+def statement_dir_categories(spark, sf_dir):
+    root = SF.scratch_path(spark, "statements")
+    SF.write_statement_dir(_turn_files(spark, sf_dir), root)
+    d = extract.with_numbered_statements(SF.read_statement_dir(spark, root), "text", "st")
+    return d.select("category", "id", F.size("st").cast("bigint").alias("n_statements"))
+
+
+@query("statement_dir_counts", sql=_TURN_FILES_SQL + """
+SELECT category, count(*)::BIGINT AS n_files, sum(n_statements)::BIGINT AS n_statements FROM f GROUP BY category
+""")
+def statement_dir_counts(spark, sf_dir):
+    """S7 file counts per category, written as a JSON report (S16) and read back."""
+    root = SF.scratch_path(spark, "statements")
+    SF.write_statement_dir(_turn_files(spark, sf_dir), root)
+    d = extract.with_numbered_statements(SF.read_statement_dir(spark, root), "text", "st")
+    counts = SF.count_files(d).join(
+        d.groupBy("category").agg(F.sum(F.size("st")).cast("bigint").alias("n_statements")), "category")
+    report = SF.scratch_path(spark, "report")
+    SF.write_report(counts, report)
+    return spark.read.schema("category string, n_files bigint, n_statements bigint").json(report)

@@ -21,7 +21,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # S5 / S6 / S7 -------------------------------------------------------------------------
 def read_statement_dir(spark: SparkSession, root: str) -> DataFrame:
-    """S5 + S6: ``<root>/<category>/<id>.txt`` and ``<root>/<id>.txt`` files.
+    """S5 + S6: statement files, one per id, in either layout:
+
+    * ``<root>/<category>/<id>.txt`` and ``<root>/<id>.txt`` (one file per id), or
+    * ``<root>/folder=<category>/id=<id>/*.txt`` and ``<root>/id=<id>/*.txt``
+      (what :func:`write_statement_dir` writes).
 
     Returns ``(folder, category, id, text)``: ``folder`` is the raw
     sub-folder ('' for root files), ``category`` its F7 display name; root
@@ -34,12 +38,16 @@ def read_statement_dir(spark: SparkSession, root: str) -> DataFrame:
     path = F.col("_metadata.file_path")
     rel = F.regexp_replace(path, r"^.*?" + _escape(root.split(":", 1)[-1]) + "/", "")
     parts = F.split(rel, "/")
-    folder = F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit(""))
-    name = F.element_at(parts, -1)
-    ident = F.regexp_replace(name, r"\.[^.]*$", "")
+    id_seg = F.filter(parts, lambda p: F.startswith(p, F.lit("id=")))
+    hive = F.size(id_seg) > 0
+    ident = F.when(hive, F.substring_index(id_seg[0], "=", -1)).otherwise(
+        F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
+    first = parts[0]
+    folder = (F.when(hive & ~F.startswith(first, F.lit("id=")), F.substring_index(first, "=", -1))
+              .when(~hive & (F.size(parts) > 1), first).otherwise(F.lit("")))
+    depth_ok = F.when(hive, F.size(parts) <= 3).otherwise(F.size(parts) <= 2)
     x = df.select(folder.alias("folder"), ident.alias("id"), F.col("value").alias("text"),
-                  F.size(parts).alias("_depth"))
-    x = x.filter(F.col("_depth") <= 2).drop("_depth")
+                  depth_ok.alias("_ok")).filter("_ok").drop("_ok")
     subs = x.filter(F.col("folder") != "").withColumn("category", T.category_display_name("folder"))
     team = subs.filter(F.col("category") == "Team").select("category").distinct()
     roots = x.filter(F.col("folder") == "").withColumn("category", F.lit("Team"))
@@ -59,10 +67,17 @@ def count_files(statements: DataFrame) -> DataFrame:
     return statements.groupBy("category").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
 
 
-def write_statement_dir(df: DataFrame, path: str, category_col: str = "category") -> None:
-    """Rows ``(id, text)`` partitioned by the F8 folder of the category."""
-    (df.withColumn("folder", T.safe_table_name(category_col)).drop(category_col)
-     .write.mode("overwrite").partitionBy("folder").json(path))
+def write_statement_dir(df: DataFrame, path: str, category_col: str = "category", id_col: str = "id",
+                        text_col: str = "text") -> None:
+    """One text per (category, id) under ``folder=<F8 name>/id=<id>/``.
+
+    Root-level files are written for a null category.  The caller supplies
+    one row per (category, id); each becomes one file.
+    """
+    x = df.select(T.safe_table_name(category_col).alias("folder"), F.col(id_col).cast("string").alias("id"),
+                  F.col(text_col).alias("value"))
+    x.filter(F.col("folder").isNotNull()).write.mode("overwrite").partitionBy("folder", "id").text(path)
+    x.filter(F.col("folder").isNull()).drop("folder").write.mode("append").partitionBy("id").text(path)
 
 
 # S8 / S9 / S10 --------------------------------------------------------------------------
