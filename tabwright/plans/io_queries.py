@@ -216,7 +216,7 @@ f AS (SELECT CASE role WHEN 'user' THEN 'Team' ELSE upper(role[1]) || lower(role
 @query("statement_dir_categories", sql=_TURN_FILES_SQL + "SELECT category, id, n_statements FROM f")
 def statement_dir_categories(spark, sf_dir):
     root = SF.scratch_path(spark, "statements")
-    SF.write_statement_dir(_turn_files(spark, sf_dir), root)
+    SF.write_statement_dir(_turn_files(spark, sf_dir), root, layout="files")
     d = extract.with_numbered_statements(SF.read_statement_dir(spark, root), "text", "st")
     return d.select("category", "id", F.size("st").cast("bigint").alias("n_statements"))
 
@@ -225,10 +225,10 @@ def statement_dir_categories(spark, sf_dir):
 SELECT category, count(*)::BIGINT AS n_files, sum(n_statements)::BIGINT AS n_statements FROM f GROUP BY category
 """)
 def statement_dir_counts(spark, sf_dir):
-    """S7 file counts per category, written as a JSON report (S16) and read back."""
+    """S7 counts per category over the rows layout, written as a JSON report (S16) and read back."""
     root = SF.scratch_path(spark, "statements")
-    SF.write_statement_dir(_turn_files(spark, sf_dir), root)
-    d = extract.with_numbered_statements(SF.read_statement_dir(spark, root), "text", "st")
+    SF.write_statement_dir(_turn_files(spark, sf_dir), root, layout="rows")
+    d = extract.with_numbered_statements(SF.read_statement_rows(spark, root), "text", "st")
     counts = SF.count_files(d).join(
         d.groupBy("category").agg(F.sum(F.size("st")).cast("bigint").alias("n_statements")), "category")
     report = SF.scratch_path(spark, "report")

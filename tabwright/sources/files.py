@@ -48,11 +48,7 @@ def read_statement_dir(spark: SparkSession, root: str) -> DataFrame:
     depth_ok = F.when(hive, F.size(parts) <= 3).otherwise(F.size(parts) <= 2)
     x = df.select(folder.alias("folder"), ident.alias("id"), F.col("value").alias("text"),
                   depth_ok.alias("_ok")).filter("_ok").drop("_ok")
-    subs = x.filter(F.col("folder") != "").withColumn("category", T.category_display_name("folder"))
-    team = subs.filter(F.col("category") == "Team").select("category").distinct()
-    roots = x.filter(F.col("folder") == "").withColumn("category", F.lit("Team"))
-    roots = roots.join(team, "category", "left_anti")
-    return subs.unionByName(roots)
+    return _categories(x)
 
 
 def _escape(s: str) -> str:
@@ -68,16 +64,41 @@ def count_files(statements: DataFrame) -> DataFrame:
 
 
 def write_statement_dir(df: DataFrame, path: str, category_col: str = "category", id_col: str = "id",
-                        text_col: str = "text") -> None:
-    """One text per (category, id) under ``folder=<F8 name>/id=<id>/``.
-
-    Root-level files are written for a null category.  The caller supplies
-    one row per (category, id); each becomes one file.
+                        text_col: str = "text", layout: str = "rows") -> None:
+    """Statement texts per (category, id); a null category is the root.
+
+    ``layout="rows"`` (the scalable sink) writes JSON rows ``(id, text)``
+    partitioned by ``folder=<F8 name>`` (``folder=__root__`` for the root);
+    read it with :func:`read_statement_rows`.  ``layout="files"`` writes one
+    file per id under ``folder=<name>/id=<id>/`` for tools that expect a
+    file per id; that is a small-files layout and meant for modest outputs.
     """
-    x = df.select(T.safe_table_name(category_col).alias("folder"), F.col(id_col).cast("string").alias("id"),
-                  F.col(text_col).alias("value"))
-    x.filter(F.col("folder").isNotNull()).write.mode("overwrite").partitionBy("folder", "id").text(path)
-    x.filter(F.col("folder").isNull()).drop("folder").write.mode("append").partitionBy("id").text(path)
+    x = df.select(F.coalesce(T.safe_table_name(category_col), F.lit(ROOT_FOLDER)).alias("folder"),
+                  F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    if layout == "rows":
+        x.write.mode("overwrite").partitionBy("folder").json(path)
+        return
+    x = x.withColumnRenamed("text", "value")
+    x.filter(F.col("folder") != ROOT_FOLDER).write.mode("overwrite").partitionBy("folder", "id").text(path)
+    x.filter(F.col("folder") == ROOT_FOLDER).drop("folder").write.mode("append").partitionBy("id").text(path)
+
+
+ROOT_FOLDER = "__root__"
+
+
+def read_statement_rows(spark: SparkSession, root: str) -> DataFrame:
+    """S5 + S6 over the rows layout: ``(folder, category, id, text)``, same rules."""
+    x = spark.read.schema("id string, text string, folder string").json(root)
+    x = x.withColumn("folder", F.when(F.col("folder") == ROOT_FOLDER, F.lit("")).otherwise(F.col("folder")))
+    return _categories(x.select("folder", "id", "text"))
+
+
+def _categories(x: DataFrame) -> DataFrame:
+    subs = x.filter(F.col("folder") != "").withColumn("category", T.category_display_name("folder"))
+    team = subs.filter(F.col("category") == "Team").select("category").distinct()
+    roots = x.filter(F.col("folder") == "").withColumn("category", F.lit("Team"))
+    roots = roots.join(team, "category", "left_anti")
+    return subs.unionByName(roots)
 
 
 # S8 / S9 / S10 --------------------------------------------------------------------------
