@@ -301,9 +301,9 @@ w AS (SELECT p_partkey, i, sn,
       FROM s),
 n AS (SELECT p_partkey, list(CASE WHEN k = 1 THEN sn ELSE sn || '_' || k END ORDER BY i) AS names FROM w GROUP BY p_partkey),
 g AS (SELECT p_partkey, list_distinct(list_transform(gs, lambda x: {S.snake_plain('x')})) AS gold FROM h)
-SELECT n.p_partkey, 1.0 AS json_valid,
+SELECT n.p_partkey, 1.0::DOUBLE AS json_valid,
        round(len(list_distinct(list_filter(names, lambda x: x <> ''))) / len(names), {R}) AS unique_names,
-       1.0 AS allowed_types,
+       1.0::DOUBLE AS allowed_types,
        round(len(list_intersect(list_distinct(names), gold)) / len(gold), {R}) AS coverage
 FROM n JOIN g ON n.p_partkey = g.p_partkey
 """)

@@ -62,10 +62,11 @@ def _named_tables(spark, sf_dir):
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*MQ.LINE_ORDER)
     lrows = li.select(F.col("l_orderkey").alias("id"), F.lit(LINES_TABLE).alias("table_name"),
-                      (F.row_number().over(w) - 1).alias("row_pos"),
+                      (F.row_number().over(w) - 1).cast("bigint").alias("row_pos"),
                       F.transform("row", T.convert_cell).alias("cells"))
     o = table(spark, sf_dir, "orders")
-    orows = o.select(F.col("o_orderkey").alias("id"), F.lit(ORDER_TABLE).alias("table_name"), F.lit(0).alias("row_pos"),
+    orows = o.select(F.col("o_orderkey").alias("id"), F.lit(ORDER_TABLE).alias("table_name"),
+                     F.lit(0).cast("bigint").alias("row_pos"),
                      F.transform(F.array(*[F.col(c).cast("string") for c in ORDER_COLS]), T.convert_cell).alias("cells"))
     rows = orows.unionByName(lrows)
     tables = (o.select(F.col("o_orderkey").alias("id"), F.lit(ORDER_TABLE).alias("table_name"),

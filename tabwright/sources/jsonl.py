@@ -109,41 +109,45 @@ def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.json(path)
 
 
-def _open_output(path: str):
+def _fs_and_path(path: str):
     import pyarrow.fs as pafs
     if path.startswith("file:"):
-        path = "/" + path[len("file:"):].lstrip("/")
-        return pafs.LocalFileSystem().open_output_stream(path, compression=None)
-    fs, p = pafs.FileSystem.from_uri(path)
-    return fs.open_output_stream(p, compression=None)
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    if path.startswith("/"):
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(path)
 
 
 def write_text_zstd(df: DataFrame, path: str, col: str = "value") -> int:
     """Write one ``.zst`` text file per partition (Hadoop's zstd writer needs
     native code; this compresses in the task through Arrow's zstd stream).
-    Returns the number of lines written."""
+
+    Each task attempt writes a private temporary file and renames it to the
+    partition's final name when done, so a retried or speculative attempt
+    never leaves a partial or duplicate file.  Returns the lines written.
+    """
     import uuid
 
+    import pandas as pd
     import pyarrow as pa
 
     token = uuid.uuid4().hex[:8]
+    fs, base = _fs_and_path(path.rstrip("/"))
+    fs.create_dir(base, recursive=True)
 
     def write(batches):
         from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        target = f"{path.rstrip('/')}/part-{pid:05d}-{token}.txt.zst"
+        ctx = TaskContext.get()
+        final = f"{base}/part-{ctx.partitionId():05d}-{token}.txt.zst"
+        tmp = f"{base}/_tmp-{ctx.partitionId():05d}-{ctx.attemptNumber()}-{uuid.uuid4().hex[:6]}"
         n = 0
-        raw = _open_output(target)
-        with pa.CompressedOutputStream(raw, "zstd") as out:
+        with pa.CompressedOutputStream(fs.open_output_stream(tmp, compression=None), "zstd") as out:
             for pdf in batches:
                 for v in pdf[col]:
                     out.write(((v or "") + "\n").encode("utf-8"))
                     n += 1
+        fs.move(tmp, final)
         yield pd.DataFrame({"n": [n]})
 
-    import pandas as pd  # noqa: F401  (used inside the task)
-    if path.startswith("file:") or path.startswith("/"):
-        import os
-        os.makedirs("/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path, exist_ok=True)
     res = df.select(col).mapInPandas(write, "n long").agg(F.sum("n")).first()[0]
     return int(res or 0)
