@@ -91,6 +91,26 @@ def parse_schema_outputs(df: DataFrame, key: str, raw_col: str) -> tuple[DataFra
     return explicit, fields
 
 
+SCHEMA_OBJECT = ("struct<schema_id:string,structure:string,"
+                 "fields:array<struct<name:string,type:string,required:boolean>>>")
+
+
+def schema_objects(explicit: DataFrame, fields: DataFrame, key: str) -> DataFrame:
+    """Per record the schema object of stage 2: the explicit ``{"schema": ...}``
+    when given, else ``(schema_id, "object", fields)`` from the A5 field list.
+    Fields per record are bounded by that record's headers."""
+    built = fields.groupBy(key).agg(
+        F.first("schema_id").alias("schema_id"),
+        F.sort_array(F.collect_list(F.struct("grp", "p1", "p2", "name", "type", "required"))).alias("f"))
+    built = built.select(key, F.struct(
+        F.col("schema_id"), F.lit("object").alias("structure"),
+        F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"),
+                                            x["required"].alias("required"))).alias("fields")).alias("schema"))
+    exp = explicit.select(key, F.from_json("schema_json", "struct<schema:" + SCHEMA_OBJECT + ">")["schema"]
+                          .alias("schema"))
+    return exp.unionByName(built)
+
+
 # X4 ---------------------------------------------------------------------------------
 def parse_markdown_tables_long(df: DataFrame, key: str, raw_col: str) -> DataFrame:
     """Named tables under ``### Final Output Tables``, one row per table line.

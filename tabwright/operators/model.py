@@ -85,11 +85,12 @@ def run_chain(records: DataFrame, key: str, text_col: str, statement_fn, schema_
     s3 = st2.withColumn("_prompt", messages.table_prompt(F.col("atomic_statements"), F.col("schema_raw_output")))
     s3 = call_model(s3, "_prompt", table_fn, "tables_raw_output", batch_size).drop("_prompt")
     st3 = materialize(lambda: s3, spark, f"{workdir}/tables")
-    _, fields = extract.parse_schema_outputs(st2, key, "schema_raw_output")
+    explicit, fields = extract.parse_schema_outputs(st2, key, "schema_raw_output")
     tables, rows = extract.parse_markdown_tables(st3, key, "tables_raw_output")
     statements = st3.select(key, F.posexplode("atomic_statements").alias("pos", "statement"))
     return {"stage1": st1, "stage2": st2, "stage3": st3, "statements": statements,
-            "fields": fields, "tables": tables, "rows": rows}
+            "fields": fields, "schema": extract.schema_objects(explicit, fields, key),
+            "tables": tables, "rows": rows}
 
 
 def unroll_prompts(markdown_df: DataFrame, markdown_col: str = "markdown") -> DataFrame:

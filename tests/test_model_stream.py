@@ -33,6 +33,8 @@ def test_chain(spark):
     assert st == {1: ["Alpha beta.", "Gamma delta"], 2: []}
     fields = [r["name"] for r in res["fields"].filter("k = 1").orderBy("grp", "p1", "p2").collect()]
     assert fields == ["doc_name", "alpha", "gamma"]
+    sch = res["schema"].filter("k = 1").first()["schema"]
+    assert sch["schema_id"] == "doc_schema" and [f["name"] for f in sch["fields"]] == fields
     assert res["rows"].filter("k = 1").count() == 2
     assert "text" in res["stage3"].columns          # input fields are carried through
 
