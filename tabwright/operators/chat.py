@@ -94,6 +94,21 @@ def messages_from_turns(turns: DataFrame, key: str = "conv_id", order: str = "tu
     return out.filter(F.size("messages") > 0)
 
 
+def chat_rows_from_lines(lines: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:
+    """M14 + F12 + F13 over JSONL message rows: ``(keep..., messages, char_len)``.
+
+    Each line is normalised by a small Arrow-batched helper (Python's JSON
+    text of list/dict contents and metadata is part of the result and of
+    ``char_len``); skipped lines (blank, invalid, no message list, no turns
+    left) are dropped.  Lengths are summed in Spark.
+    """
+    from ..functions.strict_json import chat_messages
+    keep = keep or []
+    x = lines.select(*keep, chat_messages(F.col(line_col)).alias("messages")).filter(F.col("messages").isNotNull())
+    clen = F.aggregate("messages", F.lit(0), lambda acc, m: acc + F.length(m["content"]))
+    return x.withColumn("char_len", clen.cast("int"))
+
+
 # M15 ------------------------------------------------------------------------
 def bucket_thresholds(context_lengths=None, chars_per_token: float = K.CHARS_PER_TOKEN,
                       margin: float = K.BUCKET_MARGIN) -> tuple[int, int]:

@@ -234,3 +234,37 @@ def statement_dir_counts(spark, sf_dir):
     report = SF.scratch_path(spark, "report")
     SF.write_report(counts, report)
     return spark.read.schema("category string, n_files bigint, n_statements bigint").json(report)
+
+
+# M14 F12 F13 M15 S9 over JSONL chat rows -------------------------------------------------------
+@query("chat_rows_jsonl", sql=f"""
+WITH c AS (
+  SELECT conv_id,
+         count(*) FILTER (WHERE {"trim(coalesce(role, '')) <> ''"}) AS n_turns,
+         sum(length(coalesce(text, 'None'))) FILTER (WHERE {"trim(coalesce(role, '')) <> ''"}) AS turn_chars,
+         arg_min(role, turn) AS first_role
+  FROM conversations GROUP BY conv_id),
+m AS (SELECT *, '[METADATA]' || chr(10) || '{{"conv_id": ' || conv_id || ', "source": "conversations"}}' AS md,
+             coalesce(first_role, '') <> 'system' AS inject FROM c),
+r AS (SELECT conv_id, (n_turns + CASE WHEN inject THEN 1 ELSE 0 END)::BIGINT AS n_messages,
+             (coalesce(turn_chars, 0) + CASE WHEN inject THEN length(md) ELSE 0 END)::INTEGER AS char_len FROM m)
+SELECT conv_id, n_messages, char_len,
+       CASE WHEN char_len < 4096 THEN 1 WHEN char_len < 8192 THEN 2 ELSE 3 END AS stage FROM r
+""")
+def chat_rows_jsonl(spark, sf_dir):
+    """Conversations written as JSONL message rows (metadata object per row),
+    normalised back into chat rows and cached as zstd Parquet by stage."""
+    c = table(spark, sf_dir, "conversations")
+    per = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    msgs = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    md = F.struct(F.col("conv_id"), F.lit("conversations").alias("source"))
+    line = F.to_json(F.struct(F.col("conv_id").alias("id"), msgs.alias("messages"), md.alias("metadata")),
+                     {"ignoreNullFields": "false"})
+    path = SF.scratch_path(spark, "chat_jsonl")
+    per.select(line.alias("value")).write.mode("overwrite").text(path)
+    lines = SJ.read_lines(spark, path).withColumn("conv_id", F.get_json_object("line", "$.id").cast("bigint"))
+    rows = chat.with_length_stage(chat.chat_rows_from_lines(lines, keep=["conv_id"]))
+    cache = SF.scratch_path(spark, "chat_cache")
+    SF.write_parquet(rows, cache, partition_by=["stage"])
+    out = spark.read.parquet(cache)
+    return out.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), "char_len", "stage")

@@ -43,3 +43,24 @@ def test_flatten(spark):
     m = chat.messages_from_turns(turns, "k", "t")
     r = m.select(chat.flatten_chat("messages").alias("a"), chat.flatten_chat("messages", prompt=True).alias("b")).first()
     assert r["a"] == "user: hi\nassistant: yo" and r["b"] == "user: hi\nassistant: yo\nassistant: "
+
+
+def test_chat_rows_from_jsonl_lines(spark):
+    import json
+    lines = [
+        json.dumps({"messages": [{"role": "user", "content": None}], "metadata": {"k": 1}}),
+        json.dumps({"messages": [], "conversations": [{"role": "system", "content": "s"}, "junk",
+                                                      {"role": " ", "content": "x"},
+                                                      {"role": "user", "content": ["a", {"b": 1}]}],
+                    "metadata": "plain"}),
+        json.dumps({"messages": [{"content": "no role"}]}),
+        "not json", "", json.dumps({"messages": "not a list"}),
+    ]
+    df = spark.createDataFrame([(i, ln) for i, ln in enumerate(lines)], "i long, line string")
+    got = {r["i"]: r for r in chat.chat_rows_from_lines(df, keep=["i"]).collect()}
+    assert sorted(got) == [0, 1]
+    assert [(m["role"], m["content"]) for m in got[0]["messages"]] == [("system", '[METADATA]\n{"k": 1}'),
+                                                                       ("user", "None")]
+    assert got[0]["char_len"] == len('[METADATA]\n{"k": 1}') + 4
+    assert [(m["role"], m["content"]) for m in got[1]["messages"]] == [("system", "s"),
+                                                                       ("user", '["a", {"b": 1}]')]
