@@ -209,3 +209,17 @@ def header_schema_fields(headers: DataFrame, key: str = "record_id") -> DataFram
     return first.join(sid, key).select(
         key, "schema_id", F.col("f.grp").alias("grp"), F.col("f.p1").alias("p1"), F.col("f.p2").alias("p2"),
         "name", F.col("f.type").alias("type"), F.col("f.required").alias("required"))
+
+
+# A8 / A9 combined -------------------------------------------------------------------
+def column_constraints(types: DataFrame, enums: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Per column the schema field with its constraints.
+
+    ``types`` from :func:`infer_column_types` (or the long form), ``enums``
+    from :func:`small_enums`, joined on ``key_cols``.  A date field gets its
+    format and pattern; an enum is attached only when A2 found 2-10 values;
+    no numeric ranges are inferred.
+    """
+    e = enums.select(*key_cols, "enum_values")
+    return types.join(e, key_cols, "left").select(
+        *key_cols, "type", "required", "format", "pattern", "enum_values")

@@ -149,3 +149,34 @@ def primary_keys(spark, sf_dir):
         r = r.select(F.lit(tname).alias("table_name"), "key_column", "n_rows")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+# A8 A9 (constraints) ---------------------------------------------------------------------
+CONSTRAINT_TABLES = ["orders", "lineitem"]
+
+
+def _constraints_sql():
+    parts = []
+    for t in CONSTRAINT_TABLES:
+        parts.append(f"SELECT '{t}' AS table_name, * FROM ({_types_sql(t)})")
+    types = " UNION ALL ".join(parts)
+    return f"""
+WITH ty AS ({types}),
+en AS ({_enum_sql()})
+SELECT ty.table_name, ty.column_name, ty.type, ty.required, ty.format, ty.pattern, en.enum_values
+FROM ty LEFT JOIN en ON ty.table_name = en.table_name AND ty.column_name = en.column_name
+"""
+
+
+@query("schema_constraints", sql=_constraints_sql())
+def schema_constraints(spark, sf_dir):
+    types = None
+    for t in CONSTRAINT_TABLES:
+        cols = TYPE_TABLES[t]
+        x = induce.infer_column_types(table(spark, sf_dir, t), cols, as_text=_spark_text(cols))
+        x = x.withColumn("table_name", F.lit(t))
+        types = x if types is None else types.unionByName(x)
+    enums = induce.small_enums(_enum_cells(spark, sf_dir), ["table_name", "column_name"])
+    enums = enums.withColumn("enum_values", F.array_join("enum_values", "|"))
+    return induce.column_constraints(types, enums, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "type", "required", "format", "pattern", "enum_values")
