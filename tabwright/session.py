@@ -35,13 +35,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names it in ``spark.checkpoint.dir``; we only pick our own
     (a fresh scratch folder) when the session has none, as in local tests.
+    Sessions without a SparkContext (Spark Connect) use the conf value.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (no SparkContext on Spark Connect)
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tabwright-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(conf_dir)
+        spark.conf.set("spark.checkpoint.dir", conf_dir) if sc is None else None
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
