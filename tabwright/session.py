@@ -47,7 +47,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tabwright-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf_dir) if sc is None else None
     if sc is not None:
         sc.setCheckpointDir(conf_dir)
     return conf_dir
