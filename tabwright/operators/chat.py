@@ -9,7 +9,6 @@ builds the per-conversation array, because that array *is* its output row.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
