@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import char_len, json_object
 from ..operators import chat
+from . import sqltext as S
 from .registry import query, table
 
 VALID_TURN = "trim(coalesce(role, '')) <> ''"
@@ -165,3 +167,23 @@ def eval_head_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
     return (d.orderBy("doc_id").limit(100)
             .select("doc_id", "lang", char_len(F.coalesce("text", F.lit("None"))).alias("char_len")))
+
+
+# F1 F2 ----------------------------------------------------------------------------------------
+@query("missing_cells", sql=f"""
+WITH l AS (SELECT doc_id, unnest({S.lines('text')}) AS line FROM documents)
+SELECT documents.doc_id,
+       count(l.line)::BIGINT AS n_lines,
+       count(l.line) FILTER (WHERE {S.missing('l.line')})::BIGINT AS n_missing,
+       coalesce(sum(length({S.strip('l.line')})), 0)::BIGINT AS normalized_chars
+FROM documents LEFT JOIN l ON documents.doc_id = l.doc_id
+GROUP BY documents.doc_id
+""")
+def missing_cells(spark, sf_dir):
+    """Each document line as a cell: missing tokens (F1) and normalised length (F2)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.py_lines("text").alias("ls"))
+    return d.select(
+        "doc_id", F.size("ls").cast("bigint").alias("n_lines"),
+        F.size(F.filter("ls", lambda x: T.is_missing(x))).cast("bigint").alias("n_missing"),
+        F.aggregate("ls", F.lit(0).cast("bigint"),
+                    lambda acc, x: acc + F.length(T.normalize_cell(x))).alias("normalized_chars"))

@@ -70,3 +70,13 @@ def test_minimal_schema_json(spark):
     assert list(obj) == ["schema_id", "structure", "description", "fields"]
     assert obj["fields"][1] == {"name": "name_2", "type": "string", "required": False}
     assert r["j"] == json.dumps(obj, ensure_ascii=False)
+
+
+def test_infer_types_long_per_group(spark):
+    cells = spark.createDataFrame([("t1", "year", "2010"), ("t1", "year", "-"), ("t2", "year", "MMX"),
+                                   ("t1", "ok", "yes"), ("t1", "ok", "N")],
+                                  "tbl string, column_name string, value string")
+    got = {(r["tbl"], r["column_name"]): (r["type"], r["required"])
+           for r in induce.infer_types_long(cells, ["tbl", "column_name"]).collect()}
+    assert got == {("t1", "year"): ("integer", False), ("t2", "year"): ("string", True),
+                   ("t1", "ok"): ("boolean", True)}
