@@ -170,9 +170,17 @@ def char_len(x) -> Column:
 
 # F14 -----------------------------------------------------------------------
 def json_string(x) -> Column:
-    """A JSON string literal for ``x`` (non-ASCII kept, as ``ensure_ascii=False``)."""
-    arr = F.to_json(F.array(_c(x).cast("string")))
-    return F.when(_c(x).isNull(), F.lit("null")).otherwise(arr.substr(F.lit(2), F.length(arr) - 2))
+    """A JSON string literal for ``x`` (non-ASCII kept, as ``ensure_ascii=False``).
+
+    Text without quotes, backslashes or control characters needs no escaping
+    and is quoted directly; the rest goes through Spark's JSON writer.
+    """
+    v = _c(x).cast("string")
+    arr = F.to_json(F.array(v))
+    plain = v.rlike(r'^[^"\\\u0000-\u001f]*\z')
+    return (F.when(v.isNull(), F.lit("null"))
+            .when(plain, F.concat(F.lit('"'), v, F.lit('"')))
+            .otherwise(arr.substr(F.lit(2), F.length(arr) - 2)))
 
 
 def json_object(pairs: list[tuple[str, Column]]) -> Column:

@@ -110,3 +110,9 @@ def test_value_classes(spark, v, isint, isnum, isdate):
     r = spark.createDataFrame([(v,)], "v string").select(
         T.is_int_text("v").alias("i"), T.is_number_text("v").alias("n"), T.is_date_text("v").alias("d")).first()
     assert (r["i"], r["n"], r["d"]) == (isint, isnum, isdate)
+
+
+@pytest.mark.parametrize("v", ["plain", "tail\n", 'q"uote', "back\\slash", "tab\there", "\x01", "é ü  ", ""])
+def test_json_string_fast_path_matches_python(spark, v):
+    import json
+    assert one(spark, T.json_string(F.col("v")), v) == json.dumps(v, ensure_ascii=False)
