@@ -44,11 +44,15 @@ def py_lines(x) -> Column:
 
 # F1 ------------------------------------------------------------------------
 def is_missing(x, na_token: str = "") -> Column:
-    low = F.lower(py_strip(_c(x)))
-    cond = _c(x).isNull() | low.isin(*K.MISSING_TOKENS)
-    if na_token:
-        cond = cond | (low == na_token.lower())
-    return cond
+    """Null, a missing token, or the NA token (trimmed, case-insensitive).
+
+    Only text no longer than the longest token can match, so the lower-casing
+    runs on short values only.
+    """
+    s = py_strip(_c(x))
+    tokens = list(K.MISSING_TOKENS) + ([na_token.lower()] if na_token else [])
+    short = F.length(s) <= max(len(t) for t in tokens)
+    return _c(x).isNull() | (short & F.lower(s).isin(*tokens))
 
 
 # F2 ------------------------------------------------------------------------
@@ -90,9 +94,10 @@ def is_bool_text(x) -> Column:
 
 
 def is_number_text(x) -> Column:
-    """FLOAT or INT, and the number pattern matches the whole text."""
+    """FLOAT or INT, and the number pattern matches the whole text
+    (written as INT or (FLOAT and full match), the same predicate)."""
     full = _c(x).rlike("(?U)^(?:" + K.NUMBER_FULL_PATTERN + r")\z")
-    return (is_float_text(x) | is_int_text(x)) & (full | is_int_text(x))
+    return is_int_text(x) | (is_float_text(x) & full)
 
 
 # F6 ------------------------------------------------------------------------
