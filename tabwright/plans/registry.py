@@ -26,4 +26,15 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  When its scan yields fewer input splits than the
+    session has cores (a small single-file table: one Parquet row group is one
+    task), rows are spread round-robin over the cores so per-row work runs in
+    parallel.  Tables already split at least that finely, as any
+    cluster-sized table is, are read as they are, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD access, e.g. Spark Connect)
+        return df
+    return df.repartition(cores) if splits < cores else df
