@@ -216,14 +216,14 @@ def json_string_array(arr) -> Column:
 def structure_schema_stage(names) -> Column:
     """Two columns, key-like then value-like -> ``kv_single``."""
     n = F.transform(_c(names), snake_case)
-    return F.when((F.size(n) == 2) & n[0].isin(*K.KV_KEY_NAMES) & n[1].isin(*K.KV_VALUE_NAMES),
+    return F.when((F.size(n) == 2) & F.get(n, 0).isin(*K.KV_KEY_NAMES) & F.get(n, 1).isin(*K.KV_VALUE_NAMES),
                   F.lit("kv_single")).otherwise(F.lit("flat_single_row"))
 
 
 # F16 -----------------------------------------------------------------------
 def structure_table_stage(names) -> Column:
     n = _c(names)
-    return F.when((F.size(n) == 2) & (F.lower(n[0]) == "slot") & (F.lower(n[1]) == "value"),
+    return F.when((F.size(n) == 2) & (F.lower(F.get(n, 0)) == "slot") & (F.lower(F.get(n, 1)) == "value"),
                   F.lit("kv_multi")).otherwise(F.lit("flat_single_row"))
 
 

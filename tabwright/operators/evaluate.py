@@ -54,7 +54,7 @@ def sanity_flags(gens: DataFrame, key: str, messages_col: str = "messages",
 
     def col_type(k):
         hit = F.filter("_f", lambda f: F.coalesce(f["name"], F.lit("")) == k)
-        return F.coalesce(F.element_at(hit, -1)["type"], F.lit("string"))
+        return F.coalesce(F.try_element_at(hit, F.lit(-1))["type"], F.lit("string"))
 
     def line_types_ok(x):
         def ok(k, i):

@@ -173,7 +173,8 @@ SCHEMA_FIELDS = "struct<fields:array<struct<name:string,type:string>>>"
 
 def first_user_turn(messages) -> Column:
     """Content of the first ``user`` turn ('' when none)."""
-    return F.coalesce(F.filter(_c(messages), lambda m: m["role"] == "user")[0]["content"], F.lit(""))
+    users = F.filter(_c(messages), lambda m: m["role"] == "user")
+    return F.coalesce(F.try_element_at(users, F.lit(1))["content"], F.lit(""))
 
 
 def schema_from_user_turn(user_text) -> Column:

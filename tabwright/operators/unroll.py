@@ -45,14 +45,14 @@ def unroll_rows(rows: DataFrame, table_cols: list[str], headers_col: str = "head
     """
     cells = rows.select(*table_cols, values_col, F.posexplode(headers_col).alias("col_pos", "column"))
     cells = cells.select(*table_cols, "col_pos",
-                         F.element_at(F.col(values_col), (F.col("col_pos") + 1).cast("int")).alias("value"))
+                         F.try_element_at(F.col(values_col), (F.col("col_pos") + 1).cast("int")).alias("value"))
     keys = table_keys(cells, table_cols, na_token)
     r = rows.join(keys, table_cols, "left")
     key_value = F.when(F.col("key_pos").isNotNull(),
-                       T.py_strip(F.element_at(F.col(values_col), (F.col("key_pos") + 1).cast("int"))))
+                       T.py_strip(F.try_element_at(F.col(values_col), (F.col("key_pos") + 1).cast("int"))))
     r = r.select(*table_cols, F.col(row_pos_col).alias("row_pos"), "key_pos", key_value.alias("key_value"),
                  values_col, F.posexplode(headers_col).alias("col_pos", "column"))
-    r = r.withColumn("value", F.element_at(F.col(values_col), (F.col("col_pos") + 1).cast("int")))
+    r = r.withColumn("value", F.try_element_at(F.col(values_col), (F.col("col_pos") + 1).cast("int")))
     body = r.filter((F.col("key_pos").isNull() | (F.col("col_pos") != F.col("key_pos")))
                     & ~T.is_missing(F.col("value"), na_token))
     subject = F.coalesce(F.col("key_value"), F.concat(F.lit("row "), (F.col("row_pos") + 1).cast("string")))

@@ -124,7 +124,7 @@ def ndjson_round_trip(spark, sf_dir):
         F.array(*[F.lit(c) for c in MQ.TABLE_COLS]).alias("table_names"), "rows")
     m = messages.table_stage_rows(rec)
     schema = extract.schema_from_user_turn(extract.first_user_turn("messages"))
-    gen = F.filter("messages", lambda x: x["role"] == "assistant")[0]["content"]
+    gen = F.try_element_at(F.filter("messages", lambda x: x["role"] == "assistant"), F.lit(1))["content"]
     v = m.select("id", schema.alias("schema"), extract.ndjson_rows(gen).alias("v"))
     return v.select(
         "id", F.size("schema.fields").cast("bigint").alias("n_fields"),

@@ -40,7 +40,7 @@ def read_statement_dir(spark: SparkSession, root: str) -> DataFrame:
     parts = F.split(rel, "/")
     id_seg = F.filter(parts, lambda p: F.startswith(p, F.lit("id=")))
     hive = F.size(id_seg) > 0
-    ident = F.when(hive, F.substring_index(id_seg[0], "=", -1)).otherwise(
+    ident = F.when(hive, F.substring_index(F.get(id_seg, 0), "=", -1)).otherwise(
         F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
     first = parts[0]
     folder = (F.when(hive & ~F.startswith(first, F.lit("id=")), F.substring_index(first, "=", -1))

@@ -124,3 +124,13 @@ def test_schema_from_user_turn_and_ndjson(spark):
     assert [(f["name"], f["type"]) for f in r["s"]["fields"]] == [("a", "integer")]
     assert [(x["ok"], x["is_object"], x["keys"], x["values"]) for x in r["v"]] == [
         (True, True, ["a"], ["1"]), (True, True, ["a"], ["x"]), (False, False, None, None)]
+
+
+def test_first_user_turn_missing_and_unknown_keys(spark):
+    from tabwright.operators import evaluate as EV
+    df = spark.createDataFrame([(1, [("system", "s")], '{"zzz": "1"}', None)],
+                               "k long, messages array<struct<role:string,content:string>>, generation_only string, "
+                               "generation string")
+    assert df.select(extract.first_user_turn("messages").alias("u")).first()["u"] == ""
+    r = EV.sanity_flags(df, "k").first()          # no schema: keys mismatch, unknown key typed as string
+    assert (r["json_ok"], r["keys_ok"], r["types_ok"]) == (True, False, True)
