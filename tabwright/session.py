@@ -27,6 +27,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -50,3 +51,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None:
         sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabwright`` importable by executor Python workers.
+
+    Arrow UDFs and ``mapInPandas`` functions live in this package, and
+    workers import them by name.  Like ``--py-files``, the package is zipped
+    on the driver once per application and added with ``addPyFile``, which
+    Spark distributes to every executor.
+    """
+    import os
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001  (Spark Connect: no SparkContext)
+        sc, app = None, "connect"
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="tabwright-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app)

@@ -20,6 +20,7 @@ def spark():
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from tabwright.session import ensure_checkpoint_dir
+    from tabwright.session import ensure_checkpoint_dir, ship_package
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
