@@ -25,16 +25,26 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+MIN_BYTES_PER_PARTITION = 512 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  When its scan yields fewer input splits than the
-    session has cores (a small single-file table: one Parquet row group is one
-    task), rows are spread round-robin over the cores so per-row work runs in
-    parallel.  Tables already split at least that finely, as any
-    cluster-sized table is, are read as they are, without a shuffle."""
+    """A driver table.
+
+    When its scan yields fewer input splits than the session has cores (a
+    small single-file table: one Parquet row group is one task), rows are
+    spread round-robin so per-row work runs in parallel: over the cores, but
+    never more than one partition per ~512 KB of input, so a tiny table on a
+    large cluster does not become thousands of empty tasks.  Tables already
+    split at least that finely, as any cluster-sized table is, are read as
+    they are, without a shuffle.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     try:
         cores = spark.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD access, e.g. Spark Connect)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001  (no RDD / plan access, e.g. Spark Connect)
         return df
-    return df.repartition(cores) if splits < cores else df
+    target = min(cores, max(1, -(-size // MIN_BYTES_PER_PARTITION)))
+    return df.repartition(target) if target > splits else df
