@@ -97,7 +97,9 @@ def render_ndjson(schema_names, table_names, rows) -> Column:
 
     def line(r):
         def pair(k):
-            i = F.array_position(tn, k)
+            # the last table column of that name wins, as a name -> index lookup built in order does
+            back = F.array_position(F.reverse(tn), k)
+            i = F.when(back == 0, F.lit(0)).otherwise(F.size(tn) - back + 1)
             v = F.when((i == 0) | (i > F.size(r)), F.lit("")).otherwise(
                 F.coalesce(T.py_strip(F.element_at(r, i.cast("int"))), F.lit("")))
             return F.concat(T.json_string(k), F.lit(": "), T.json_string(v))
@@ -154,3 +156,22 @@ def unroll_prompt(markdown, system_prompt: str = PR.UNROLL_SYSTEM, control: str
     """Table-unroll chat."""
     return F.array(turn("system", F.lit(system_prompt)), turn("system", F.lit(control)),
                    turn("user", F.concat(F.lit(PR.UNROLL_USER_PREFIX), _c(markdown))))
+
+
+# Merged examples -> stage rows ------------------------------------------------------
+def schema_stage_from_examples(examples: DataFrame, **kwargs) -> DataFrame:
+    """M5 over merged examples: header names from ``schema.columns``."""
+    from .validate import column_names
+    x = examples.withColumn("column_names", F.when(F.col("schema").isNotNull(), column_names("schema.columns")))
+    return schema_stage_rows(x, id_col="id", text_col="text", names_col="column_names", **kwargs)
+
+
+def table_stage_from_examples(examples: DataFrame, **kwargs) -> DataFrame:
+    """M8 over merged examples that passed P2: schema and table column names
+    (P7), the table id of the schema, rows from ``table.data``."""
+    from .validate import column_names
+    x = examples.select(
+        "id", "text", "split", F.col("schema.table_id").alias("table_id"),
+        column_names("schema.columns").alias("schema_names"), column_names("table.columns").alias("table_names"),
+        F.coalesce(F.col("table.data"), F.array().cast("array<array<string>>")).alias("rows"))
+    return table_stage_rows(x, **kwargs)

@@ -151,3 +151,19 @@ def write_text_zstd(df: DataFrame, path: str, col: str = "value") -> int:
 
     res = df.select(col).mapInPandas(write, "n long").agg(F.sum("n")).first()[0]
     return int(res or 0)
+
+
+# Merged examples (the text + schema + gold table records both training stages start from).
+MERGED_EXAMPLE_DDL = (
+    "id string, split string, text string, "
+    "schema struct<table_id:string,columns:array<struct<name:string,path:array<string>>>,n_cols:int>, "
+    "schema_signature string, "
+    "table struct<table_id:string,columns:array<struct<name:string,path:array<string>>>,"
+    "data:array<array<string>>>")
+
+
+def read_merged_examples(spark: SparkSession, paths, strict: bool = False) -> DataFrame:
+    """Merged examples from JSONL (plain or compressed): lenient skips bad
+    lines (S1), strict stops at the first with ``path:line`` (S2)."""
+    reader = read_jsonl_strict if strict else read_jsonl_lenient
+    return reader(spark, paths, MERGED_EXAMPLE_DDL)
