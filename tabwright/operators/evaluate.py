@@ -93,8 +93,12 @@ def sanity_failures(flags: DataFrame, key: str, limit: int = K.MAX_FAILURES) ->
 
 # E3 ---------------------------------------------------------------------------------------
 def aligned_ids(gold_ids: DataFrame, pred_ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """Gold ids that appear in any predicted category (a semi join)."""
-    return gold_ids.select(id_col).distinct().join(pred_ids.select(id_col), id_col, "left_semi")
+    """Gold ids that appear in any predicted category (a semi join).
+
+    Both sides are de-duplicated first, so a hot id is collapsed map-side
+    before the shuffle instead of arriving once per predicted file.
+    """
+    return gold_ids.select(id_col).distinct().join(pred_ids.select(id_col).distinct(), id_col, "left_semi")
 
 
 # E4 / E5 ----------------------------------------------------------------------------------
