@@ -193,3 +193,53 @@ def record_violations(spark, sf_dir):
                      F.length(validate.text_with_fallback()).cast("bigint").alias("text_chars"),
                      validate.nonempty_table().alias("nonempty_table"), usable.alias("usable"),
                      F.size(types).cast("bigint").alias("n_type_errors"))
+
+
+# G4 + E3-E7: table -> statements -> score ------------------------------------------------------
+def _customer_rows(c, acct, seg):
+    return c.select(F.col("c_nationkey").alias("table_id"), F.col("c_custkey").alias("row_pos"),
+                    F.array(*[F.lit(n) for n in CUSTOMER_COLS]).alias("headers"),
+                    F.array(seg, F.col("c_name"), acct.cast("string"), F.col("c_custkey").cast("string")).alias("values"))
+
+
+def _perturbed_cells_sql(acct: str, seg: str) -> str:
+    exprs = {"c_mktsegment": seg, "c_name": "c_name", "c_acctbal": f"CAST({acct} AS VARCHAR)",
+             "c_custkey": "CAST(c_custkey AS VARCHAR)"}
+    return " UNION ALL ".join(
+        f"SELECT c_nationkey AS table_id, c_custkey AS row_pos, {i} AS col_pos, '{c}' AS col, {exprs[c]} AS v FROM customer"
+        for i, c in enumerate(CUSTOMER_COLS))
+
+
+@query("unroll_scores", sql=f"""
+WITH g AS ({_unroll_sql(_perturbed_cells_sql("c_acctbal", "c_mktsegment"), ["table_id"])}),
+p AS ({_unroll_sql(_perturbed_cells_sql("round(c_acctbal, 1)",
+                                          "CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) ELSE c_mktsegment END"),
+                   ["table_id"])}),
+ps AS (SELECT table_id, avg(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.table_id = p.table_id
+                                              AND {S.strip('g.statement')} = {S.strip('p.statement')}) THEN 1.0 ELSE 0.0 END) AS precision
+       FROM p GROUP BY table_id),
+gs AS (SELECT table_id, avg(CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.table_id = g.table_id
+                                              AND {S.strip('p.statement')} = {S.strip('g.statement')}) THEN 1.0 ELSE 0.0 END) AS recall
+       FROM g GROUP BY table_id),
+j AS (SELECT ps.table_id AS id, precision, recall FROM ps JOIN gs ON ps.table_id = gs.table_id)
+SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1
+FROM j
+""")
+def unroll_scores(spark, sf_dir):
+    """Each nation's customer table unrolled into gold statements; a copy with
+    rounded balances and lower-cased segments (for negative balances) is the
+    prediction; exact-match soft precision / recall / F1 per nation."""
+    from ..operators import evaluate as EV
+    c = table(spark, sf_dir, "customer")
+    gold_rows = _customer_rows(c, F.col("c_acctbal"), F.col("c_mktsegment"))
+    pred_rows = _customer_rows(c, F.round("c_acctbal", 1),
+                               F.when(F.col("c_acctbal") < 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")))
+    pos = (F.col("row_pos") * 16 + F.col("col_pos")).alias("pos")
+    gold = unroll.unroll_rows(gold_rows, ["table_id"]).select(F.col("table_id").alias("id"), pos, "statement")
+    pred = unroll.unroll_rows(pred_rows, ["table_id"]).select(F.lit("Team").alias("category"),
+                                                              F.col("table_id").alias("id"), pos, "statement")
+    ids = EV.aligned_ids(gold.select("id"), pred.select("id"))
+    pb, gb = EV.best_scores(pred, gold, scorer="exact")
+    ex = EV.per_example(EV.soft_prf(pb, gb), ids, ["Team"])
+    return ex.select("id", *[F.round(x, 6).alias(x) for x in ["precision", "recall", "f1"]])
