@@ -65,16 +65,30 @@ def read_jsonl_lenient(spark: SparkSession, paths, schema, python_strict: bool =
 def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     """Every line with its 1-based line number within its file.
 
-    ``zipWithIndex`` numbers lines in file order across the splits of each
-    file; the per-file start is subtracted with a small aggregation (one row
-    per file).  It costs one extra pass, so it runs only when asked.
+    Splits of one file are read in offset order, but Spark packs splits of
+    several files into partitions by size, so a file's lines need not be
+    contiguous.  Each task numbers the lines of every file it reads; a small
+    table of per-(file, partition) counts gives each partition's offset per
+    file (a running sum over partitions), and the two add up to the line
+    number.  Only computed on request (strict-mode error reports).
     """
     raw = read_lines(spark, paths)
-    rdd = raw.rdd.zipWithIndex().map(lambda t: (t[0].line, t[0].file_path, t[1]))
-    idx = spark.createDataFrame(rdd, "line string, file_path string, gidx long")
-    starts = idx.groupBy("file_path").agg(F.min("gidx").alias("g0"))
-    return idx.join(starts, "file_path").select(
-        "file_path", (F.col("gidx") - F.col("g0") + 1).alias("line_no"), "line")
+
+    def number(pid, rows):
+        seen = {}
+        for r in rows:
+            k = seen.get(r.file_path, 0)
+            seen[r.file_path] = k + 1
+            yield (r.file_path, pid, k, r.line)
+
+    idx = spark.createDataFrame(raw.rdd.mapPartitionsWithIndex(number),
+                                "file_path string, part int, k long, line string")
+    counts = idx.groupBy("file_path", "part").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    before = Window.partitionBy("file_path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return idx.join(offsets, ["file_path", "part"]).select(
+        "file_path", (F.col("offset") + F.col("k") + 1).alias("line_no"), "line")
 
 
 def jsonl_rejects(spark: SparkSession, paths, schema, python_strict: bool = False) -> DataFrame:

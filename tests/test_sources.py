@@ -117,3 +117,23 @@ def test_materialize_reuses_and_rebuilds(spark):
     assert SF.parquet_rows(spark, f"{d}/missing") == 0
     with pytest.raises(SF.EmptyCacheError):
         SF.materialize(lambda: spark.range(0), spark, f"{d}/empty")
+
+
+def test_line_numbers_with_interleaved_splits(spark):
+    d = _dir()
+    for name, n in (("a.jsonl", 40), ("b.jsonl", 25)):
+        with open(f"{d}/{name}", "w") as f:
+            f.write("\n".join(f'{{"a": {i}, "b": "{name}-{i:03d}"}}' for i in range(1, n + 1)) + "\n")
+    old = (spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")   # splits of the two files interleave
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert SJ.read_lines(spark, [f"{d}/a.jsonl", f"{d}/b.jsonl"]).rdd.getNumPartitions() > 4
+        got = SJ.numbered_lines(spark, [f"{d}/a.jsonl", f"{d}/b.jsonl"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    import json as _json
+    assert len(got) == 65
+    for r in got:
+        assert _json.loads(r["line"])["a"] == r["line_no"], (r["file_path"], r["line_no"], r["line"])
