@@ -26,7 +26,7 @@ def test_every_query_has_an_oracle_or_is_listed():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     status, msg = OC.compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF_SMALL)
-    assert status in ("OK", "ROWS"), msg
+    assert status in ("OK", "ROWS"), msg      # "OK~" (equal only after rounding) fails too
 
 
 @pytest.mark.parametrize("name", ["stage_step_plan", "column_enums", "tables_round_trip", "statement_prf",
