@@ -23,11 +23,16 @@ def turn(role: str, content) -> Column:
     return F.struct(F.lit(role).alias("role"), _c(content).cast("string").alias("content"))
 
 
+def dropout_draw(seed: int, record_id, key: str) -> Column:
+    """M3 draw: a uniform in [0, 1) from the first 13 hex digits of
+    md5("seed|record|key"); the same on any engine and any partitioning."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), _c(record_id).cast("string"), F.lit(key)))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)
+
+
 def keep_key(seed: int, record_id, key: str, p: float) -> Column:
-    """M3 draw: a stable uniform in [0, 1) from (seed, record, key); keep when >= p."""
-    h = F.xxhash64(F.lit(seed), _c(record_id).cast("string"), F.lit(key))
-    u = F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
-    return u >= F.lit(p)
+    """Keep a metadata key when its draw is at least ``p``."""
+    return dropout_draw(seed, record_id, key) >= F.lit(p)
 
 
 # M2 / M3 ----------------------------------------------------------------------

@@ -214,7 +214,20 @@ def schema_stage_rows(spark, sf_dir):
                       F.col("messages")[2]["content"].alias("assistant"))
 
 
-@query("metadata_dropout_rate")
+def _dropout_sql():
+    from ..functions import constants as K
+    keep = ", ".join(f"'{k}'" for k in K.DROPOUT_KEEP_KEYS)
+    keys = ", ".join(f"'{k}'" for k in PR.METADATA_KEYS)
+    return f"""
+WITH k AS (SELECT doc_id, unnest([{keys}]) AS key FROM documents),
+d AS (SELECT key, key IN ({keep})
+              OR CAST(('0x' || substr(md5('7|' || doc_id || '|' || key), 1, 13)) AS BIGINT) / {float(16 ** 13)} >= 0.5
+              AS kept FROM k)
+SELECT key, count(*)::BIGINT AS n_docs, count(*) FILTER (WHERE kept)::BIGINT AS n_kept FROM d GROUP BY key
+"""
+
+
+@query("metadata_dropout_rate", sql=_dropout_sql())
 def metadata_dropout_rate(spark, sf_dir):
     """M3: share of documents keeping each metadata key at p = 0.5 (seeded)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
