@@ -29,18 +29,21 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and reread it.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder.
 
-    Cuts the lineage and survives lost executors.  The folders are named by
-    application, so the retention of the checkpoint folder clears them.
+    The folders are grouped by application, so the retention of the checkpoint
+    folder clears them.
     """
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
     app = spark.sparkContext.applicationId
-    path = f"{root}/tabwright-llm-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark)}/tabwright-llm-{app}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and reread it: cuts the lineage, survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

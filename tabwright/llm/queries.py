@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, toxicity
+from . import decontaminate, mixing, near_dedup, token_output, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
+@_query
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and checksums of every document, read back from the token files."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_output.round_trip(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
