@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, token_output, toxicity
+from . import decontaminate, html_extract, mixing, near_dedup, quality, suffix_dedup, token_output, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,33 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and checksums of every document, read back from the token files."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_output.round_trip(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 400-byte strings removed from every document."""
+    kept = suffix_dedup.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@_query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extract.extract(_read(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = url_filter.page_outcomes(pages, _read(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, outcomes).select("row.page_id", "host", "path", "rule", "verdict", "bad_rate", "bound")
+
+
+@_query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; ``kept`` where it is at least one half."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.learn(docs))
+    return scored.select("row.doc_id", "score", (F.col("score") >= quality.KEEP).alias("kept"))
