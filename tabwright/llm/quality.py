@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-DIMS, MAX_FIT, ROUNDS, RATE, RIDGE = 1 << 14, 20000, 30, 0.5, 1e-4
+DIMS, MAX_FIT, ROUNDS, RATE, RIDGE = 1 << 14, 20000, 40, 0.5, 1e-4
 KEEP = 0.5
+_PLAIN = "0123456789.,;:!?'\"()-"
 _END = tuple(".!?:;\"')")
 
 LABELLERS = ("length", "repeats", "case", "symbols", "sentences", "lines", "marks")
@@ -52,7 +53,7 @@ def votes(text: str | None) -> list[int]:
     lines = [x for x in text.split("\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines)
     marks = sum(text.count(c) for c in "!?") / n
-    odd = sum(not any(map(str.isalnum, w)) for w in words) / n
+    odd = 1 - (letters + sum(map(text.count, _PLAIN)) + sum(map(str.isspace, text))) / len(text)
     mean = sum(map(len, words)) / n
 
     def vote(bad: bool, good: bool) -> int:
@@ -61,7 +62,7 @@ def votes(text: str | None) -> list[int]:
     return [vote(n < 4 or mean > 20 or mean < 2, n >= 20 and 3 <= mean <= 12),
             vote(same > 0.2 or (n >= 50 and distinct < 0.15), same < 0.02),
             vote(upper > 0.5 * max(1, letters), upper < 0.15 * max(1, letters)),
-            vote(odd > 0.1, odd < 0.02),
+            vote(odd > 0.05, odd < 0.02),
             vote(n >= 20 and not any(w.endswith(_END) for w in words), n / max(1, sum(w.endswith(".") for w in words)) < 40),
             vote(len(lines) >= 4 and again > 0.3, len(lines) >= 2 and again == 0),
             vote(marks > 0.3, marks < 0.05)]
@@ -86,9 +87,13 @@ class LabelModel:
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """EM for two classes and conditionally independent labellers, begun at the majority vote."""
+    """EM for two classes and conditionally independent labellers.
+
+    Begun with a bad vote meaning a bad text: labellers look for different
+    faults, so most of them have nothing against any one bad text.
+    """
     k = patterns.shape[1]
-    post = np.clip(0.5 + 0.45 * np.sign(patterns.sum(axis=1)), 0.05, 0.95)
+    post = np.where((patterns < 0).any(axis=1), 0.05, 0.95)
     onehot = (patterns[:, :, None] + 1 == np.arange(3)).astype(float)
     for _ in range(rounds):
         wg, wb = counts * post, counts * (1 - post)
@@ -137,7 +142,7 @@ def hashed(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]
     at = np.flatnonzero(count)
     value = np.sqrt(count[at])
     at = np.append(at, [buckets.dims, buckets.dims + 1])                       # offset, repeat mark
-    value = np.append(value / max(1e-9, np.linalg.norm(value)), [1.0, same / max(1, len(words))])
+    value = np.append(value / max(1e-9, np.linalg.norm(value)), [1.0, 4 * same / max(1, len(words))])
     return at, value
 
 
