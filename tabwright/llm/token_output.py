@@ -25,11 +25,14 @@ no blocks and no rows; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 import struct
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +54,8 @@ _BLOCK = ("part int, block int, part_start long, first_id long, last_id long, n_
           "dict_sha256 string, payload binary")
 # A space or newline between two other characters: the tokenizer's words never reach across its left side.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
-_CACHE_WORDS = 600_000
+_RAW = "\n\n"
+_CACHE_WORDS, _LONG = 1_200_000, 200
 
 
 class Encoder:
@@ -68,34 +71,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"         # little-endian machines, as Spark's own are
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
+    def _encode(self, keys: list[str]) -> list[bytes]:
+        texts = [k[2:] if k.startswith(_RAW) else k if k[:1] == "\n" else " " + k for k in keys]
+        return [array(self.code, e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
+        """Keys of a text's pieces: a word after a space, ``\\n`` and a word, or ``_RAW`` and any text."""
         if any(s in text for s in self.special):
-            return [text]
-        if _IRREGULAR.search(text):
-            return _CUT.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[w if w[0] == "\n" else " " + w for w in rest]]
+            return [_RAW + text]
+        keys = text.replace("\n", " \n").split(" ")
+        words = text.split()
+        if len(words) != len(keys) or sum(map(len, words)) + len(keys) - 1 != len(text):
+            return [_RAW + p for p in _CUT.split(text)]      # other white space than single spaces and newlines
+        keys[0] = _RAW + keys[0]
+        return keys
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()          # the many short-lived lists would have the word table searched for garbage
+        try:
+            return self._texts(texts)
+        finally:
+            gc.enable()
+
+    def _texts(self, texts: list[str | None]) -> list[bytes]:
         split = [self.pieces(t) if t else [] for t in texts]
-        new = {p for ps in split for p in ps}.difference(self.words)
+        used = set(chain.from_iterable(split))
+        new = used.difference(self.words)
         if len(self.words) + len(new) > _CACHE_WORDS:
             self.words.clear()
-            new = {p for ps in split for p in ps}
+            new = used
         # a word and one closing mark are two words to the tokenizer
-        marked = [p for p in new if len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha()]
-        need = list(new.difference(marked) | {q for p in marked for q in (p[:-1], p[-1])} - self.words.keys())
+        marked = [p for p in new if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha()]
+        need = list(new.difference(marked) | {q for p in marked for q in (p[:-1], _RAW + p[-1])}.difference(self.words))
         self.words.update(zip(need, self._encode(need)))
-        self.words.update((p, self.words[p[:-1]] + self.words[p[-1]]) for p in marked)
-        get = self.words.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+        self.words.update((p, self.words[p[:-1]] + self.words[_RAW + p[-1]]) for p in marked)
+        get = {p: self.words[p] for p in used}.__getitem__
+        out = [b"".join(map(get, ps)) for ps in split]
+        for p in new:
+            if len(p) > _LONG:
+                del self.words[p]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
