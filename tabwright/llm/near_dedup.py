@@ -6,13 +6,19 @@ smallest id.  Per class, ``bands * rows`` MinHash samples give band keys, and
 are folded into an odd sketch: each sample flips one bit of a bitmap, so the
 population count of two bitmaps' XOR estimates how many samples differ.
 
-1. In each band bucket every member is paired with the member of smallest id.
+1. In each band bucket every member is paired with one centre, drawn by a hash
+   of class and band so that the buckets of a group have different centres.
 2. Pairs pass a size bound and the odd-sketch bound, then their full sets are
    compared.  Confirmed links give components.
-3. Buckets that still hold several components have all their cross-component
-   pairs tested in the same way, inside a shuffled join that keeps only pairs
-   within the sketch bound.  After this, every pair that met in a bucket is in
-   one component or was rejected, without listing the pairs of a group.
+3. Of the classes in buckets that still hold several components, all links
+   across components are found exactly: two sets of similarity t share one of
+   the first n - ceil(t n) + 1 shingles of each in any common order.  Ordered by
+   how rare they are (counts by hash bucket, a table of fixed size), those are
+   joined, and the pairs' full sets compared.  A passage that many documents
+   share comes last in the order and pairs none of them.
+
+So every pair that met in a bucket is in one component or was rejected, without
+listing the pairs of a group.
 
 With 42 bands of 6 rows a pair at similarity 0.8 misses every bucket with
 probability 3e-6; the sketch bound lies 5.5 standard deviations above the count
@@ -42,6 +48,7 @@ from .components import components
 SHINGLE, BANDS, ROWS, BITS = 2, 42, 6, 1024
 _MULT = 0xD6E8FEB86659FD93
 _NO_ID = (1 << 63) - 1
+_RARITY = 1 << 20             # hash buckets of the shingle counts
 _SIGNATURE = T.StructType([
     T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
@@ -118,6 +125,21 @@ def _set_udf(shingle: int):
     return sets.asNondeterministic()
 
 
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set of which a partner must share one: its rarest, ties by value."""
+    keep = len(s) - -(-percent * len(s) // 100) + 1
+    rarity = counts[(s.view(np.uint64) % np.uint64(_RARITY)).astype(np.int64)]
+    return s[np.lexsort((s, rarity))[:keep]]
+
+
+def _prefix_udf(counts: np.ndarray, percent: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def prefixes(sets: pa.Array) -> pa.Array:
+        return pa.array([prefix(v.values.to_numpy(), counts, percent) for v in sets], pa.list_(pa.int64()))
+
+    return prefixes
+
+
 def sketch_bound(samples: int, bits: int, similarity: float, sigmas: float = 5.5) -> int:
     """XOR count that pairs at ``similarity`` stay below, but for ``sigmas`` standard deviations."""
     differ = samples * (1 - similarity)
@@ -152,30 +174,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
             F.first("sketch").alias("sketch"))
         .select(F.struct("id", "k1").alias("node"), "k1", "k2", "n", "bands", "sketch"), "classes")
-    keyed = reps.select("node", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("node.id").alias("centre")).where("size > 1")
+    keyed = reps.select("node", F.explode("bands").alias("band")).withColumn("draw", F.xxhash64("node", "band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("draw").alias("centre")).where("size > 1")
     members = common.stage(keyed.join(shared.drop("size"), "band"), "members")
 
-    centres = reps.select(F.col("node").alias("b"), F.col("node.id").alias("centre"), F.col("n").alias("nb"),
-                          F.col("sketch").alias("sb"))
-    ends = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    stars = (members.where("node.id != centre").select(F.col("node").alias("a"), "centre").distinct()
-             .join(centres, "centre").join(ends, "a")
-             .where(_near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent, bound)).select("a", "b"))
-    first = components(_confirmed(docs, stars, ident, text_col, shingle, percent))
-    first = common.stage(first, "components")
-
-    label = members.join(first, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("label"))
-    mixed = label.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("band")
-    side = common.stage(label.join(mixed, "band").join(reps.select("node", "n", "sketch"), "node"), "mixed")
-    x, y = side.alias("x"), side.alias("y")
-    cross = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
-                    & _near(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent, bound))
-             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
-                     F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct())
-    joined = _confirmed(docs, cross, ident, text_col, shingle, percent)
-    second = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    centres = members.where("draw = centre").select("band", F.col("node").alias("b"))
+    stars = (members.where("draw != centre").select("band", F.col("node").alias("a")).join(centres, "band")
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    about = reps.select("node", "n", "sketch")
+    stars = common.stage(
+        stars.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
+        .where(_near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent, bound)).select("a", "b"), "pairs")
+    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    links = _confirmed(stars, _sets(docs, ends, ident, text_col, shingle), percent)
+    first = common.stage(components(links), "components")
+
+    label = members.join(first, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label")) \
+        .withColumn("mark", F.xxhash64("label"))
+    mixed = label.groupBy("band").agg(F.min("mark").alias("l"), F.max("mark").alias("h")).where("l != h").select("band")
+    open_ = common.stage(label.join(mixed, "band", "left_semi").select("node", "label", "mark").distinct(), "open")
+    sets = _sets(docs, open_.select("node"), ident, text_col, shingle)
+    joined = _confirmed(_rare_pairs(sets, open_, percent), sets, percent)
+    second = common.stage(components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "across")
 
     final = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left") \
         .select("node", F.coalesce("top", "component").alias("component"))
@@ -188,18 +208,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.nullif(F.coalesce("component", "id"), F.lit(_NO_ID)).alias("component_id")))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, ident: Column, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``, ...) whose full sets reach the similarity."""
-    pairs = common.stage(pairs, "pairs")
-    nodes = common.stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+def _sets(docs: DataFrame, nodes: DataFrame, ident: Column, text_col: str, shingle: int) -> DataFrame:
+    """``node``, ``shingles``: the full sets of some classes, from their representatives' texts."""
+    nodes = common.stage(nodes, "nodes")
     ids = common.broadcast_if_small(nodes.select(F.col("node.id").alias("id")).distinct(), 16)
     sets = (docs.select(ident.alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
             .select("id", _set_udf(shingle)("t").alias("s"))
             .select(F.struct("id", "s.k1").alias("node"), "s.shingles"))
-    sets = common.stage(sets.join(common.broadcast_if_small(nodes, 32), "node", "left_semi")
+    return common.stage(sets.join(common.broadcast_if_small(nodes, 32), "node", "left_semi")
                         .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
+
+
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` with labels ``la`` < ``lb`` whose prefixes share a shingle."""
+    bucket = F.pmod(F.col("s"), F.lit(_RARITY))      # of a power of two: the same for signed and unsigned hashes
+    tally = sets.select(F.explode("shingles").alias("s")).groupBy(bucket.alias("k")).count().toArrow()  # at most _RARITY rows
+    counts = np.zeros(_RARITY, np.int64)
+    counts[tally["k"].to_numpy()] = tally["count"].to_numpy()
+    rows = (sets.select("node", F.size("shingles").cast("long").alias("n"), _prefix_udf(counts, percent)("shingles").alias("p"))
+            .join(labels, "node").select("node", "n", "label", "mark", F.explode("p").alias("s")))
+    rows = common.stage(rows, "prefixes")
+    across = rows.groupBy("s").agg(F.min("mark").alias("l"), F.max("mark").alias("h")).where("l != h").select("s")
+    side = common.stage(rows.join(common.broadcast_if_small(common.stage(across, "across"), 16), "s", "left_semi"), "sides")
+    x, y = side.alias("x"), side.alias("y")
+    return (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") < F.col("y.label"))
+                   & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
+                    F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct())
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``, ...) whose full sets reach the similarity."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     meet = F.size(F.array_intersect("sa", "sb")).cast("long")
     total = F.size("sa").cast("long") + F.size("sb") - meet
     return common.stage(both.where(100 * meet >= percent * total).drop("sa", "sb"), "links")
