@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, near_dedup, quality, suffix_dedup, token_output, toxicity, url_filter
+from . import ann, decontaminate, html_extract, mixing, near_dedup, quality, suffix_dedup, token_output, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.learn(docs))
     return scored.select("row.doc_id", "score", (F.col("score") >= quality.KEEP).alias("kept"))
+
+
+@_query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
