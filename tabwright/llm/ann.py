@@ -11,8 +11,9 @@ sqrt(M^2 - |x|^2) with M the largest norm.
   reverse, is joined with the vectors, and each pair in it is offered to both
   ends.  Long reverse lists are split by hash into several groups, each with the
   forward list; no neighbour is dropped.  Lists improve until few change.
-* A query walks the graph from its own class: the best unvisited nodes' lists
-  are scored, until the best candidates stop changing.
+* A query walks the graph from its own class and from the ``ENTRIES`` longest
+  vectors (long vectors have large inner products with many queries): the best
+  unvisited nodes' lists are scored, ``HOPS`` times after the first.
 
 Defined cases: null, zero, or non-finite vectors and vectors with null
 components take no part; vectors of another length than most are compared over
@@ -31,9 +32,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-NEIGHBOURS, TREES, LEAF, ROUNDS, HOPS, BEAM, K = 32, 8, 600, 3, 3, 64, 20
+NEIGHBOURS, TREES, LEAF, ROUNDS, HOPS, BEAM, K = 32, 8, 600, 3, 4, 80, 20
 SAMPLE = 20000                 # vectors on which the trees' cut points are fitted
-GROUP = 96
+GROUP, ENTRIES = 96, 32
 _LIST = T.ArrayType(T.StructType([T.StructField("d", T.FloatType()), T.StructField("id", T.LongType())]))
 
 
@@ -172,15 +173,19 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
     vec = nodes.select(F.col("id").alias("b"), F.col("vec").alias("bv"))
     own = nodes.join(queries, "id").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
     links = graph.select(F.col("id").alias("a"), F.col("near.id").alias("to"))
+    norm = product(F.col("vec"), F.col("vec"))
+    entries = [r.id for r in nodes.orderBy(F.desc(norm), "id").limit(ENTRIES).select("id").collect()]
+    start = own.select("q", F.explode(F.array(*[F.lit(i).cast("long") for i in entries])).alias("b")) if entries else None
     found = common.stage(own.select("q", F.col("q").alias("id"), F.lit(None).cast("double").alias("score"),
                                     F.lit(False).alias("done")), "beam")
     best = Window.partitionBy("q").orderBy(F.col("score").desc_nulls_first(), "id")
-    for _ in range(hops + 1):
+    for hop in range(hops + 1):
         open_ = found.where("not done").select("q", F.col("id").alias("a"))
         if open_.isEmpty():
             break
-        new = (open_.join(links, "a").select("q", F.explode("to").alias("b")).distinct()
-               .join(found.select("q", F.col("id").alias("b")), ["q", "b"], "left_anti"))
+        new = open_.join(links, "a").select("q", F.explode("to").alias("b"))
+        new = new.union(start) if hop == 0 and start is not None else new
+        new = (new.distinct().join(found.select("q", F.col("id").alias("b")), ["q", "b"], "left_anti"))
         scored = new.join(vec, "b").join(own, "q").select(
             "q", F.col("b").alias("id"), product(F.col("qv"), F.col("bv")).alias("score"), F.lit(False).alias("done"))
         whole = found.withColumn("done", F.lit(True)).union(scored)
