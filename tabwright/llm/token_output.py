@@ -55,7 +55,7 @@ _BLOCK = ("part int, block int, part_start long, first_id long, last_id long, n_
 # A space or newline between two other characters: the tokenizer's words never reach across its left side.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _RAW = "\n\n"
-_CACHE_WORDS, _LONG = 1_200_000, 200
+_CACHE_WORDS, _LONG = 700_000, 200
 
 
 class Encoder:
