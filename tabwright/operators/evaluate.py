@@ -81,14 +81,15 @@ def sanity_report(flags: DataFrame) -> DataFrame:
         (F.count(F.when(F.col("types_ok"), 1)) / F.greatest(n, F.lit(1))).alias("type_check_pass_rate"))
 
 
-def sanity_failures(flags: DataFrame, key: str, limit: int = K.MAX_FAILURES) -> DataFrame:
-    """``(sample, reason)`` in sample order, first ``limit`` (a top-k by key)."""
+def sanity_failures(flags: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """The whole ledger ``(sample, reason)`` in sample order; with ``limit`` its first rows (e.g. ``K.MAX_FAILURES``)."""
     reasons = F.array(
         F.when(~F.col("json_ok"), F.struct(F.lit(0).alias("r"), F.lit("json_parse_error").alias("reason"))),
         F.when(F.col("json_ok") & ~F.col("keys_ok"), F.struct(F.lit(1).alias("r"), F.lit("key_order_mismatch").alias("reason"))),
         F.when(F.col("json_ok") & ~F.col("types_ok"), F.struct(F.lit(2).alias("r"), F.lit("type_mismatch").alias("reason"))))
     x = flags.select(F.col(key).alias("sample"), F.explode(reasons).alias("f")).filter(F.col("f").isNotNull())
-    return x.orderBy("sample", "f.r").limit(limit).select("sample", F.col("f.reason").alias("reason"))
+    x = x.orderBy("sample", "f.r")
+    return (x if limit is None else x.limit(limit)).select("sample", F.col("f.reason").alias("reason"))
 
 
 # E3 ---------------------------------------------------------------------------------------

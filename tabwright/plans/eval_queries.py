@@ -85,7 +85,7 @@ def sanity_report(spark, sf_dir):
   SELECT sample, 0 AS k, 'json_parse_error' AS reason FROM t WHERE NOT json_ok
   UNION ALL SELECT sample, 1, 'key_order_mismatch' FROM t WHERE json_ok AND NOT keys_ok
   UNION ALL SELECT sample, 2, 'type_mismatch' FROM t WHERE json_ok AND NOT types_ok)
-SELECT sample, reason FROM r ORDER BY sample, k LIMIT 50
+SELECT sample, reason FROM r ORDER BY sample, k
 """)
 def sanity_failures(spark, sf_dir):
     return EV.sanity_failures(EV.sanity_flags(_sanity_generations(spark, sf_dir), "sample"), "sample")

@@ -34,8 +34,8 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only pick our own
-    (a fresh scratch folder) when the session has none, as in local tests.
+    A cluster names it in ``spark.checkpoint.dir``; without that setting only a
+    ``local[...]`` session, as in tests, gets a fresh scratch folder.
     Sessions without a SparkContext (Spark Connect) use the conf value.
     """
     try:
@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tabwright-ckpt-", dir="/tmp")
     if sc is not None:
         sc.setCheckpointDir(conf_dir)

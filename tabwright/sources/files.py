@@ -110,6 +110,12 @@ def parquet_rows(spark: SparkSession, path: str) -> int:
         return 0
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write left its ``_SUCCESS`` marker in ``path``."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Zstd Parquet."""
     w = df.write.mode("overwrite").option("compression", "zstd")
@@ -123,16 +129,19 @@ class EmptyCacheError(RuntimeError):
 
 
 def materialize(build, spark: SparkSession, path: str, require_rows: bool = True) -> DataFrame:
-    """Reuse ``path`` if it holds rows, else (re)build it from ``build()``.
+    """Reuse ``path`` if a finished write left rows there, else (re)build it from ``build()``.
+
+    A folder without the writer's commit marker is rebuilt; an error while
+    reading a finished one is raised, not taken for an empty cache.
 
     ``build`` returns the DataFrame to persist.  With ``require_rows`` an
     empty result after the rebuild is an error.  Writing to the shared
     folder also cuts the lineage, so executors lost later recompute from
     the files, not from the start of the job.
     """
-    if parquet_rows(spark, path) <= 0:
+    if not committed(spark, path) or spark.read.parquet(path).isEmpty():
         write_parquet(build(), path)
-    if require_rows and parquet_rows(spark, path) <= 0:
+    if require_rows and spark.read.parquet(path).isEmpty():
         raise EmptyCacheError(f"{path} still has 0 rows after rebuild")
     return spark.read.parquet(path)
 

@@ -20,14 +20,18 @@ def run_incremental(spark: SparkSession, input_path: str, schema: TY.StructType
                     fmt: str = "parquet", max_files_per_trigger: int = 64, timeout_s: float | None = None) -> DataFrame:
     """Apply ``transform`` to every new file under ``input_path`` and append to ``output_path``.
 
-    Returns the batch view of the output table.
+    Returns the batch view of the output table.  A run longer than ``timeout_s``
+    is stopped and raises ``TimeoutError``; its finished batches stay, and the
+    next run goes on after them.
     """
     src = (spark.readStream.format(fmt).schema(schema)
            .option("maxFilesPerTrigger", max_files_per_trigger).load(input_path))
     q = (transform(src).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint_path).option("path", output_path)
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    if not q.awaitTermination(timeout_s) and timeout_s is not None:
+        q.stop()
+        raise TimeoutError(f"incremental run not finished after {timeout_s} s")
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(output_path)

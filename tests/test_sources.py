@@ -137,3 +137,13 @@ def test_line_numbers_with_interleaved_splits(spark):
     assert len(got) == 65
     for r in got:
         assert _json.loads(r["line"])["a"] == r["line_no"], (r["file_path"], r["line_no"], r["line"])
+
+
+def test_materialize_rebuilds_a_cache_without_commit_marker(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "cache")
+    assert SF.materialize(lambda: spark.range(2), spark, path).count() == 2
+    assert SF.materialize(lambda: spark.range(10), spark, path).count() == 2
+    os.remove(f"{path}/_SUCCESS")
+    assert SF.materialize(lambda: spark.range(10), spark, path).count() == 10
