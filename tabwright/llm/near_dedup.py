@@ -9,12 +9,19 @@ population count of two bitmaps' XOR estimates how many samples differ.
 1. In each band bucket every member is paired with the member of smallest id.
 2. Pairs pass a size bound and the odd-sketch bound, then their full sets are
    compared.  Confirmed links give components.
-3. Buckets that still hold several components have their cross-component pairs
-   tested inside a shuffled join, each pair in the first band it shares: first
-   the pairs whose sketches look like ``percent`` or better, which joins most of
-   what belongs together, then, between the components left, all pairs within
-   the sketch bound.  After this, every pair that met in a bucket is in one
-   component or was rejected, without listing the pairs of a group.
+3. Of the members of buckets that still hold several components, shingles in
+   at most ``RARE`` such members are rare.  Members of different components that
+   share a rare shingle among the first ones of both (fewest members first, as
+   many as a link may leave unshared, plus one) are tested as pairs: at most
+   ``RARE`` for each shingle.  Any other pair shares no rare shingle, if it
+   links, so its intersection m is at most the smaller count of other shingles,
+   and 100 * m >= percent * (na + nb - m) must hold.
+4. In each such bucket the members of other components are paired with the one
+   that has the smallest share of rare shingles (the least edited copy).
+5. Buckets that still hold several components have their cross-component pairs
+   tested inside a shuffled join, each pair in the first band it shares, which
+   keeps only pairs within the bound of 3 and the sketch bound.  After this,
+   every pair that met in a bucket is in one component or was rejected.
 
 With 42 bands of 6 rows a pair at similarity 0.8 misses every bucket with
 probability 3e-6; the sketch bound lies 5.5 standard deviations above the count
@@ -42,8 +49,8 @@ from . import common
 from .components import components
 
 SHINGLE, BANDS, ROWS, BITS = 2, 42, 6, 1024
-#: Sketch bounds of the two passes over cross-component pairs; the last one decides what may go untested.
-CROSS_SIGMAS = (0.0, 5.5)
+#: Members that a rare shingle has at most; any value gives the same result.
+RARE = 32
 _MULT = 0xD6E8FEB86659FD93
 _NO_ID = (1 << 63) - 1
 _SIGNATURE = T.StructType([
@@ -139,6 +146,12 @@ def _near(na: Column, nb: Column, sa: Column, sb: Column, percent: int, bound: i
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_xor_count(sa, sb) <= bound)
 
 
+def _may_link(x: str, y: str, percent: int, bound: int) -> Column:
+    n, m, rest = F.col(f"{x}.n"), F.col(f"{y}.n"), F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest"))
+    return ((100 * rest >= percent * (n + m - rest))
+            & _near(n, m, F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), percent, bound))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """One row per document row: ``doc_id``, ``doc_hash``, ``n_shingles``, ``component_id``."""
@@ -166,13 +179,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = (members.where("node.id != centre").select(F.col("node").alias("a"), "centre").distinct()
              .join(centres, "centre").join(ends, "a")
              .where(_near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent, bound)).select("a", "b"))
-    final = common.stage(components(_confirmed(docs, stars, ident, text_col, shingle, percent)), "components")
-    for sigmas in CROSS_SIGMAS:
-        limit = sketch_bound(bands * rows, bits, percent / 100, sigmas)
-        pairs = _cross_pairs(reps, members, final, percent, limit)
-        linked = _confirmed(docs, pairs, ident, text_col, shingle, percent)
+    stars = common.stage(stars, "pairs")
+    star_sets = _sets(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")), ident, text_col, shingle)
+    final = common.stage(components(_confirmed(star_sets, stars, percent)), "components")
+
+    mixed = _mixed(members, final)
+    sets = _sets(docs, mixed.select("node"), ident, text_col, shingle)
+    rare = _rare_shingles(sets)
+    own = rare.groupBy("node").agg(F.count("*").alias("own"))
+    traits = common.stage(reps.join(own, "node", "left").join(sets.select("node"), "node", "left_semi")
+                          .select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("rest"), "bands", "sketch"),
+                          "traits")
+    for candidates in (_hub_pairs, _rare_pairs, _cross_pairs):
+        found = candidates(rare, mixed, traits, percent, bound) if candidates is _rare_pairs else \
+            candidates(mixed, traits, percent, bound)
+        linked = _confirmed(sets, common.stage(found, "pairs"), percent)
         final = common.stage(_merged(final, components(linked.select(F.col("la").alias("a"), F.col("lb").alias("b")))),
                              "components")
+        mixed = _mixed(members, final) if candidates is not _cross_pairs else mixed
     classes = reps.select("node", "k1", "k2").join(final, "node", "left").select(
         "k1", "k2", F.coalesce("component.id", "node.id").alias("component"))
     return (sig.select("doc_id", "id", "doc_hash", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
@@ -180,22 +204,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.nullif(F.coalesce("component", "id"), F.lit(_NO_ID)).alias("component_id")))
 
 
-def _cross_pairs(reps: DataFrame, members: DataFrame, known: DataFrame, percent: int, bound: int) -> DataFrame:
-    """Pairs of different components (``a``, ``b``, labels ``la``, ``lb``) that share a band, within the bound.
+def _mixed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """``band, node, label`` of the buckets that hold several components."""
+    label = members.join(known, "node", "left").select(
+        "band", "node", F.coalesce("component", "node").alias("label"))
+    bands = label.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("band")
+    return common.stage(label.join(bands, "band"), "mixed")
+
+
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """``node, shingle, nodes``: the shingles of ``sets`` that at most ``RARE`` nodes have."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    few = each.groupBy("shingle").agg(F.count("*").alias("nodes")).where(F.col("nodes") <= RARE)
+    return common.stage(each.join(few, "shingle"), "rare")
+
+
+def _rare_pairs(rare: DataFrame, mixed: DataFrame, traits: DataFrame, percent: int, bound: int) -> DataFrame:
+    """Pairs of different components (``a``, ``b``, labels ``la``, ``lb``) with a rare shingle among the first of both."""
+    place = F.row_number().over(Window.partitionBy("node").orderBy("nodes", "shingle"))
+    about = mixed.select("node", "label").distinct().join(traits.select("node", "n", "sketch"), "node")
+    first = (rare.withColumn("place", place).where("nodes > 1").join(about, "node")
+             .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-6) + 1)
+             .select("shingle", "node", "label", "n", "sketch"))
+    first = common.stage(first, "first")
+    x, y = first.alias("x"), first.alias("y")
+    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label"))
+                   & _near(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent, bound))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
+                    F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct())
+
+
+def _hub_pairs(mixed: DataFrame, traits: DataFrame, percent: int, bound: int) -> DataFrame:
+    """Pairs (``a``, ``b``, labels ``la``, ``lb``) of a bucket's members with its member of fewest rare shingles."""
+    own = traits.select("node", ((F.col("n") - F.col("rest")) / F.col("n")).alias("share"))
+    hubs = (mixed.join(own, "node").groupBy("band").agg(F.min(F.struct("share", "node", "label")).alias("hub"))
+            .select("band", F.col("hub.node").alias("b"), F.col("hub.label").alias("lb")))
+    pairs = (mixed.join(hubs, "band").where("label != lb")
+             .select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct())
+    x = traits.select(F.col("node").alias("a"), F.struct("n", "rest", "sketch").alias("x"))
+    y = traits.select(F.col("node").alias("b"), F.struct("n", "rest", "sketch").alias("y"))
+    return (pairs.join(x, "a").join(y, "b").where(_may_link("x", "y", percent, bound)).select("a", "b", "la", "lb"))
+
+
+def _cross_pairs(mixed: DataFrame, traits: DataFrame, percent: int, bound: int) -> DataFrame:
+    """All pairs of different components (``a``, ``b``, labels ``la``, ``lb``) that share a band and may link.
 
     A pair is made in the first band it shares alone: ``before`` holds the
     member's keys of the earlier bands.
     """
-    label = members.join(known, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("label"))
-    mixed = label.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("band")
     before = F.slice("bands", F.lit(1), F.greatest(F.array_position("bands", F.col("band")) - 1, F.lit(0)).cast("int"))
-    side = common.stage(label.join(mixed, "band").join(reps.select("node", "n", "bands", "sketch"), "node")
-                        .select("band", "node", "label", "n", "sketch", before.alias("before")), "mixed")
+    side = common.stage(mixed.join(traits, "node").select(
+        "band", "node", "label", "n", "rest", "sketch", before.alias("before")), "sides")
     x, y = side.alias("x"), side.alias("y")
     return (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
-                   & _near(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent, bound)
-                   & ~F.arrays_overlap("x.before", "y.before"))
+                   & _may_link("x", "y", percent, bound) & ~F.arrays_overlap("x.before", "y.before"))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
                     F.col("x.label").alias("la"), F.col("y.label").alias("lb")))
 
@@ -208,16 +270,19 @@ def _merged(known: DataFrame, joined: DataFrame) -> DataFrame:
     return moved.union(lone.select("node", "component"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, ident: Column, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``, ...) whose full sets reach the similarity."""
-    pairs = common.stage(pairs, "pairs")
-    nodes = common.stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+def _sets(docs: DataFrame, nodes: DataFrame, ident: Column, text_col: str, shingle: int) -> DataFrame:
+    """``node, shingles`` of the given nodes (column ``node``, repeats allowed)."""
+    nodes = common.stage(nodes.distinct(), "nodes")
     ids = common.broadcast_if_small(nodes.select(F.col("node.id").alias("id")).distinct(), 16)
     sets = (docs.select(ident.alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
             .select("id", _set_udf(shingle)("t").alias("s"))
             .select(F.struct("id", "s.k1").alias("node"), "s.shingles"))
-    sets = common.stage(sets.join(common.broadcast_if_small(nodes, 32), "node", "left_semi")
+    return common.stage(sets.join(common.broadcast_if_small(nodes, 32), "node", "left_semi")
                         .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``, ...) whose full sets reach the similarity."""
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
     meet = F.size(F.array_intersect("sa", "sb")).cast("long")

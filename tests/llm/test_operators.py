@@ -114,6 +114,27 @@ def test_near_duplicates_of_a_chain(spark):
     assert got == {w[2] for w in brute_components(rows)} == {0}
 
 
+@pytest.mark.parametrize("rare", [2, 32])
+def test_near_duplicates_of_an_edited_group(spark, monkeypatch, rare):
+    """Copies of one text with few or many edits, from few or many words; about half of the pairs are links."""
+    monkeypatch.setattr(near_dedup, "RARE", rare)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(90), rng.randint(0, 14)):
+            words[k] = f"e{rng.randrange(40 if i % 2 else 4000)}"
+        rows.append((i, " ".join(words), None, 0, "", "", 0))
+    rows.sort(key=lambda r: -len(set(r[1].split()) - set(base)))     # the most edited have the smallest ids
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    want = brute_components(rows)
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select(
+        "doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(want)
+    assert 1 < len({w[2] for w in want}) < 100
+
+
 def test_mixing_sums_and_ties(spark, docs, empty, texts):
     m = mixing.mix(docs).select("source", "mix.*").collect()
     total = sum(r.size for r in m)
