@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, mixing, near_dedup, quality, suffix_dedup, token_output, toxicity, url_filter
+from . import (align, ann, decontaminate, html_extract, mixing, near_dedup, packing, quality, suffix_dedup, token_output,
+               toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,9 +96,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @_query
@@ -141,3 +142,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned on every document, and how common the id pairs they link are."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
