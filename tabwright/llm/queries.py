@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (align, ann, decontaminate, html_extract, mixing, near_dedup, packing, quality, suffix_dedup, token_output,
-               toxicity, url_filter)
+from . import (align, ann, collocations, decontaminate, html_extract, mixing, near_dedup, packing, quality,
+               suffix_dedup, token_output, toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,42 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 1024 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best-scoring phrases."""
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS m FROM c),
+scored AS (
+  SELECT cut.lang, cut.k, cut.phrase, cut.a, cut.m, x.a AS l, y.a AS r,
+         CAST(2000000 * CAST(cut.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.k = cut.m AND x.phrase = array_to_string(cut.ws[:cut.m], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.k = cut.k - cut.m AND y.phrase = array_to_string(cut.ws[cut.m + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1),
+part AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m:
+         list_transform(range(1, k - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))))) AS phrase
+  FROM c),
+around AS (SELECT lang, phrase, max(a) AS most FROM part GROUP BY ALL),
+stay AS (
+  SELECT best.* FROM best LEFT JOIN around ON around.lang = best.lang AND around.phrase = best.phrase
+  WHERE most IS NULL OR 100 * most < 80 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
