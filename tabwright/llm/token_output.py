@@ -25,14 +25,9 @@ no blocks and no rows; other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import os
-import re
 import struct
 import zlib
-from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, pieces
 
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 1 << 16, 112 << 10
@@ -52,87 +47,15 @@ _MAGIC = b"TWTK"
 _ENCODED = T.StructType([T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())])
 _BLOCK = ("part int, block int, part_start long, first_id long, last_id long, n_docs long, n_tokens long, "
           "dict_sha256 string, payload binary")
-# A space or newline between two other characters: the tokenizer's words never reach across its left side.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_RAW = "\n\n"
-_CACHE_WORDS, _LONG = 700_000, 200
-
-
-class Encoder:
-    """Ids of whole texts as bytes, with the ids of known words remembered.
-
-    A text is cut only where the tokenizer's own word splitting must cut too, so
-    the ids are those of the whole text.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.code = "H" if self.width == 2 else "I"         # little-endian machines, as Spark's own are
-        self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, keys: list[str]) -> list[bytes]:
-        texts = [k[2:] if k.startswith(_RAW) else k if k[:1] == "\n" else " " + k for k in keys]
-        return [array(self.code, e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        """Keys of a text's pieces: a word after a space, ``\\n`` and a word, or ``_RAW`` and any text."""
-        if any(s in text for s in self.special):
-            return [_RAW + text]
-        keys = text.replace("\n", " \n").split(" ")
-        words = text.split()
-        if len(words) != len(keys) or sum(map(len, words)) + len(keys) - 1 != len(text):
-            return [_RAW + p for p in _CUT.split(text)]      # other white space than single spaces and newlines
-        keys[0] = _RAW + keys[0]
-        return keys
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        gc.disable()          # the many short-lived lists would have the word table searched for garbage
-        try:
-            return self._texts(texts)
-        finally:
-            gc.enable()
-
-    def _texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.pieces(t) if t else [] for t in texts]
-        used = set(chain.from_iterable(split))
-        new = used.difference(self.words)
-        if len(self.words) + len(new) > _CACHE_WORDS:
-            self.words.clear()
-            new = used
-        # a word and one closing mark are two words to the tokenizer
-        marked = [p for p in new if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha()]
-        need = list(new.difference(marked) | {q for p in marked for q in (p[:-1], _RAW + p[-1])}.difference(self.words))
-        self.words.update(zip(need, self._encode(need)))
-        self.words.update((p, self.words[p[:-1]] + self.words[_RAW + p[-1]]) for p in marked)
-        get = {p: self.words[p] for p in used}.__getitem__
-        out = [b"".join(map(get, ps)) for ps in split]
-        for p in new:
-            if len(p) > _LONG:
-                del self.words[p]
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
 
 
 def _ids(path: str, end_id: int, texts: pa.Array):
-    enc = encoder(path)
-    end = np.array([end_id], enc.dtype).tobytes()
-    for _, chunk in common.text_chunks(texts, 1 << 20):
-        for ids in enc.encode([None if t is None else t.decode("utf-8", "replace") for t in chunk]):
-            yield ids + end
+    enc = pieces.byte_encoder(path)
+    end = np.array([end_id], enc.model.dtype).tobytes()
+    for _, chunk in pieces.chunks(texts):
+        ids, bounds = enc.encode(chunk)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[lo:hi].tobytes() + end
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -162,7 +85,7 @@ def _compress_udf(path: str, end_id: int, dictionary: bytes):
     def compress(texts: pa.Array) -> pa.Array:
         shared = zstandard.ZstdCompressionDict(dictionary)
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        width = encoder(path).width
+        width = pieces.byte_encoder(path).model.dtype.itemsize
         n, frames = [], []
         for ids in _ids(path, end_id, texts):
             n.append(len(ids) // width)
@@ -255,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     (rows.select("doc_id", "ident", "part", "e.n", "e.frame").repartition(parts, "part")
      .sortWithinPartitions("part", "ident")
      .select("part", "doc_id", "n", "frame")
-     .mapInArrow(_blocks(encoder(tokenizer).width, dict_hash), _BLOCK)
+     .mapInArrow(_blocks(pieces.byte_encoder(tokenizer).model.dtype.itemsize, dict_hash), _BLOCK)
      .write.option("compression", "none").parquet(f"{path}/blocks"))
 
 
