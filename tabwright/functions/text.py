@@ -42,6 +42,21 @@ def py_lines(x) -> Column:
             .otherwise(F.split(body, LINE_BREAK_RE, -1)))
 
 
+def drop_undecodable(x) -> Column:
+    """Text without the bytes that are no UTF-8, as ``errors="ignore"`` decodes it.
+
+    Invalid bytes become U+FFFD and are removed; the text's own U+FFFD are escaped
+    meanwhile.  Valid text, nearly all, is only tested.  Runs in the JVM on bytes, so
+    no Arrow batch ever holds an invalid string.
+    """
+    c = _c(x)
+    mark, esc = "\ufffd", "\u0010"
+    held = F.replace(F.replace(c, F.lit(esc), F.lit(esc + "a")), F.lit(mark), F.lit(esc + "b"))
+    clean = F.replace(F.make_valid_utf8(held), F.lit(mark), F.lit(""))
+    clean = F.replace(F.replace(clean, F.lit(esc + "b"), F.lit(mark)), F.lit(esc + "a"), F.lit(esc))
+    return F.when(F.is_valid_utf8(c), c).otherwise(clean)
+
+
 # F1 ------------------------------------------------------------------------
 def is_missing(x, na_token: str = "") -> Column:
     """Null, a missing token, or the NA token (trimmed, case-insensitive).

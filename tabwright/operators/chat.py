@@ -96,14 +96,25 @@ def messages_from_turns(turns: DataFrame, key: str = "conv_id", order: str = "tu
 def chat_rows_from_lines(lines: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:
     """M14 + F12 + F13 over JSONL message rows: ``(keep..., messages, char_len)``.
 
-    Each line is normalised by a small Arrow-batched helper (Python's JSON
-    text of list/dict contents and metadata is part of the result and of
-    ``char_len``); skipped lines (blank, invalid, no message list, no turns
-    left) are dropped.  Lengths are summed in Spark.
+    A small Arrow-batched helper decodes a line into its turns and metadata,
+    with Python's JSON text of list/dict contents and metadata (it is part of
+    the result and of ``char_len``).  Column functions choose the turn list,
+    put the metadata turn first, and drop turns that are no objects or have no
+    role; lines without turns left (blank, invalid, no list) are dropped.
     """
-    from ..functions.strict_json import chat_messages
+    from ..functions.strict_json import chat_parts
     keep = keep or []
-    x = lines.select(*keep, chat_messages(F.col(line_col)).alias("messages")).filter(F.col("messages").isNotNull())
+    x = lines.select(*keep, chat_parts(py_strip(line_col)).alias("_p"))
+    turns = F.when(F.col("_p.has_messages"), F.col("_p.messages")).otherwise(F.col("_p.conversations"))
+    x = x.withColumn("_turns", turns).filter(F.size("_turns") > 0)
+    first = F.element_at("_turns", 1)["role"]
+    inject = F.col("_p.metadata").isNotNull() & ~F.coalesce(first == "system", F.lit(False))
+    shown = F.struct(F.lit(True).alias("is_object"), F.lit("system").alias("role"),
+                     _metadata_turn(F.col("_p.metadata")).alias("content"))
+    turns = F.when(inject, F.concat(F.array(shown), F.col("_turns"))).otherwise(F.col("_turns"))
+    named = F.filter(turns, lambda t: t["is_object"] & (F.coalesce(py_strip(t["role"]), F.lit("")) != ""))
+    messages = F.transform(named, lambda t: F.struct(py_strip(t["role"]).alias("role"), t["content"].alias("content")))
+    x = x.select(*keep, messages.alias("messages")).filter(F.size("messages") > 0)
     clen = F.aggregate("messages", F.lit(0), lambda acc, m: acc + F.length(m["content"]))
     return x.withColumn("char_len", clen.cast("int"))
 

@@ -75,20 +75,65 @@ def statements_relation(df: DataFrame, key_cols: list[str], arr: Column) -> Data
 
 
 # X3 ---------------------------------------------------------------------------------
+_EXPLICIT = r'(?:\A|[\n\r])[\s]*\{"schema"'
+NO_OUTPUT, NO_SCHEMA, BROKEN_SCHEMA, EMPTY_SCHEMA = "no output", "no schema", "broken schema JSON", "empty schema"
+
+
+def schema_outcomes(df: DataFrame, key: str, raw_col: str) -> DataFrame:
+    """X3, every input row once: ``(key, kind, schema_json, reason)``.
+
+    ``kind`` is ``explicit`` where a line begins with ``{"schema"`` and a JSON object
+    stands there with nothing behind it on its last line (the first such line
+    counts); else ``final`` where an object follows ``### Final Schema:``, read
+    after missing commas between entries are put in; else ``rejected`` with a reason.
+    """
+    raw = F.col(raw_col)
+    starts = F.slice(F.split(raw, "(?=" + _EXPLICIT + ")", -1), 1, 1 << 30)
+    starts = F.filter(starts, lambda t: t.rlike(r"\A[\s]*\{\"schema\""))
+    pos = F.instr(raw, K.FINAL_SCHEMA_MARKER)
+    block = F.when(pos > 0, raw.substr(pos + F.lit(len(K.FINAL_SCHEMA_MARKER)), F.lit(BIG)))
+    block = F.regexp_replace(block, r'\}\s*\n\s*"', '},\n    "')
+    x = df.select(key, raw.isNull().alias("_none"), (F.size(starts) > 0).alias("_tried"), pos.alias("_pos"),
+                  SJ.json_values(starts).alias("_e"), SJ.json_values(F.array(block)).alias("_f"))
+    whole = F.filter("_e", lambda v: v.isNotNull() & (T.py_strip(v["rest"]) == ""))
+    x = x.withColumn("_ej", F.get(whole, F.lit(0))["json"]).withColumn("_fj", F.get("_f", F.lit(0))["json"])
+    full = F.coalesce(F.size(F.json_object_keys("_fj")) > 0, F.lit(False))
+    kind = F.when(F.col("_ej").isNotNull(), "explicit").when(full, "final").otherwise("rejected")
+    reason = (F.when(F.col("_none"), NO_OUTPUT).when(F.col("_fj").isNotNull(), EMPTY_SCHEMA)
+              .when((F.coalesce(F.col("_pos"), F.lit(0)) > 0) | F.col("_tried"), BROKEN_SCHEMA).otherwise(NO_SCHEMA))
+    return x.select(key, kind.alias("kind"), F.when(F.col("_ej").isNotNull(), F.col("_ej")).when(full, F.col("_fj"))
+                    .alias("schema_json"), F.when(F.col("_ej").isNull() & ~full, reason).alias("reason"))
+
+
+def final_schema_headers(outcomes: DataFrame, key: str) -> DataFrame:
+    """Tables and column headers of ``final`` outcomes, in the object's order: A5's long form.
+
+    Headers are the text elements of ``column_headers``, or of ``col_headers`` where
+    that is missing or empty; a table without any has one row with a null header.
+    """
+    x = outcomes.filter(F.col("kind") == "final").select(
+        key, F.posexplode(F.json_object_keys("schema_json")).alias("table_pos", "table_name"),
+        F.from_json("schema_json", "map<string,string>").alias("_m"))
+    x = x.withColumn("_v", F.try_parse_json(F.element_at("_m", F.col("table_name"))))
+
+    def texts(name):
+        found = F.try_variant_get("_v", f"$.{name}", "array<variant>")
+        return F.when(F.size(found) > 0, F.transform(
+            F.filter(found, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string")))
+    return x.select(key, "table_pos", "table_name", F.posexplode_outer(
+        F.coalesce(texts("column_headers"), texts("col_headers"))).alias("header_pos", "header"))
+
+
 def parse_schema_outputs(df: DataFrame, key: str, raw_col: str) -> tuple[DataFrame, DataFrame]:
     """X3 + A5: ``(explicit, fields)``.
 
     ``explicit`` holds records whose output carried a ``{"schema"...}`` line
     (its JSON text); ``fields`` holds the A5 field list built from the
-    ``### Final Schema:`` block of the others.
+    ``### Final Schema:`` block of the others.  :func:`schema_outcomes` has the rest.
     """
-    parsed = df.select(key, SJ.schema_block(F.col(raw_col)).alias("b"))
-    explicit = parsed.filter(F.col("b.kind") == "explicit").select(key, F.col("b.schema_json").alias("schema_json"))
-    final = parsed.filter(F.col("b.kind") == "final").select(key, F.posexplode("b.tables").alias("table_pos", "t"))
-    headers = final.select(key, "table_pos", F.col("t.name").alias("table_name"),
-                           F.posexplode_outer("t.headers").alias("header_pos", "header"))
-    fields = induce.header_schema_fields(headers, key=key)
-    return explicit, fields
+    out = schema_outcomes(df, key, raw_col)
+    explicit = out.filter(F.col("kind") == "explicit").select(key, "schema_json")
+    return explicit, induce.header_schema_fields(final_schema_headers(out, key), key=key)
 
 
 SCHEMA_OBJECT = ("struct<schema_id:string,structure:string,"
@@ -112,48 +157,69 @@ def schema_objects(explicit: DataFrame, fields: DataFrame, key: str) -> DataFram
 
 
 # X4 ---------------------------------------------------------------------------------
-def parse_markdown_tables_long(df: DataFrame, key: str, raw_col: str) -> DataFrame:
+NO_TABLES, NO_TABLE = "no tables section", "no table with a name and headers"
+
+
+def parse_markdown_tables_long(df: DataFrame, key: str, raw_col: str, with_rejects: bool = False) -> DataFrame:
     """Named tables under ``### Final Output Tables``, one row per table line.
 
     Returns ``(key, table_pos, table_name, kind, row_pos, headers, cells)``:
     ``kind`` is ``header`` (with ``headers``) or ``row`` (with ``row_pos``
     and F6 ``cells``).
     A later section with the same name replaces the earlier one but keeps
-    its position; blank cells are dropped before alignment.
+    its position; blank cells are dropped before alignment.  ``with_rejects``
+    adds a row of kind ``reject`` with ``reason`` for every record without a
+    table, so each key is either there with tables or rejected.
 
     Lines are exploded once; every later step is a window partitioned by
     the record (or by record plus section / name, which the record
     partitioning already satisfies), so the whole parse costs one shuffle
     and no record is gathered into a single row.
     """
-    lines = df.select(key, F.posexplode(T.py_lines(F.col(raw_col))).alias("pos", "line"))
+    lines = df.select(key, F.posexplode_outer(T.py_lines(F.col(raw_col))).alias("pos", "line"),
+                      F.col(raw_col).isNull().alias("absent"))
     s = lines.withColumn("line", T.py_strip("line"))
     by_rec = Window.partitionBy(key)
     s = s.withColumn("start", F.min(F.when(F.startswith("line", F.lit(K.FINAL_TABLES_MARKER)), F.col("pos"))).over(by_rec))
-    body = s.filter(F.col("pos") > F.col("start"))
-    body = body.withColumn("is_hdr", F.startswith("line", F.lit("### ")))
+    inside = F.coalesce(F.col("pos") > F.col("start"), F.lit(False))
+    body = s.withColumn("is_hdr", inside & F.startswith("line", F.lit("### ")))
+    if not with_rejects:
+        body = body.filter(inside)
     run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     body = body.withColumn("section", F.sum(F.col("is_hdr").cast("int")).over(run))
     cells = F.filter(F.transform(F.split("line", r"\|", -1), T.py_strip), lambda x: x != "")
-    body = body.withColumn("cells", F.when(~F.col("is_hdr") & F.col("line").contains("|"), cells))
+    body = body.withColumn("cells", F.when(inside & ~F.col("is_hdr") & F.col("line").contains("|"), cells))
     body = body.withColumn("has_cells", F.coalesce(F.size("cells") > 0, F.lit(False)))
     by_sec = Window.partitionBy(key, "section")
     body = (body.withColumn("hpos", F.min(F.when(F.col("has_cells"), F.col("pos"))).over(by_sec))
             .withColumn("name", F.max(F.when(F.col("is_hdr"), T.py_strip(F.regexp_replace("line", "^#+", "")))).over(by_sec)))
     # a section counts when it has a non-empty name and a header line
-    valid = body.filter((F.col("section") > 0) & (F.col("name") != "") & F.col("hpos").isNotNull() & F.col("has_cells"))
+    usable = (F.col("section") > 0) & (F.col("name") != "") & F.col("hpos").isNotNull() & F.col("has_cells")
+    body = body.withColumn("usable", F.coalesce(usable, F.lit(False)))
+    if with_rejects:
+        body = body.withColumn("n_usable", F.count_if("usable").over(by_rec))
+        reason = F.when(F.col("absent"), NO_OUTPUT).when(F.col("start").isNull(), NO_TABLES).otherwise(NO_TABLE)
+        rejects = F.coalesce(F.col("pos"), F.lit(0)) == 0
+        body = body.withColumn("reason", F.when((F.col("n_usable") == 0) & rejects, reason))
+        body = body.filter(F.col("usable") | F.col("reason").isNotNull())
+    else:
+        body = body.filter("usable").withColumn("reason", F.lit(None).cast("string"))
     by_name = Window.partitionBy(key, "name")
-    valid = (valid.withColumn("last", F.max("section").over(by_name))
-             .withColumn("first", F.min("section").over(by_name)))
-    kept = valid.filter(F.col("section") == F.col("last"))
+    kept = (body.withColumn("last", F.max("section").over(by_name))
+            .withColumn("first", F.min("section").over(by_name)))
+    kept = kept.filter((F.col("section") == F.col("last")) | F.col("reason").isNotNull())
     kept = kept.withColumn("table_pos", F.dense_rank().over(Window.partitionBy(key).orderBy("first")) - 1)
     kept = kept.withColumn("row_pos", F.row_number().over(Window.partitionBy(key, "section").orderBy("pos")) - 2)
-    is_head = F.col("pos") == F.col("hpos")
-    return kept.select(key, "table_pos", F.col("name").alias("table_name"),
-                       F.when(is_head, F.lit("header")).otherwise(F.lit("row")).alias("kind"),
-                       F.when(~is_head, F.col("row_pos")).alias("row_pos"),
-                       F.when(is_head, F.col("cells")).alias("headers"),
-                       F.when(~is_head, F.transform("cells", T.convert_cell)).alias("cells"))
+    rejected = F.col("reason").isNotNull()
+    is_head = F.coalesce(F.col("pos") == F.col("hpos"), F.lit(False)) & ~rejected
+    is_row = ~is_head & ~rejected
+    out = kept.select(key, F.when(~rejected, F.col("table_pos")).alias("table_pos"),
+                      F.when(~rejected, F.col("name")).alias("table_name"),
+                      F.when(rejected, "reject").when(is_head, "header").otherwise("row").alias("kind"),
+                      F.when(is_row, F.col("row_pos")).alias("row_pos"),
+                      F.when(is_head, F.col("cells")).alias("headers"),
+                      F.when(is_row, F.transform("cells", T.convert_cell)).alias("cells"), "reason")
+    return out if with_rejects else out.drop("reason")
 
 
 def parse_markdown_tables(df: DataFrame, key: str, raw_col: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ folder under the shared checkpoint directory, then read back.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,61 +22,139 @@ from .registry import query, table
 DOC_SCHEMA = "doc_id bigint, lang string, source string, n_chars bigint, text string"
 
 
+UNKNOWN_SQL = "CASE WHEN lang = 'fr' THEN 1 ELSE 0 END"
+BAD_SQL = "(lang IN ('de', 'es') OR (lang = 'en' AND source = 'src1'))"
+
+
 def _doc_lines(spark, sf_dir):
-    """One JSON line per document; German documents get a truncated (malformed)
-    line and ``src0`` documents are followed by a blank line."""
+    """One JSON line per document, with faults that follow the data.
+
+    German lines are cut short, Spanish ones have single quotes, English ones of
+    ``src1`` text behind the object: no JSON.  French ones hold ``n_chars`` as text and
+    an undeclared ``note``, English ones of ``src2`` a fraction there: JSON all the same.
+    A blank line follows documents of ``src0``.
+    """
     d = table(spark, sf_dir, "documents")
-    js = F.to_json(F.struct("doc_id", "lang", "source", "n_chars", "text"))
-    line = F.when(F.col("lang") == "de", F.regexp_replace(js, r"\}$", "")).otherwise(js)
+    cols = ["doc_id", "lang", "source", "n_chars", "text"]
+    js = F.to_json(F.struct(*cols))
+    noted = F.to_json(F.struct("doc_id", "lang", "source", F.col("n_chars").cast("string").alias("n_chars"), "text",
+                               F.struct(F.col("lang").alias("of"), F.array(F.col("source")).alias("in")).alias("note")))
+    part = F.to_json(F.struct("doc_id", "lang", "source", (F.col("n_chars") + F.lit(0.5)).alias("n_chars"), "text"))
+    line = (F.when(F.col("lang") == "de", F.regexp_replace(js, r"\}$", ""))
+            .when(F.col("lang") == "es", F.replace(js, F.lit('"'), F.lit("'")))
+            .when(F.col("lang") == "fr", noted)
+            .when(F.col("source") == "src1", F.concat(js, F.lit(" trailing")))
+            .when(F.col("source") == "src2", part).otherwise(js))
     line = F.when(F.col("source") == "src0", F.concat(line, F.lit("\n"))).otherwise(line)
-    return d.select(line.alias("value"), "lang")
+    return d.select("doc_id", line.alias("value"))
 
 
-def _write_doc_jsonl(spark, sf_dir, compression: str | None = None) -> str:
+def _write_doc_jsonl(spark, sf_dir) -> str:
+    """Part files whose lines follow ``doc_id`` through the files in name order."""
     path = SF.scratch_path(spark, "jsonl")
-    if compression == "zstd":
-        SJ.write_text_zstd(_doc_lines(spark, sf_dir), path)
-        return path
-    w = _doc_lines(spark, sf_dir).select("value").write.mode("overwrite")
-    if compression:
-        w = w.option("compression", compression)
-    w.text(path)
+    (_doc_lines(spark, sf_dir).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+     .select("value").write.mode("overwrite").text(path))
     return path
 
 
-# S1 S11 --------------------------------------------------------------------------------------
-@query("jsonl_lenient", sql="""
-SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents WHERE lang <> 'de'
+def _from_first_file(numbered):
+    """Lines numbered through all files in name order: ``line_no`` plus the lines of the files before."""
+    files = numbered.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)      # one row a file
+    files = files.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return numbered.join(files, "file_path")
+
+
+_LINES_SQL = """
+WITH d AS (SELECT *, CASE WHEN source = 'src0' THEN 2 ELSE 1 END AS n_lines FROM documents),
+l AS (SELECT *, CAST(coalesce(sum(n_lines) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             AS BIGINT) AS before FROM d)
+"""
+
+
+# S1 P6 ---------------------------------------------------------------------------------------
+@query("jsonl_lenient", sql=f"""
+SELECT doc_id, lang, CASE WHEN lang = 'en' AND source = 'src2' THEN NULL ELSE n_chars END AS n_chars,
+       md5(text) AS text_md5, {UNKNOWN_SQL}::BIGINT AS n_unknown, CASE WHEN lang = 'fr' THEN 'fr' END AS note_of
+FROM documents WHERE NOT {BAD_SQL}
 """)
 def jsonl_lenient(spark, sf_dir):
     df = SJ.read_jsonl_lenient(spark, _write_doc_jsonl(spark, sf_dir), DOC_SCHEMA)
-    return df.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
+    return df.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"),
+                     F.size("extra").cast("bigint").alias("n_unknown"),
+                     F.try_variant_get(F.element_at("extra", "note"), "$.of", "string").alias("note_of"))
+
+
+# P6 S11 S12 ----------------------------------------------------------------------------------
+@query("jsonl_carry_unknown", sql=f"""
+SELECT doc_id, length(text)::BIGINT AS stage_chars, md5(text) AS text_md5, true AS ascii_line,
+       CASE WHEN lang = 'fr' THEN source END AS note_in
+FROM documents WHERE NOT {BAD_SQL}
+""")
+def jsonl_carry_unknown(spark, sf_dir):
+    """Records pass a stage that adds a field, are written as ASCII JSON lines and read back."""
+    df = SJ.read_jsonl_lenient(spark, _write_doc_jsonl(spark, sf_dir), DOC_SCHEMA).drop("file_path", "file_name")
+    path = SF.scratch_path(spark, "jsonl-stage")
+    SJ.write_jsonl(df.withColumn("stage_chars", T.char_len("text")), path, ascii_only=True)
+    lines = SJ.with_records(SJ.read_lines(spark, path)).withColumn("ascii_line", ~F.col("line").rlike(r"[^\x00-\x7F]"))
+    back = SJ.with_fields(lines, "doc_id bigint, text string, stage_chars bigint")
+    return back.select("doc_id", "stage_chars", F.md5("text").alias("text_md5"), "ascii_line",
+                       F.try_variant_get(F.element_at("extra", "note"), "$.in[0]", "string").alias("note_in"))
 
 
 # S2 P4 ---------------------------------------------------------------------------------------
-@query("jsonl_strict_rejects", sql="""
-SELECT count(*)::BIGINT AS n_rejected, count(*)::BIGINT AS n_numbered FROM documents WHERE lang = 'de'
+@query("jsonl_strict_rejects", sql=_LINES_SQL + f"""
+SELECT doc_id, before + 1 AS line_no FROM l WHERE {BAD_SQL}
 """)
 def jsonl_strict_rejects(spark, sf_dir):
-    rej = SJ.jsonl_rejects(spark, _write_doc_jsonl(spark, sf_dir), DOC_SCHEMA)
-    return rej.agg(F.count(F.lit(1)).cast("bigint").alias("n_rejected"),
-                   F.count(F.when(F.col("line_no") >= 1, 1)).cast("bigint").alias("n_numbered"))
+    """Malformed lines with their line numbers."""
+    lines = _from_first_file(SJ.numbered_lines(spark, _write_doc_jsonl(spark, sf_dir)))
+    bad = SJ.with_records(lines).filter("bad")
+    return bad.select(F.regexp_extract("line", r"doc_id.:(\d+)", 1).cast("bigint").alias("doc_id"),
+                      (F.col("before") + F.col("line_no")).alias("line_no"))
+
+
+@query("jsonl_default_ids", sql=_LINES_SQL + f"""
+SELECT doc_id, CASE WHEN lang = 'fr' THEN 'fr-' || doc_id ELSE CAST(before AS VARCHAR) END AS id
+FROM l WHERE NOT {BAD_SQL}
+""")
+def jsonl_default_ids(spark, sf_dir):
+    """French records have an id of their own, all others get their zero-based line number (through all files)."""
+    path = _write_doc_jsonl(spark, sf_dir)
+    lines = _from_first_file(SJ.numbered_lines(spark, path))
+    own = F.regexp_replace("line", r'^\{"doc_id":(\d+),"lang":"fr"', r'{"id":"fr-$1","doc_id":$1,"lang":"fr"')
+    rec = SJ.with_records(lines.withColumn("line", own)).filter(~F.col("bad"))
+    rec = SJ.with_default_id(rec.withColumn("line_no", F.col("before") + F.col("line_no")))
+    return SJ.with_fields(rec.drop("line"), "doc_id bigint").select("doc_id", "id")
 
 
 # S3 S4 ---------------------------------------------------------------------------------------
-CODECS = {"gzip": ".gz", "bzip2": ".bz2", "zstd": ".zst"}
+CODECS = {"none": "", "gzip": ".gz", "bzip2": ".bz2", "zstd": ".zst"}
+_READ_SQL = "CASE lang WHEN 'en' THEN text || chr(65533) ELSE text END"
 
 
 @query("compressed_text", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS codec, count(*)::BIGINT AS n_records, sum(n_chars)::BIGINT AS sum_chars "
-    f"FROM documents WHERE lang <> 'de'" for c in CODECS))
+    f"SELECT '{c}' AS codec, count(*)::BIGINT AS n_records, sum(n_chars)::BIGINT AS sum_chars, "
+    f"sum(CAST('0x' || substr(md5({_READ_SQL}), 1, 7) AS BIGINT))::BIGINT AS sum_md5 FROM documents" for c in CODECS))
 def compressed_text(spark, sf_dir):
+    """French texts end in bytes that are no UTF-8 and are dropped, English ones in a U+FFFD of their own that stays."""
+    d = table(spark, sf_dir, "documents")
+    js = F.to_json(F.struct("doc_id", "lang", "source", "n_chars", "text"))
+    tail = (F.when(F.col("lang") == "fr", F.lit(bytearray(b"\xff\xe2\x82")).cast("string"))
+            .when(F.col("lang") == "en", F.lit("\ufffd")).otherwise(F.lit("")))
+    value = F.concat(F.substring(js, F.lit(1), F.length(js) - 2), tail, F.lit('"}'))
     out = None
     for codec, suffix in CODECS.items():
-        path = _write_doc_jsonl(spark, sf_dir, codec)
-        df = SJ.read_jsonl_lenient(spark, f"{path}/*{suffix}", DOC_SCHEMA)
+        path = SF.scratch_path(spark, "jsonl")
+        rows = d.select(value.alias("value"))
+        if codec == "zstd":
+            SJ.write_text_zstd(rows, path)
+        else:
+            rows.write.option("compression", codec).text(path)
+        df = SJ.read_jsonl_lenient(spark, f"{path}/part-*{suffix}", DOC_SCHEMA)
+        seven = F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("bigint")
         agg = df.agg(F.lit(codec).alias("codec"), F.count(F.lit(1)).cast("bigint").alias("n_records"),
-                     F.sum("n_chars").cast("bigint").alias("sum_chars"))
+                     F.sum("n_chars").cast("bigint").alias("sum_chars"), F.sum(seven).alias("sum_md5"))
         out = agg if out is None else out.unionByName(agg)
     return out
 

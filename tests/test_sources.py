@@ -7,6 +7,7 @@ import tempfile
 
 import pytest
 import zstandard
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabwright.sources import files as SF
@@ -37,16 +38,70 @@ def test_strict_reports_path_and_line(spark):
     _write(f"{d}/x.jsonl")
     with pytest.raises(SJ.StrictJsonError, match=r"x\.jsonl:5: invalid JSON"):
         SJ.read_jsonl_strict(spark, f"{d}/x.jsonl", SCHEMA)
-    rej = SJ.jsonl_rejects(spark, f"{d}/x.jsonl", SCHEMA).collect()
+    rej = SJ.jsonl_rejects(spark, f"{d}/x.jsonl").collect()
     assert [(r["line_no"], r["line"]) for r in rej] == [(5, "not json")]
 
 
-def test_python_strict_rejects_trailing_text(spark):
+def test_validity_is_apart_from_typing(spark):
     d = _dir()
+    lines = ['{"a": "2"}', '{"a": 6.5}', "{'a': 4}", '{"a": 5} trailing', '{"a": 1}', '{"a": 1}}', '{"a": 1, "a": 2}',
+             '{"a": NaN}', '[1]', 'null', '{"a": {"x": 1}, "b": {"y": [1, "\u00e9"]}, "c": null}']
     with open(f"{d}/t.jsonl", "w") as f:
-        f.write('{"a": 1} trailing\n{"a": 2}\n')
-    assert SJ.read_jsonl_lenient(spark, f"{d}/t.jsonl", SCHEMA).count() == 2
-    assert SJ.read_jsonl_lenient(spark, f"{d}/t.jsonl", SCHEMA, python_strict=True).count() == 1
+        f.write("\n".join(lines) + "\n")
+    rec = SJ.with_fields(SJ.read_records(spark, f"{d}/t.jsonl"), SCHEMA).orderBy("line_no").collect()
+    assert [r["line_no"] for r in rec if r["bad"]] == [3, 4, 6]
+    got = {r["line_no"]: (r["a"], r["b"], sorted(r["extra"] or {})) for r in rec if not r["bad"]}
+    assert got == {1: (2, None, []), 2: (None, None, []), 5: (1, None, []), 7: (2, None, []), 8: (None, None, []),
+                   9: (None, None, []), 10: (None, None, []), 11: (None, '{"y":[1,"\u00e9"]}', ["c"])}
+    assert {r["line_no"]: str(r["record"]) for r in rec}[2] == '{"a":6.5}'
+    obs = Observation()
+    assert SJ.read_jsonl_lenient(spark, f"{d}/t.jsonl", SCHEMA, obs).count() == 8
+    assert obs.get == {"n_lines": 11, "n_bad": 3}
+
+
+def test_nested_mistyped_field_loses_itself_only(spark):
+    df = spark.createDataFrame([('{"s": {"n": "x", "t": "ok", "l": [1, "2", {"z": 1}]}}',)], "line string")
+    r = SJ.with_fields(SJ.with_records(df), "s struct<n:int,t:string,l:array<int>>").first()
+    assert r["s"].asDict() == {"n": None, "t": "ok", "l": [1, 2, None]}
+
+
+def test_unknown_fields_pass_a_stage(spark):
+    import json
+    d = _dir()
+    rows = [{"a": 1, "b": "\u00e9\U0001f600", "u": {"k": [1, None]}, "w": None}, {"a": 2, "b": None}]
+    with open(f"{d}/t.jsonl", "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    df = SJ.read_jsonl_lenient(spark, f"{d}/t.jsonl", SCHEMA).drop("file_path", "file_name")
+    for ascii_only in (False, True):
+        SJ.write_jsonl(df.withColumn("n", F.lit(7)), f"{d}/out{ascii_only}", ascii_only=ascii_only)
+        lines = [r["line"] for r in SJ.read_lines(spark, f"{d}/out{ascii_only}").collect()]
+        assert sorted((json.loads(x) for x in lines), key=lambda r: r["a"]) == [r | {"n": 7} for r in rows]
+        assert all(x.isascii() for x in lines) == ascii_only
+    SJ.write_jsonl(df.drop("extra"), f"{d}/parts", ["a"], compression="gzip")
+    assert sorted(os.path.basename(x) for x in os.listdir(f"{d}/parts") if x.startswith("a=")) == ["a=1", "a=2"]
+
+
+def test_default_ids_are_zero_based_line_numbers(spark):
+    d = _dir()
+    with open(f"{d}/t.jsonl", "w") as f:
+        f.write('{"x": 1}\n\n{"id": 9}\nbroken\n{"id": null}\n{"x": 2}\n')
+    rec = SJ.with_default_id(SJ.read_records(spark, f"{d}/t.jsonl")).filter(~F.col("bad")).orderBy("line_no")
+    assert [r["id"] for r in rec.collect()] == ["0", "9", None, "5"]
+
+
+@pytest.mark.parametrize("suffix", ["txt", "gz", "bz2", "zst"])
+def test_undecodable_bytes_are_dropped(spark, suffix):
+    raw = (b'{"a":1,"b":"x\xffy"}\n{"a":2,"b":"\xef\xbf\xbd\xe2\x82z"}\n\xfe\n{"a":3,"b":"\x10b"}\n'
+           b'{"a":4,"b":"\xed\xa0\x80\xc0\x80\xf5"}\n')
+    d = _dir()
+    data = {"txt": bytes, "gz": gzip.compress, "bz2": bz2.compress,
+            "zst": zstandard.ZstdCompressor().compress}[suffix](raw)
+    with open(f"{d}/x.{suffix}", "wb") as f:
+        f.write(data)
+    got = [r["line"] for r in SJ.numbered_lines(spark, f"{d}/x.{suffix}").orderBy("line_no").collect()]
+    assert got == raw.decode("utf-8", "ignore").splitlines()
+    want = {1: "xy", 2: "\ufffdz", 4: ""}                        # a control character in a string is no JSON
+    assert {r["a"]: r["b"] for r in SJ.read_jsonl_lenient(spark, f"{d}/x.{suffix}", SCHEMA).collect()} == want
 
 
 @pytest.mark.parametrize("suffix", ["gz", "bz2", "zst"])
