@@ -57,6 +57,11 @@ def drop_undecodable(x) -> Column:
     return F.when(F.is_valid_utf8(c), c).otherwise(clean)
 
 
+def percent_decoded(x) -> Column:
+    """A URI path or an escaped partition value with its ``%XX`` decoded; ``+`` stays."""
+    return F.url_decode(F.replace(_c(x), F.lit("+"), F.lit("%2B")))
+
+
 # F1 ------------------------------------------------------------------------
 def is_missing(x, na_token: str = "") -> Column:
     """Null, a missing token, or the NA token (trimmed, case-insensitive).

@@ -7,7 +7,7 @@ strict mode with the first rejected record's id and reasons.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -63,6 +63,29 @@ def text_with_fallback(summary: str = "summary", text: str = "text") -> Column:
     return F.when(F.col(summary).isNotNull() & (F.col(summary) != ""), F.col(summary)).otherwise(F.col(text))
 
 
+NO_TEXT = "no 'summary' or 'text'"
+
+
+def with_input_text(df: DataFrame, summary: str = "summary", text: str = "text", out_col: str = "input_text") -> DataFrame:
+    """P3 on every record: the text, or ``reason`` where it has neither."""
+    out = df.withColumn(out_col, text_with_fallback(summary, text))
+    return out.withColumn("reason", F.when(F.col(out_col).isNull(), F.lit(NO_TEXT)))
+
+
+def split_on_reason(df: DataFrame, reason_col: str = "reason") -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)``: a row is in exactly one, by its ``reason``; the accepted ones lose that column.
+
+    Both are filters over one projection; persist ``df`` (S10) where its source is dear.
+    """
+    return df.filter(F.col(reason_col).isNull()).drop(reason_col), df.filter(F.col(reason_col).isNotNull())
+
+
+def observe_reasons(df: DataFrame, observation: Observation, reasons: list[str], reason_col: str = "reason") -> DataFrame:
+    """``df`` with failure counts: ``n_rows``, ``n_rejected`` and one count per known reason, ready when it was computed."""
+    counts = [F.count_if(F.col(reason_col) == r).alias(r) for r in reasons]
+    return df.observe(observation, F.count(F.lit(1)).alias("n_rows"), F.count(reason_col).alias("n_rejected"), *counts)
+
+
 def nonempty_table(columns: str = "table.columns", data: str = "table.data") -> Column:
     """A table with columns and rows (else no prompt and no output)."""
     return (F.coalesce(F.size(columns), F.lit(0)) > 0) & (F.coalesce(F.size(data), F.lit(0)) > 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import extract, messages
+from ..operators import extract, messages, validate
 from . import message_queries as MQ
 from . import sqltext as S
 from .registry import ORACLES, query, table
@@ -157,3 +157,79 @@ def schema_block_round_trip(spark, sf_dir):
     w = Window.partitionBy("record_id").orderBy("grp", "p1", "p2")
     return fields.select("record_id", "schema_id", F.row_number().over(w).cast("bigint").alias("field_rank"),
                          "name", "type", "required")
+
+
+# Every record is a result or a reject with its reason ----------------------------
+def _faulty_outputs(spark, sf_dir):
+    """Schema-stage outputs of parts; their kind follows the brand's first digit and the size.
+
+    1: an explicit schema line, 2: one broken off, then a final block; 3: a final block with a missing comma;
+    4: a final block that never closes; others: no schema, no text at all for sizes up to 10.
+    """
+    p = table(spark, sf_dir, "part")
+    words = T.json_string_array(F.split("p_name", " "))
+    digit = F.substring(F.regexp_extract("p_brand", r"(\d+)", 1), 1, 1)
+    entry = F.concat(F.lit('{"Part": {"row_headers": [], "column_headers": '), words, F.lit("}"))
+    explicit = F.concat(F.lit('Steps.\n  {"schema": {"schema_id": "p'), F.col("p_partkey").cast("string"),
+                        F.lit('",\n "fields": []}}\nDone {}.'))
+    broken = F.concat(F.lit('{"schema": {"schema_id": \n'), F.lit(K.FINAL_SCHEMA_MARKER + "\n"), entry, F.lit("}\nend"))
+    comma = F.concat(F.lit(K.FINAL_SCHEMA_MARKER + "\n"), entry, F.lit('\n "Size": {"col_headers": ["n", 3, null]}\n}'))
+    open_ = F.concat(F.lit(K.FINAL_SCHEMA_MARKER + "\n"), entry)
+    raw = (F.when(digit == "1", explicit).when(digit == "2", broken).when(digit == "3", comma).when(digit == "4", open_)
+           .when(F.col("p_size") > 10, F.concat(F.lit("Nothing but "), F.col("p_name"))))
+    return p.select(F.col("p_partkey").alias("id"), raw.alias("raw"))
+
+
+_DIGIT_SQL = "substr(regexp_extract(p_brand, '([0-9]+)'), 1, 1)"
+
+
+@query("schema_outcomes", sql=f"""
+WITH d AS (SELECT *, {_DIGIT_SQL} AS digit FROM part)
+SELECT p_partkey AS id,
+       CASE WHEN digit = '1' THEN 'explicit' WHEN digit IN ('2', '3') THEN 'final' ELSE 'rejected' END AS kind,
+       CASE WHEN digit IN ('1', '2', '3') THEN NULL WHEN digit = '4' THEN 'broken schema JSON'
+            WHEN p_size > 10 THEN 'no schema' ELSE 'no output' END AS reason,
+       CASE digit WHEN '2' THEN len(string_split(p_name, ' ')) WHEN '3' THEN len(string_split(p_name, ' ')) + 1
+            ELSE 0 END::BIGINT AS n_headers
+FROM d
+""")
+def schema_outcomes(spark, sf_dir):
+    """One outcome per record, and the headers of those that have a final block."""
+    out = extract.schema_outcomes(_faulty_outputs(spark, sf_dir), "id", "raw")
+    heads = extract.final_schema_headers(out, "id").groupBy("id").agg(F.count("header").alias("n"))
+    return out.join(heads, "id", "left").select("id", "kind", "reason", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_headers"))
+
+
+@query("table_outcomes", sql=f"""
+WITH d AS (SELECT *, {_DIGIT_SQL} AS digit FROM part),
+o AS (SELECT *, CASE WHEN digit = '1' THEN 'table' WHEN digit = '2' THEN 'no table with a name and headers'
+                     WHEN digit = '3' THEN 'no tables section' ELSE 'no output' END AS outcome FROM d)
+SELECT outcome, count(*)::BIGINT AS n_records, count(*) FILTER (WHERE outcome = 'table')::BIGINT * 2 AS n_lines FROM o GROUP BY outcome
+""")
+def table_outcomes(spark, sf_dir):
+    """Records by outcome of the table parser, with the lines of those that have a table."""
+    p = table(spark, sf_dir, "part")
+    digit = F.substring(F.regexp_extract("p_brand", r"(\d+)", 1), 1, 1)
+    good = F.concat(F.lit(K.FINAL_TABLES_MARKER + "\n### Part\n| name | size |\n| "), F.col("p_name"), F.lit(" | "),
+                    F.col("p_size").cast("string"), F.lit(" |"))
+    raw = (F.when(digit == "1", good).when(digit == "2", F.lit(K.FINAL_TABLES_MARKER + "\n### Part\nno lines"))
+           .when(digit == "3", F.concat(F.lit("### Part\n| a |\n| "), F.col("p_name"), F.lit(" |"))))
+    long = extract.parse_markdown_tables_long(p.select("p_partkey", raw.alias("raw")), "p_partkey", "raw", with_rejects=True)
+    return long.groupBy(F.coalesce("reason", F.lit("table")).alias("outcome")).agg(
+        F.count_distinct("p_partkey").cast("bigint").alias("n_records"),
+        F.count(F.when(F.col("kind") != "reject", 1)).cast("bigint").alias("n_lines"))
+
+
+@query("input_text_rejects", sql="""
+SELECT doc_id, CASE WHEN lang = 'de' THEN md5(text) WHEN lang IN ('fr', 'en') THEN md5(lang) END AS text_md5,
+       CASE WHEN lang = 'es' THEN 'no ''summary'' or ''text''' END AS reason
+FROM documents
+""")
+def input_text_rejects(spark, sf_dir):
+    """German records have a text and an empty summary, French and English ones a summary, Spanish ones neither."""
+    d = table(spark, sf_dir, "documents")
+    rec = d.select("doc_id", F.when(F.col("lang") == "de", F.lit("")).when(F.col("lang") != "es", F.col("lang")).alias("summary"),
+                   F.when(F.col("lang") == "de", F.col("text")).alias("text"))
+    ok, bad = validate.split_on_reason(validate.with_input_text(rec))
+    return (ok.select("doc_id", F.md5("input_text").alias("text_md5"), F.lit(None).cast("string").alias("reason"))
+            .unionByName(bad.select("doc_id", F.lit(None).cast("string").alias("text_md5"), "reason")))

@@ -292,10 +292,15 @@ f AS (SELECT CASE role WHEN 'user' THEN 'Team' ELSE upper(role[1]) || lower(role
 """
 
 
-@query("statement_dir_categories", sql=_TURN_FILES_SQL + "SELECT category, id, n_statements FROM f")
+@query("statement_dir_categories", sql=_TURN_FILES_SQL + "SELECT category, 'n/é +%' || id AS id, n_statements FROM f")
 def statement_dir_categories(spark, sf_dir):
+    """One file per (role, conversation) under a root and with ids that file URLs and partitions escape."""
     root = SF.scratch_path(spark, "statements")
-    SF.write_statement_dir(_turn_files(spark, sf_dir), root, layout="files")
+    root = f"{root}/a root + 100%"
+    files = _turn_files(spark, sf_dir).withColumnsRenamed({"category": "folder", "text": "value"})
+    files = files.withColumn("id", F.concat(F.lit("n/é +%"), F.col("id")))
+    files.filter("folder is not null").write.partitionBy("folder", "id").text(root)
+    files.filter("folder is null").drop("folder").write.mode("append").partitionBy("id").text(root)
     d = extract.with_numbered_statements(SF.read_statement_dir(spark, root), "text", "st")
     return d.select("category", "id", F.size("st").cast("bigint").alias("n_statements"))
 
@@ -306,7 +311,7 @@ SELECT category, count(*)::BIGINT AS n_files, sum(n_statements)::BIGINT AS n_sta
 def statement_dir_counts(spark, sf_dir):
     """S7 counts per category over the rows layout, written as a JSON report (S16) and read back."""
     root = SF.scratch_path(spark, "statements")
-    SF.write_statement_dir(_turn_files(spark, sf_dir), root, layout="rows")
+    SF.write_statement_dir(_turn_files(spark, sf_dir), root)
     d = extract.with_numbered_statements(SF.read_statement_rows(spark, root), "text", "st")
     counts = SF.count_files(d).join(
         d.groupBy("category").agg(F.sum(F.size("st")).cast("bigint").alias("n_statements")), "category")

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import unroll, validate
+from ..operators import json_tables, unroll, validate
+from ..sources import jsonl as JL
 from . import message_queries as MQ
 from . import sqltext as S
 from .registry import query, table
@@ -243,3 +244,88 @@ def unroll_scores(spark, sf_dir):
     pb, gb = EV.best_scores(pred, gold, scorer="exact")
     ex = EV.per_example(EV.soft_prf(pb, gb), ids, ["Team"])
     return ex.select("id", *[F.round(x, 6).alias(x) for x in ["precision", "recall", "f1"]])
+
+
+# G4 G5 A6 A7 P8 over JSON records ------------------------------------------------------------------
+JSON_COLS = ["l_quantity", "l_linenumber", "l_returnflag"]
+
+
+def _json_records(spark, sf_dir, named: bool):
+    """JSON lines of orders with their line items as a table.
+
+    Orders of status ``P`` have a null table, urgent ones a table without rows; the
+    return flag of open lines is null.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.struct(
+            "l_linenumber", "l_quantity", F.when(F.col("l_linestatus") != "O", F.col("l_returnflag")).alias("l_returnflag")).alias("x"))
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    cells = F.transform("x", lambda r: F.concat(
+        F.lit("["), F.array_join(F.array(*[F.coalesce(F.to_json(F.array(r[c])), F.lit("[null]")) for c in JSON_COLS]), ","), F.lit("]")))
+    data = F.concat(F.lit("["), F.array_join(F.transform(cells, lambda c: F.regexp_replace(c, r"\[([^\[\]]*)\](?=[,\]])", "$1")), ","), F.lit("]"))
+    o = table(spark, sf_dir, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    data = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("[]")).otherwise(data)
+    names = ", ".join(f'{{"name": "{c}"}}' for c in JSON_COLS) if not named else ", ".join(f'"{c}"' for c in JSON_COLS)
+    if named:
+        body = F.concat(F.lit('{"headers": [' + names + '], "rows": '), data, F.lit("}"))
+        status = F.concat(F.lit('{"headers": ["status", "urgent"], "rows": [["'), F.col("o_orderstatus"), F.lit('", '),
+                          (F.col("o_orderpriority") == "1-URGENT").cast("string"), F.lit("]]}"))
+        body = F.concat(F.lit('{"Line Items": '), F.when(F.col("o_orderstatus") == "P", F.lit("null")).otherwise(body),
+                        F.lit(', "Status": '), status, F.lit(', "None": 3}'))
+    else:
+        body = F.when(F.col("o_orderstatus") == "P", F.lit("null")).otherwise(
+            F.concat(F.lit('{"columns": [' + names + '], "data": '), data, F.lit("}")))
+    line = F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit(', "tables": '), body, F.lit("}"))
+    return JL.with_fields(JL.with_records(o.select(line.alias("line"))), "id bigint")
+
+
+_JSON_LINES_SQL = """
+WITH x AS (
+  SELECT o_orderkey AS id, CAST(l_linenumber AS VARCHAR) AS n, CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR) AS q,
+         CASE WHEN l_linestatus <> 'O' THEN l_returnflag END AS f, l_linenumber, l_quantity
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l_linenumber, l_quantity, f NULLS FIRST) AS pos FROM x),
+k AS (SELECT id, CASE WHEN count(DISTINCT q) = count(*) THEN 1 WHEN count(DISTINCT n) = count(*) THEN 2
+                      WHEN count(DISTINCT f) = count(*) THEN 3 END AS key_pos FROM x GROUP BY id),
+c AS (SELECT r.id, pos, key_pos, unnest([q, n, f]) AS v, unnest(['l_quantity', 'l_linenumber', 'l_returnflag']) AS col,
+             unnest([1, 2, 3]) AS col_pos,
+             CASE key_pos WHEN 1 THEN q WHEN 2 THEN n WHEN 3 THEN f ELSE 'row ' || pos END AS subject
+      FROM r JOIN k ON r.id = k.id),
+lines AS (SELECT id, count(*)::BIGINT AS n_statements,
+                 md5(string_agg('The ' || col || ' of ' || subject || ' is ' || v || '.', chr(10) ORDER BY pos, col_pos)) AS statements_md5
+          FROM c WHERE v IS NOT NULL AND col_pos IS DISTINCT FROM key_pos GROUP BY id)
+"""
+
+
+@query("json_pivot_unroll", sql=_JSON_LINES_SQL + "SELECT * FROM lines")
+def json_pivot_unroll(spark, sf_dir):
+    t = json_tables.with_statements(json_tables.pivot_tables(_json_records(spark, sf_dir, False), "tables"))
+    return t.select("id", F.size("statements").cast("bigint").alias("n_statements"),
+                    F.md5(F.array_join(F.transform("statements", lambda s: s["statement"]), "\n")).alias("statements_md5"))
+
+
+@query("json_named_unroll", sql=_JSON_LINES_SQL + """
+SELECT id, 'Line Items' AS table_name, 'line_items' AS category, n_statements, statements_md5 FROM lines
+UNION ALL
+SELECT o_orderkey, 'Status', 'status', 1,
+       md5('The urgent of ' || o_orderstatus || ' is ' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'True' ELSE 'False' END || '.')
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+""")
+def json_named_unroll(spark, sf_dir):
+    t = json_tables.with_statements(json_tables.named_tables(_json_records(spark, sf_dir, True)))
+    return t.select("id", "table_name", "category", F.size("statements").cast("bigint").alias("n_statements"),
+                    F.md5(F.array_join(F.transform("statements", lambda s: s["statement"]), "\n")).alias("statements_md5"))
+
+
+@query("json_table_names", sql="""
+SELECT 'Status' AS table_name, 'multi' AS format, count(*)::BIGINT AS n_records
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) HAVING count(*) > 0
+UNION ALL
+SELECT 'Line Items', 'multi', count(*)::BIGINT FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+HAVING count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT') > 0
+""")
+def json_table_names(spark, sf_dir):
+    """Usable names of the whole data set (A7) beside its format."""
+    rec = _json_records(spark, sf_dir, True)
+    kinds = json_tables.table_kind(rec, "tables").groupBy("format").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"))
+    return json_tables.table_names(rec).join(kinds, F.col("format") == "multi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,67 +22,62 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 # S5 / S6 / S7 -------------------------------------------------------------------------
+def _plain_path(spark: SparkSession, path: str) -> str:
+    """The absolute path of a file or folder without scheme and host, as it is named (not percent-encoded)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath()
+
+
 def read_statement_dir(spark: SparkSession, root: str) -> DataFrame:
     """S5 + S6: statement files, one per id, in either layout:
 
     * ``<root>/<category>/<id>.txt`` and ``<root>/<id>.txt`` (one file per id), or
     * ``<root>/folder=<category>/id=<id>/*.txt`` and ``<root>/id=<id>/*.txt``
-      (what :func:`write_statement_dir` writes).
+      (Spark's partitioned layout).
 
     Returns ``(folder, category, id, text)``: ``folder`` is the raw
     sub-folder ('' for root files), ``category`` its F7 display name; root
     files form ``Team`` only when there is no ``team`` folder.  Each file is
-    one row (``wholetext``); files are small, one per id.
+    one row (``wholetext``); files are small, one per id.  File URLs and escaped
+    partition values are decoded, so names and the root may hold blanks,
+    percent signs and any letters, partition values slashes too.
     """
-    root = root.rstrip("/")
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
           .text(root, wholetext=True))
-    path = F.col("_metadata.file_path")
-    rel = F.regexp_replace(path, r"^.*?" + _escape(root.split(":", 1)[-1]) + "/", "")
-    parts = F.split(rel, "/")
+    base = _plain_path(spark, root).rstrip("/") + "/"
+    path = T.percent_decoded(F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][\w+.-]*:(//[^/]*)?(?=/)", ""))
+    df = df.select(F.col("value"), path.alias("path")).filter(F.startswith("path", F.lit(base)))
+    parts = F.split(F.substring("path", len(base) + 1, 1 << 30), "/", -1)
+    value = lambda p: T.percent_decoded(F.substring(p, F.instr(p, "=") + 1, F.length(p)))
     id_seg = F.filter(parts, lambda p: F.startswith(p, F.lit("id=")))
     hive = F.size(id_seg) > 0
-    ident = F.when(hive, F.substring_index(F.get(id_seg, 0), "=", -1)).otherwise(
-        F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
+    ident = F.when(hive, value(F.get(id_seg, F.lit(0)))).otherwise(
+        F.regexp_replace(F.element_at(parts, -1), r"(?s)(?<=.)\.[^.]*$", ""))
     first = parts[0]
-    folder = (F.when(hive & ~F.startswith(first, F.lit("id=")), F.substring_index(first, "=", -1))
+    folder = (F.when(hive & F.startswith(first, F.lit("folder=")), value(first))
               .when(~hive & (F.size(parts) > 1), first).otherwise(F.lit("")))
     depth_ok = F.when(hive, F.size(parts) <= 3).otherwise(F.size(parts) <= 2)
-    x = df.select(folder.alias("folder"), ident.alias("id"), F.col("value").alias("text"),
+    x = df.select(folder.alias("folder"), ident.alias("id"), T.drop_undecodable("value").alias("text"),
                   depth_ok.alias("_ok")).filter("_ok").drop("_ok")
     return _categories(x)
 
 
-def _escape(s: str) -> str:
-    out = []
-    for ch in s:
-        out.append("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch)
-    return "".join(out)
-
-
 def count_files(statements: DataFrame) -> DataFrame:
     """Files per category."""
     return statements.groupBy("category").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
 
 
 def write_statement_dir(df: DataFrame, path: str, category_col: str = "category", id_col: str = "id",
-                        text_col: str = "text", layout: str = "rows") -> None:
-    """Statement texts per (category, id); a null category is the root.
-
-    ``layout="rows"`` (the scalable sink) writes JSON rows ``(id, text)``
-    partitioned by ``folder=<F8 name>`` (``folder=__root__`` for the root);
-    read it with :func:`read_statement_rows`.  ``layout="files"`` writes one
-    file per id under ``folder=<name>/id=<id>/`` for tools that expect a
-    file per id; that is a small-files layout and meant for modest outputs.
+                        text_col: str = "text") -> None:
+    """Statement texts per (category, id) as JSON rows ``(id, text)``; a null category is the root.
+
+    Partitioned by ``folder=<F8 name>`` (``folder=__root__`` for the root), read back by
+    :func:`read_statement_rows`.  Ids are data, so any text is one; a folder per id would
+    make as many files as rows.
     """
     x = df.select(F.coalesce(T.safe_table_name(category_col), F.lit(ROOT_FOLDER)).alias("folder"),
                   F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    if layout == "rows":
-        x.write.mode("overwrite").partitionBy("folder").json(path)
-        return
-    x = x.withColumnRenamed("text", "value")
-    x.filter(F.col("folder") != ROOT_FOLDER).write.mode("overwrite").partitionBy("folder", "id").text(path)
-    x.filter(F.col("folder") == ROOT_FOLDER).drop("folder").write.mode("append").partitionBy("id").text(path)
+    x.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("folder").json(path)
 
 
 ROOT_FOLDER = "__root__"
@@ -101,13 +98,22 @@ def _categories(x: DataFrame) -> DataFrame:
     return subs.unionByName(roots)
 
 
+#: What Spark says of a path without rows: missing, without Parquet files, or with files that are none.
+_NO_ROWS = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
+
+
 # S8 / S9 / S10 --------------------------------------------------------------------------
 def parquet_rows(spark: SparkSession, path: str) -> int:
-    """Row count from the footers; 0 when missing or unreadable."""
+    """Row count from the footers; 0 when the path is missing or holds no readable Parquet.
+
+    Other errors (a lost store, a failed job) are raised: they say nothing about the rows.
+    """
     try:
         return spark.read.parquet(path).count()
-    except Exception:  # noqa: BLE001
-        return 0
+    except (PySparkException, Py4JJavaError) as e:
+        if any(reason in str(e) for reason in _NO_ROWS):
+            return 0
+        raise
 
 
 def committed(spark: SparkSession, path: str) -> bool:

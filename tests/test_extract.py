@@ -134,3 +134,46 @@ def test_first_user_turn_missing_and_unknown_keys(spark):
     assert df.select(extract.first_user_turn("messages").alias("u")).first()["u"] == ""
     r = EV.sanity_flags(df, "k").first()          # no schema: keys mismatch, unknown key typed as string
     assert (r["json_ok"], r["keys_ok"], r["types_ok"]) == (True, False, True)
+
+
+def test_every_schema_output_has_one_outcome(spark):
+    rows = [(1, SCHEMA_OUT), (2, '{"schema": {"a": 1}}  \n'), (3, '{"schema": {"a": 1}} trailing'), (4, None), (5, ""), (6, "no marker"),
+            (7, "### Final Schema:\n{}"), (8, "### Final Schema:\nnothing"), (9, '### Final Schema:\n{"T": {"column_headers": ["a"'),
+            (10, '{"schema": {\n{"schema": {"late": true}}'), (11, '{"schema": [1,\n2]}\n### Final Schema:\n{"T": 3}'),
+            (12, 'text {"schema": 1}\n### Final Schema:\n{"T": {"column_headers": [], "col_headers": ["b", 4, "c"]}, "U": []}')]
+    out = extract.schema_outcomes(spark.createDataFrame(rows, "k long, raw string"), "k", "raw")
+    got = {r["k"]: (r["kind"], r["reason"]) for r in out.collect()}
+    assert got == {1: ("final", None), 2: ("explicit", None), 3: ("rejected", extract.BROKEN_SCHEMA),
+                   4: ("rejected", extract.NO_OUTPUT), 5: ("rejected", extract.NO_SCHEMA), 6: ("rejected", extract.NO_SCHEMA),
+                   7: ("rejected", extract.EMPTY_SCHEMA), 8: ("rejected", extract.BROKEN_SCHEMA),
+                   9: ("rejected", extract.BROKEN_SCHEMA), 10: ("explicit", None), 11: ("explicit", None), 12: ("final", None)}
+    text = {r["k"]: json.loads(r["schema_json"]) for r in out.filter("kind = 'explicit'").collect()}
+    assert text == {2: {"schema": {"a": 1}}, 10: {"schema": {"late": True}}, 11: {"schema": [1, 2]}}
+    heads = extract.final_schema_headers(out, "k").filter("k = 12").orderBy("table_pos", "header_pos").collect()
+    assert [(r["table_pos"], r["table_name"], r["header_pos"], r["header"]) for r in heads] == [
+        (0, "T", 0, "b"), (0, "T", 1, "c"), (1, "U", None, None)]
+
+
+def test_every_table_output_has_one_outcome(spark):
+    rows = [(1, TABLE_OUT), (2, None), (3, ""), (4, "### T\n|a|\n|1|"), (5, "### Final Output Tables\n### \n|a|\n### T\ntext"),
+            (6, "### Final Output Tables\n### T\n|a|\n|1|")]
+    df = spark.createDataFrame(rows, "k long, raw string")
+    long = extract.parse_markdown_tables_long(df, "k", "raw", with_rejects=True)
+    rejects = {r["k"]: r["reason"] for r in long.filter("kind = 'reject'").collect()}
+    assert rejects == {2: extract.NO_OUTPUT, 3: extract.NO_TABLES, 4: extract.NO_TABLES, 5: extract.NO_TABLE}
+    assert sorted(r["k"] for r in long.filter("kind = 'header'").select("k").distinct().collect()) == [1, 6]
+    plain = extract.parse_markdown_tables_long(df, "k", "raw")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, long.filter("kind != 'reject'").drop("reason").collect()))
+
+
+def test_reasons_are_counted_while_the_result_is_computed(spark):
+    from pyspark.sql import Observation
+
+    from tabwright.operators import validate
+    df = spark.createDataFrame([(1, "", "t"), (2, None, None), (3, "s", None), (4, "", None)], "id long, summary string, text string")
+    obs = Observation()
+    marked = validate.observe_reasons(validate.with_input_text(df), obs, [validate.NO_TEXT])
+    ok, bad = validate.split_on_reason(marked)
+    assert sorted((r["id"], r["input_text"]) for r in ok.collect()) == [(1, "t"), (3, "s")]      # a sort would read twice
+    assert obs.get == {"n_rows": 4, "n_rejected": 2, validate.NO_TEXT: 2}
+    assert [r["id"] for r in bad.orderBy("id").collect()] == [2, 4]

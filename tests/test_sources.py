@@ -202,3 +202,26 @@ def test_materialize_rebuilds_a_cache_without_commit_marker(spark, tmp_path):
     assert SF.materialize(lambda: spark.range(10), spark, path).count() == 2
     os.remove(f"{path}/_SUCCESS")
     assert SF.materialize(lambda: spark.range(10), spark, path).count() == 10
+
+
+def test_statement_paths_are_decoded(spark):
+    d = _dir() + "/st dir+100%é"
+    _tree(d, {"1 a.txt": "x", "pläyer one/b+c%20.txt": "y", "pläyer one/.hidden": "", "deep/er/1.txt": "no", "v.1.txt": "z"})
+    got = sorted((r["folder"], r["id"], r["text"]) for r in SF.read_statement_dir(spark, d).collect())
+    assert got == [("", "1 a", "x"), ("", "v.1", "z"), ("pläyer one", "b+c%20", "y")]
+    rows = spark.createDataFrame([("Tab One", "a/b c", "t1"), (None, "\u00e9=%", "t2"), ("Tab One", "", None)],
+                                 "category string, id string, text string")
+    SF.write_statement_dir(rows, d + "/rows out")
+    got = sorted((r["folder"], r["id"], r["text"]) for r in SF.read_statement_rows(spark, d + "/rows out").collect() if r["id"])
+    assert got == [("", "\u00e9=%", "t2"), ("tab_one", "a/b c", "t1")]
+
+
+def test_parquet_rows_of_missing_and_broken_paths(spark):
+    d = _dir()
+    assert SF.parquet_rows(spark, f"{d}/none") == 0
+    os.makedirs(f"{d}/empty")
+    assert SF.parquet_rows(spark, f"{d}/empty") == 0
+    _tree(d, {"junk/part-0.parquet": "not parquet at all"})
+    assert SF.parquet_rows(spark, f"{d}/junk") == 0
+    spark.range(3).write.parquet(f"{d}/ok")
+    assert SF.parquet_rows(spark, f"{d}/ok") == 3
