@@ -43,7 +43,7 @@ LONGEST = 4
 WORD_BITS, PHRASE_BITS = 24, 26
 #: The first threshold leaves about this many pairs of words per wanted phrase; each expansion four times as many.
 FIRST_SHARE, WIDER = 3, 4
-_CHUNK = 16 << 20
+_CHUNK = 6 << 20
 _GRADE = 10                     # thresholds are multiples of 2**_GRADE
 _ROT = (0, 21, 42)
 
