@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from ..functions import constants as K
 from ..functions import text as T
@@ -23,17 +24,29 @@ def _cells(df: DataFrame, columns: list[str] | None, as_text: dict | None = None
     return [(c, as_text.get(c, F.col(c).cast("string"))) for c in cols]
 
 
-def _type_flag_aggs(v: Column, prefix: str, na_token: str = "") -> list[Column]:
-    miss = T.is_missing(v, na_token)
-    present = ~miss
-    return [
-        F.count(F.lit(1)).alias(f"{prefix}n"),
-        F.count(F.when(miss, 1)).alias(f"{prefix}miss"),
-        F.count(F.when(present & ~T.is_bool_text(v), 1)).alias(f"{prefix}nb"),
-        F.count(F.when(present & ~T.is_int_text(v), 1)).alias(f"{prefix}ni"),
-        F.count(F.when(present & ~T.is_date_text(v), 1)).alias(f"{prefix}nd"),
-        F.count(F.when(present & ~T.is_number_text(v), 1)).alias(f"{prefix}nn"),
-    ]
+def _type_flag_aggs(v: Column, prefix: str, na_token: str = "", dtype: TY.DataType | None = None) -> list[Column]:
+    """Counters of rows, missing values, and present values that are no boolean / integer / date / number.
+
+    ``dtype`` is the column's own type where its text is its plain cast: integers and
+    floating numbers are then judged by value, and only floats that print with an
+    exponent by their text.
+    """
+    if isinstance(dtype, TY.IntegralType) and not na_token:
+        present = v.isNotNull()
+        flags = [~v.isin(0, 1), F.lit(False), ~v.between(1000, 9999), F.lit(False)]
+        missing = v.isNull()
+    elif isinstance(dtype, (TY.DoubleType, TY.FloatType)) and not na_token:
+        text, size = v.cast("string"), F.abs(v)
+        plain = (v == 0) | ((size >= 1e-3) & (size < 1e7))         # prints as digits, a point and digits
+        present, missing = v.isNotNull(), v.isNull()
+        flags = [F.lit(True), F.lit(True), F.lit(True), F.when(plain, F.lit(False)).otherwise(~T.is_number_text(text))]
+    else:
+        v = v.cast("string")
+        missing = T.is_missing(v, na_token)
+        present = ~missing
+        flags = [~T.is_bool_text(v), ~T.is_int_text(v), ~T.is_date_text(v), ~T.is_number_text(v)]
+    return [F.count(F.lit(1)).alias(f"{prefix}n"), F.count_if(missing).alias(f"{prefix}miss"),
+            *[F.count_if(present & no).alias(prefix + k) for k, no in zip(("nb", "ni", "nd", "nn"), flags)]]
 
 
 def _type_from_flags(prefix: str) -> tuple[Column, Column]:
@@ -60,8 +73,9 @@ def infer_column_types(df: DataFrame, columns: list[str] | None = None, na_token
     """
     cells = _cells(df, columns, as_text)
     aggs = []
-    for i, (_, v) in enumerate(cells):
-        aggs += _type_flag_aggs(v, f"c{i}_", na_token)
+    for i, (name, v) in enumerate(cells):
+        own = name not in (as_text or {})
+        aggs += _type_flag_aggs(F.col(name) if own else v, f"c{i}_", na_token, df.schema[name].dataType if own else None)
     row = df.agg(*aggs)
     structs = []
     for i, (name, _) in enumerate(cells):
@@ -100,47 +114,57 @@ def small_enums(cells: DataFrame, group_cols: list[str], value_col: str = "value
 
     The first spelling (smallest ``pos``) of each folded value is kept and the
     list is in order of first appearance.  Returns ``(group..., n_distinct,
-    enum_values ARRAY<STRING> or null)``.
+    enum_values ARRAY<STRING> or null)``; ``n_distinct`` is null beyond ``max_size``.
+
+    A sketch of fixed size per group (one scan, merged map-side) rules out groups
+    with far more values, so the values of such columns are never shuffled; the
+    others leave a task as a few partial sums.  Sketches count small sets exactly
+    but for chance of about 1e-9, and a group is ruled out only at four times the size.
     """
     v = T.py_strip(F.col(value_col))
     nm = cells.filter(~T.is_missing(F.col(value_col), na_token)).select(
         *group_cols, F.col(pos_col).alias("_pos"), v.alias("_v"))
-    groups = nm.groupBy(*group_cols, F.lower("_v").alias("_k")).agg(
+    sketch = nm.groupBy(*group_cols).agg(F.approx_count_distinct(F.lower("_v"), 0.02).alias("_about"))
+    few = nm.join(sketch.filter(F.col("_about") <= 4 * max_size).select(*group_cols), group_cols, "left_semi")
+    groups = few.groupBy(*group_cols, F.lower("_v").alias("_k")).agg(
         F.min_by("_v", "_pos").alias("_spelling"), F.min("_pos").alias("_first"))
-    counts = groups.groupBy(*group_cols).agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
-    small = counts.filter(F.col("n_distinct").between(min_size, max_size))
-    # Only groups of columns that qualify are collected: at most max_size each.
-    enum = (groups.join(small.select(*group_cols), group_cols, "left_semi")
-            .groupBy(*group_cols)
-            .agg(F.sort_array(F.collect_list(F.struct("_first", "_spelling"))).alias("_e"))
-            .select(*group_cols, F.transform("_e", lambda x: x["_spelling"]).alias("enum_values")))
-    return counts.join(enum, group_cols, "left")
+    # Only groups of columns that qualify are collected: at most 4 * max_size values each.
+    values = groups.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct("_first", "_spelling"))).alias("_e"))
+    n = F.size("_e")
+    exact = values.select(*group_cols, F.when(n <= max_size, n.cast("bigint")).alias("n_distinct"), F.when(
+        n.between(min_size, max_size), F.transform("_e", lambda x: x["_spelling"])).alias("enum_values"))
+    return sketch.select(*group_cols).join(exact, group_cols, "left")
 
 
 # A10 ---------------------------------------------------------------------------
+#: Columns whose sketch says fewer distinct values than this share of the rows are no keys (ten standard deviations).
+KEY_SHARE, SKETCH_ERROR = 0.9, 0.01
+
+
 def detect_primary_key(df: DataFrame, columns: list[str] | None = None, na_token: str = "",
                        as_text: dict | None = None) -> DataFrame:
     """A10: the leftmost column with no missing value and all values distinct.
 
-    Exact: per column, group by value (partial aggregation combines
-    duplicates map-side) and keep the largest group size; a column is a key
-    when that is 1 and no value is missing.  Returns ``(key_column, n_rows)``.
+    One scan gives the rows, each column's missing values and a distinct-count
+    sketch, which rule out all columns but those that look unique.  These are
+    checked exactly, leftmost first, until one is a key: a column is none as soon as
+    one value turns up twice (values are combined map-side before the shuffle).
+    Returns ``(key_column, n_rows)``.
     """
     cells = _cells(df, columns, as_text)
-    parts = []
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, (_, v) in enumerate(cells):
+        aggs += [F.count_if(T.is_missing(v, na_token)).alias(f"m{i}"), F.approx_count_distinct(v, SKETCH_ERROR).alias(f"d{i}")]
+    seen = df.agg(*aggs).first()
+    key = None
     for i, (name, v) in enumerate(cells):
-        g = df.select(v.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-        parts.append(g.agg(
-            F.lit(i).alias("position"), F.lit(name).alias("column_name"),
-            F.max("cnt").alias("max_cnt"), F.sum("cnt").cast("bigint").alias("n_rows"),
-            F.max(T.is_missing(F.col("v"), na_token).cast("int")).alias("any_missing")))
-    allc = parts[0]
-    for p in parts[1:]:
-        allc = allc.unionByName(p)
-    ok = (F.col("max_cnt") == 1) & (F.col("any_missing") == 0)
-    return allc.agg(
-        F.min_by(F.when(ok, F.col("column_name")), F.when(ok, F.col("position"))).alias("key_column"),
-        F.max("n_rows").cast("bigint").alias("n_rows"))
+        if seen[f"m{i}"] or seen[f"d{i}"] < KEY_SHARE * seen["n"] or not seen["n"]:
+            continue
+        twice = df.select(v.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if twice.isEmpty():
+            key = name
+            break
+    return df.sparkSession.createDataFrame([(key, seen["n"])], "key_column string, n_rows bigint").coalesce(1)
 
 
 # A3 ----------------------------------------------------------------------------
