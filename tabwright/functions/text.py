@@ -7,6 +7,8 @@ codegen.  Regexes carry ``(?U)`` (Unicode ``\\d``/``\\s``, as in Python) and
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,17 +126,26 @@ def is_number_text(x) -> Column:
 CELL_TYPE = "struct<kind:string,s:string,i:bigint>"
 
 
+#: Every decimal digit beyond ASCII with its value, by rule: the characters of category Nd.
+_DIGITS = {chr(c): str(unicodedata.digit(chr(c))) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"}
+
+
 def convert_cell(x) -> Column:
-    """Trimmed text -> null / integer / text, as a (kind, s, i) struct."""
+    """Trimmed text -> null / integer / text, as a (kind, s, i) struct.
+
+    Integers are a sign and any decimal digits (``1_000`` stays text).  ``i`` holds
+    those of 64 bits; a larger one has its digits in ``s`` and a null ``i``.
+    """
     s = py_strip(_c(x))
-    as_int = F.regexp_replace(s, r"^\+", "").try_cast("bigint")
+    digits = F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(s, "".join(_DIGITS), "".join(_DIGITS.values()))).otherwise(s)
+    plain = F.regexp_replace(F.regexp_replace(digits, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    as_int = plain.try_cast("bigint")
     null_cell = F.lit(None).cast(CELL_TYPE)
-    int_cell = F.struct(F.lit("int").alias("kind"), F.lit(None).cast("string").alias("s"),
-                        as_int.alias("i"))
+    int_cell = F.struct(F.lit("int").alias("kind"), F.when(as_int.isNull(), plain).alias("s"), as_int.alias("i"))
     str_cell = F.struct(F.lit("str").alias("kind"), s.alias("s"),
                         F.lit(None).cast("bigint").alias("i"))
     return (F.when(_c(x).isNull() | (s == "") | F.lower(s).isin(*K.NULL_CELL_TOKENS), null_cell)
-            .when(s.rlike(r"^[+-]?[0-9]+$") & as_int.isNotNull(), int_cell)
+            .when(s.rlike(r"^[+-]?\p{Nd}+$"), int_cell)
             .otherwise(str_cell))
 
 
@@ -142,7 +153,7 @@ def cell_text(cell) -> Column:
     """Render a cell struct back to text: null -> ``None``."""
     cell = _c(cell)
     return (F.when(cell.isNull(), F.lit("None"))
-            .when(cell["kind"] == "int", cell["i"].cast("string"))
+            .when(cell["kind"] == "int", F.coalesce(cell["i"].cast("string"), cell["s"]))
             .otherwise(cell["s"]))
 
 

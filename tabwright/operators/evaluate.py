@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from .overlap import best_overlap
 from . import extract
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -112,12 +113,13 @@ def best_scores(pred: DataFrame, gold: DataFrame, scorer: str = "token_overlap")
     """A score in [0, 1] for every predicted and every gold statement.
 
     ``pred``: ``(category, id, pos, statement)``; ``gold``: ``(id, pos, statement)``.
-    The hypothesis is the statement being scored, the premise the other
-    side's statements of the same id (for gold: of the same category too):
+    The hypothesis is the statement being scored, the premise one single statement
+    of the other side with the same id (for gold: of the same category too); the
+    best premise counts:
 
     * ``exact``: 1 when an equal (trimmed) statement is on the other side;
-    * ``token_overlap``: share of the statement's distinct tokens that occur
-      in the other side's statements (0 for a statement without tokens).
+    * ``token_overlap``: share of the statement's distinct tokens that one
+      statement of the other side holds (0 for a statement without tokens).
 
     Returns ``(pred_best(category, id, pos, score), gold_best(category, id, pos, score))``;
     gold rows appear for each category that has predictions for the id.
@@ -140,21 +142,9 @@ def best_scores(pred: DataFrame, gold: DataFrame, scorer: str = "token_overlap")
         raise ValueError(f"unknown scorer {scorer}")
     pt = pred.select("category", "id", "pos", tokens("statement").alias("t"))
     gt = gold_c.select("category", "id", "pos", tokens("statement").alias("t"))
-    pe = pt.select("category", "id", "pos", F.explode("t").alias("tok"))
-    ge = gt.select("category", "id", "pos", F.explode("t").alias("tok"))
-    gold_tokens = gold.select("id", F.explode(tokens("statement")).alias("tok")).distinct()
-    pred_tokens = pe.select("category", "id", "tok").distinct()
-    p_hit = pe.join(gold_tokens, ["id", "tok"], "left_semi").groupBy("category", "id", "pos").agg(
-        F.count(F.lit(1)).alias("k"))
-    g_hit = ge.join(pred_tokens, ["category", "id", "tok"], "left_semi").groupBy("category", "id", "pos").agg(
-        F.count(F.lit(1)).alias("k"))
-
-    def share(sizes, hits):
-        j = sizes.select("category", "id", "pos", F.size("t").alias("n")).join(hits, ["category", "id", "pos"], "left")
-        return j.select("category", "id", "pos",
-                        F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.coalesce("k", F.lit(0)) / F.col("n"))
-                        .alias("score"))
-    return share(pt, p_hit), share(gt, g_hit)
+    each = ["category", "id", "pos", "score"]
+    return (best_overlap(pt, gold.select("id", tokens("statement").alias("t")), ["id"]).select(*each),
+            best_overlap(gt, pt, ["category", "id"]).select(*each))
 
 
 def soft_prf(pred_best: DataFrame, gold_best: DataFrame) -> DataFrame:
@@ -167,20 +157,24 @@ def soft_prf(pred_best: DataFrame, gold_best: DataFrame) -> DataFrame:
     return j.select("category", "id", "precision", "recall", f1.alias("f1"))
 
 
-def per_example(prf: DataFrame, ids: DataFrame, categories: list[str]) -> DataFrame:
+def discovered_categories(pred: DataFrame) -> list[str]:
+    """The categories that have predictions, sorted: one per predicted folder."""
+    return [r["category"] for r in pred.select("category").distinct().orderBy("category").collect()]
+
+
+def per_example(prf: DataFrame, ids: DataFrame, categories: list[str] | DataFrame) -> DataFrame:
     """Every aligned id x every category; a missing prediction scores 0.
 
-    The category list is the set of predicted folders (a handful); the grid
-    is built with ``pivot`` over it, not a cross join.
+    ``categories``: the predictions, whose folders are discovered, or a list of names.
+    Categories of ``prf`` outside a given list stay too.  The few names are an array
+    spread over each id, not a cross join.
     """
-    wide = (ids.select("id").join(prf, "id", "left")
-            .groupBy("id").pivot("category", categories)
-            .agg(F.first("precision").alias("p"), F.first("recall").alias("r"), F.first("f1").alias("f")))
-    structs = [F.struct(F.lit(c).alias("category"),
-                        F.coalesce(F.col(f"`{c}_p`"), F.lit(0.0)).alias("precision"),
-                        F.coalesce(F.col(f"`{c}_r`"), F.lit(0.0)).alias("recall"),
-                        F.coalesce(F.col(f"`{c}_f`"), F.lit(0.0)).alias("f1")) for c in categories]
-    return wide.select("id", F.explode(F.array(*structs)).alias("x")).select("id", "x.*")
+    if isinstance(categories, DataFrame):
+        categories = discovered_categories(categories)
+    names = sorted({*categories, *discovered_categories(prf)})
+    grid = ids.select("id", F.explode(F.array(*[F.lit(c) for c in names]).cast("array<string>")).alias("category"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return grid.join(prf, ["id", "category"], "left").select("id", "category", zero("precision"), zero("recall"), zero("f1"))
 
 
 def macro_scores(per_ex: DataFrame) -> DataFrame:
@@ -202,9 +196,19 @@ def team_player_aliases(macro: DataFrame) -> DataFrame:
     return macro.agg(*cols)
 
 
-def error_ledger(gold: DataFrame, ids: DataFrame, text_col: str = "text") -> DataFrame:
-    """Aligned ids whose gold text cannot be read (null); the run goes on."""
-    return ids.join(gold.filter(F.col(text_col).isNull()).select("id"), "id", "left_semi")
+def error_ledger(scored: DataFrame, ids: DataFrame, error_col: str = "error") -> DataFrame:
+    """Aligned ids with a failed record and the first of its errors; the run goes on with the others.
+
+    ``scored`` has one row per record with ``error_col`` (null when it went well), as
+    :func:`tabwright.operators.model.call_model` leaves it.
+    """
+    failed = scored.filter(F.col(error_col).isNotNull()).groupBy("id").agg(F.min(error_col).alias("error"))
+    return failed.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def without_errors(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The rows of ids that are not in the ledger."""
+    return rows.join(ledger.select("id"), "id", "left_anti")
 
 
 # E10 ----------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ model stage through lineage.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,33 +33,86 @@ def _as_prompt(v):
     return [dict(m) for m in v]
 
 
-def call_model(df: DataFrame, prompt_col: str, fn: Callable[[list], list[str]], out_col: str = "completion",
-               batch_size: int = 8) -> DataFrame:
+#: Models of this Python worker by factory: a worker serves many tasks and sets a model up once.
+_MODELS: dict[tuple, Callable] = {}
+
+
+@dataclass(frozen=True)
+class ModelFactory:
+    """How a worker gets its model: ``build(*args)`` returns the callable.
+
+    Factories with equal ``key`` (default: the builder's name and arguments) share a worker's model.
+    """
+    build: Callable
+    args: tuple = ()
+    key: str | None = None
+
+    def model(self) -> Callable:
+        key = (self.key or f"{self.build.__module__}.{self.build.__qualname__}", self.args)
+        if key not in _MODELS:
+            _MODELS[key] = self.build(*self.args)
+        return _MODELS[key]
+
+
+def _completions(fn: Callable, prompts: list) -> list[str]:
+    res = fn(prompts)
+    if res is None or len(res) != len(prompts):
+        raise ModelOutputError(f"model returned {0 if res is None else len(res)} outputs for {len(prompts)} prompts")
+    if any(r is None for r in res):
+        raise ModelOutputError("no output returned for a prompt")
+    return [str(r).strip() for r in res]
+
+
+def _tried(fn: Callable, prompts: list, retries: int) -> list[str]:
+    for left in range(retries, -1, -1):
+        try:
+            return _completions(fn, prompts)
+        except Exception:
+            if not left:
+                raise
+    raise AssertionError("unreachable")
+
+
+def call_model(df: DataFrame, prompt_col: str, fn: Callable[[list], list[str]] | ModelFactory, out_col: str = "completion",
+               batch_size: int = 8, retries: int = 0, error_col: str | None = None) -> DataFrame:
     """G1 + G2: completions for every non-null prompt, trimmed, order kept.
 
     ``fn`` takes a list of prompts (strings, or chat turns as lists of
     ``{"role", "content"}`` dicts) and returns one string per prompt; a
-    missing completion is an error.  Null prompts bypass the model.
+    missing completion is an error.  Null prompts bypass the model.  A
+    :class:`ModelFactory` is asked once in each Python worker.
+
+    A failing batch is tried ``retries`` times more.  Without ``error_col`` the
+    job then fails.  With it the batch's prompts are called one by one, and a prompt
+    that still fails has a null completion and its error as text (E9).
     """
-    out_schema = TY.StructType(list(df.schema.fields) + [TY.StructField(out_col, TY.StringType())])
+    fields = [*df.schema.fields, TY.StructField(out_col, TY.StringType())]
+    if error_col:
+        fields.append(TY.StructField(error_col, TY.StringType()))
 
     def run(batches):
+        call = fn.model() if isinstance(fn, ModelFactory) else fn
         for pdf in batches:
             prompts = pdf[prompt_col].map(_as_prompt).tolist()
             idx = [i for i, p in enumerate(prompts) if p is not None and (not isinstance(p, list) or p)]
-            out = [None] * len(prompts)
+            out, errors = [None] * len(prompts), [None] * len(prompts)
             for s in range(0, len(idx), batch_size):
                 chunk = idx[s:s + batch_size]
-                res = fn([prompts[i] for i in chunk])
-                if res is None or len(res) != len(chunk):
-                    raise ModelOutputError(f"model returned {0 if res is None else len(res)} outputs for {len(chunk)} prompts")
-                for i, r in zip(chunk, res):
-                    if r is None:
-                        raise ModelOutputError("no output returned for a prompt")
-                    out[i] = str(r).strip()
-            yield pdf.assign(**{out_col: pd.Series(out, index=pdf.index, dtype=object)})
-
-    return df.mapInPandas(run, out_schema)
+                try:
+                    for i, r in zip(chunk, _tried(call, [prompts[i] for i in chunk], retries)):
+                        out[i] = r
+                except Exception:
+                    if not error_col:
+                        raise
+                    for i in chunk:
+                        try:
+                            out[i] = _tried(call, [prompts[i]], retries)[0]
+                        except Exception as e:  # noqa: BLE001  (a record's error is its result)
+                            errors[i] = f"{type(e).__name__}: {e}"
+            cols = {out_col: out} | ({error_col: errors} if error_col else {})
+            yield pdf.assign(**{c: pd.Series(v, index=pdf.index, dtype=object) for c, v in cols.items()})
+
+    return df.mapInPandas(run, TY.StructType(fields))
 
 
 def run_chain(records: DataFrame, key: str, text_col: str, statement_fn, schema_fn, table_fn,
@@ -129,6 +183,18 @@ def _numbered(text: str, head: str) -> list[str]:
     return out
 
 
+class LineReader:
+    """Statement stand-in with a limit: it refuses texts with a line beyond ``longest`` characters."""
+
+    def __init__(self, longest: int):
+        self.longest = longest
+
+    def __call__(self, prompts: list) -> list[str]:
+        if any(len(ln) > self.longest for p in prompts for ln in _user_text(p).splitlines()):
+            raise ValueError(f"a line beyond {self.longest} characters")
+        return echo_statements(prompts)
+
+
 def first_word_schema(prompts: list) -> list[str]:
     """Schema stand-in: one table ``Doc`` whose headers are the first word of each statement."""
     import json

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate as EV
+from ..operators import model as MD
 from ..operators import induce
 from . import message_queries as MQ
 from . import sqltext as S
@@ -129,8 +130,6 @@ def _eval_inputs(spark, sf_dir):
     return gold, pred, EV.aligned_ids(gold_ids, pred_ids)
 
 
-CATEGORIES = ["Assistant", "System"]
-
 _EVAL_SQL = f"""
 WITH c AS (SELECT conv_id AS id, turn, role,
                   list_filter(list_transform({S.lines('text')}, lambda y: {S.strip('y')}), lambda y: y <> '') AS st
@@ -144,17 +143,12 @@ pred AS (SELECT CASE role WHEN 'assistant' THEN 'Assistant' ELSE 'System' END AS
          FROM st WHERE role IN ('assistant', 'system')),
 cats AS (SELECT DISTINCT category, id FROM pred),
 gold_c AS (SELECT cats.category, gold.id, gold.pos, gold.toks FROM gold JOIN cats ON gold.id = cats.id),
-gold_tok AS (SELECT DISTINCT id, unnest(toks) AS tok FROM gold),
-pred_tok AS (SELECT DISTINCT category, id, unnest(toks) AS tok FROM pred),
-pe AS (SELECT category, id, pos, len(toks) AS n, unnest(toks) AS tok FROM pred),
-ge AS (SELECT category, id, pos, len(toks) AS n, unnest(toks) AS tok FROM gold_c),
-phit AS (SELECT category, id, pos, count(*) AS k FROM pe WHERE (id, tok) IN (SELECT (id, tok) FROM gold_tok) GROUP BY ALL),
-ghit AS (SELECT category, id, pos, count(*) AS k FROM ge
-         WHERE (category, id, tok) IN (SELECT (category, id, tok) FROM pred_tok) GROUP BY ALL),
-pbest AS (SELECT p.category, p.id, p.pos, CASE WHEN len(p.toks) = 0 THEN 0.0 ELSE coalesce(h.k, 0) / len(p.toks) END AS score
-          FROM pred p LEFT JOIN phit h ON p.category = h.category AND p.id = h.id AND p.pos = h.pos),
-gbest AS (SELECT g.category, g.id, g.pos, CASE WHEN len(g.toks) = 0 THEN 0.0 ELSE coalesce(h.k, 0) / len(g.toks) END AS score
-          FROM gold_c g LEFT JOIN ghit h ON g.category = h.category AND g.id = h.id AND g.pos = h.pos),
+pbest AS (SELECT p.category, p.id, p.pos, CASE WHEN len(p.toks) = 0 THEN 0.0 ELSE
+            coalesce(max(len(list_intersect(p.toks, g.toks))), 0) / len(p.toks) END AS score
+          FROM pred p LEFT JOIN gold g ON p.id = g.id GROUP BY p.category, p.id, p.pos, p.toks),
+gbest AS (SELECT g.category, g.id, g.pos, CASE WHEN len(g.toks) = 0 THEN 0.0 ELSE
+            max(len(list_intersect(p.toks, g.toks))) / len(g.toks) END AS score
+          FROM gold_c g JOIN pred p ON p.id = g.id AND p.category = g.category GROUP BY g.category, g.id, g.pos, g.toks),
 prf0 AS (SELECT p.category, p.id, p.precision, r.recall FROM
            (SELECT category, id, avg(score) AS precision FROM pbest GROUP BY ALL) p
            JOIN (SELECT category, id, avg(score) AS recall FROM gbest GROUP BY ALL) r
@@ -186,7 +180,7 @@ def statement_best_scores(spark, sf_dir):
 def _per_example(spark, sf_dir):
     gold, pred, ids = _eval_inputs(spark, sf_dir)
     pb, gb = EV.best_scores(pred, gold)
-    return EV.per_example(EV.soft_prf(pb, gb), ids, CATEGORIES)
+    return EV.per_example(EV.soft_prf(pb, gb), ids, pred)
 
 
 @query("statement_prf", sql=_EVAL_SQL + f"""
@@ -206,28 +200,40 @@ def macro_scores(spark, sf_dir):
     return m.select("category", "num_examples", *[F.round(c, R).alias(c) for c in ["correctness", "completeness", "overall"]])
 
 
-@query("eval_aliases", sql=_EVAL_SQL + """
-SELECT coalesce(max(correctness) FILTER (WHERE category = 'Team'), 0.0) AS team_correctness,
-       coalesce(max(completeness) FILTER (WHERE category = 'Team'), 0.0) AS team_completeness,
-       coalesce(max(overall) FILTER (WHERE category = 'Team'), 0.0) AS team_overall,
-       coalesce(max(correctness) FILTER (WHERE category = 'Player'), 0.0) AS player_correctness,
-       coalesce(max(completeness) FILTER (WHERE category = 'Player'), 0.0) AS player_completeness,
-       coalesce(max(overall) FILTER (WHERE category = 'Player'), 0.0) AS player_overall
+@query("eval_aliases", sql=_EVAL_SQL + f"""
+SELECT round(max(correctness) FILTER (WHERE category = 'Assistant'), {R}) AS team_correctness,
+       round(max(completeness) FILTER (WHERE category = 'Assistant'), {R}) AS team_completeness,
+       round(max(overall) FILTER (WHERE category = 'Assistant'), {R}) AS team_overall,
+       round(max(correctness) FILTER (WHERE category = 'System'), {R}) AS player_correctness,
+       round(max(completeness) FILTER (WHERE category = 'System'), {R}) AS player_completeness,
+       round(max(overall) FILTER (WHERE category = 'System'), {R}) AS player_overall
 FROM macro
 """)
 def eval_aliases(spark, sf_dir):
-    return EV.team_player_aliases(EV.macro_scores(_per_example(spark, sf_dir)))
+    """Assistant turns stand in the folder ``team``, system turns in ``player``."""
+    gold, pred, ids = _eval_inputs(spark, sf_dir)
+    folder = F.when(F.col("category") == "Assistant", "team").otherwise("player")
+    pred = pred.withColumn("category", T.category_display_name(folder))
+    pb, gb = EV.best_scores(pred, gold)
+    out = EV.team_player_aliases(EV.macro_scores(EV.per_example(EV.soft_prf(pb, gb), ids, pred)))
+    return out.select(*[F.round(c, R).alias(c) for c in out.columns])
+
+
+LONGEST_LINE = 300
 
 
-@query("eval_errors", sql="""
-SELECT DISTINCT conv_id AS id FROM conversations WHERE role = 'user' AND text IS NULL
-  AND conv_id IN (SELECT conv_id FROM conversations WHERE role IN ('assistant', 'system'))
+@query("eval_errors", sql=f"""
+WITH t AS (SELECT conv_id, turn, role, {S.lines('text')} AS ls FROM conversations),
+bad AS (SELECT DISTINCT conv_id AS id FROM t WHERE role = 'user' AND len(list_filter(ls, lambda x: length(x) > {LONGEST_LINE})) > 0)
+SELECT id, 'ValueError: a line beyond {LONGEST_LINE} characters' AS error FROM bad
+WHERE id IN (SELECT conv_id FROM conversations WHERE role IN ('assistant', 'system'))
 """)
 def eval_errors(spark, sf_dir):
+    """Gold turns go through a stand-in model that refuses long lines; the ids it fails on are listed, the run goes on."""
     _, _, ids = _eval_inputs(spark, sf_dir)
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
-        F.col("conv_id").alias("id"), "text")
-    return EV.error_ledger(c, ids)
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(F.col("conv_id").alias("id"), "text")
+    read = MD.call_model(c, "text", MD.ModelFactory(MD.LineReader, (LONGEST_LINE,)), "statements", retries=1, error_col="error")
+    return EV.error_ledger(read, ids)
 
 
 # E10 ---------------------------------------------------------------------------------------

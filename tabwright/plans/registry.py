@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.utils import is_remote
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,11 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     they are, without a shuffle.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001  (no RDD / plan access, e.g. Spark Connect)
+    if is_remote():                                  # no plan access through Spark Connect
         return df
-    target = min(cores, max(1, -(-size // MIN_BYTES_PER_PARTITION)))
+    plan = df._jdf.queryExecution()
+    splits = plan.toRdd().getNumPartitions()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    target = min(spark.sparkContext.defaultParallelism, max(1, -(-size // MIN_BYTES_PER_PARTITION)))
     return df.repartition(target) if target > splits else df

@@ -98,3 +98,48 @@ def test_schema_reward(spark):
     assert (r["json_valid"], r["unique_names"], r["allowed_types"], r["coverage"]) == (
         1.0, pytest.approx(1 / 3), pytest.approx(2 / 3), 0.5)
     assert rows[1]["r"]["json_valid"] == 0.0
+
+
+def test_best_single_statement_not_the_union(spark):
+    r = _prf(spark, [("T", "1", 0, "a b"), ("T", "1", 1, "a b c d")],
+             [("1", 0, "a c"), ("1", 1, "b d"), ("1", 2, "")], "token_overlap")[("T", "1")]
+    assert r["precision"] == pytest.approx((0.5 + 0.5) / 2)
+    assert r["recall"] == pytest.approx((1.0 + 1.0 + 0.0) / 3)
+
+
+def test_best_overlap_equals_all_pairs(spark):
+    import random
+
+    from tabwright.operators.overlap import best_overlap
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+
+    def rows(n):
+        return [(rng.choice(["x", "x", "y"]), i, sorted(set(rng.choices(words, weights, k=rng.randint(0, 16))))) for i in range(n)]
+
+    mine, others = rows(150) + [("x", 900, ["w0"]), ("z", 901, ["w1"])], rows(120)
+    mine += [("x", 1000 + i, mine[0][2]) for i in range(20)]          # equal statements
+    got = best_overlap(spark.createDataFrame(mine, "g string, i long, t array<string>"),
+                       spark.createDataFrame(others, "g string, i long, t array<string>"), ["g"])
+    want = {i: max([len(set(t) & set(o)) / len(t) for h, _, o in others if h == g], default=0.0) if t else 0.0 for g, i, t in mine}
+    assert {r["i"]: r["score"] for r in got.collect()} == want
+    none = spark.createDataFrame([], "g string, i long, t array<string>")
+    assert {r["score"] for r in best_overlap(got.select("g", "i", "t"), none, ["g"]).collect()} == {0.0}
+
+
+def test_categories_are_discovered(spark):
+    prf = spark.createDataFrame([("Team", "1", 1.0, 0.5, 0.6)], "category string, id string, precision double, recall double, f1 double")
+    ids = spark.createDataFrame([("1",), ("2",)], "id string")
+    pred = spark.createDataFrame([("Team", "1"), ("Odd One", "9")], "category string, id string")
+    got = {(r["id"], r["category"]): r["precision"] for r in EV.per_example(prf, ids, pred).collect()}
+    assert got == {("1", "Team"): 1.0, ("2", "Team"): 0.0, ("1", "Odd One"): 0.0, ("2", "Odd One"): 0.0}
+    assert {r["category"] for r in EV.per_example(prf, ids, ["Player"]).collect()} == {"Player", "Team"}
+
+
+def test_error_ledger_and_the_rest_of_the_run(spark):
+    scored = spark.createDataFrame([("1", "E: a"), ("1", None), ("2", None), ("3", "E: b"), ("3", "E: a")], "id string, error string")
+    ids = spark.createDataFrame([("1",), ("2",), ("1",)], "id string")
+    ledger = EV.error_ledger(scored, ids)
+    assert [tuple(r) for r in ledger.collect()] == [("1", "E: a")]
+    assert [r["id"] for r in EV.without_errors(ids, ledger).collect()] == ["2"]

@@ -177,3 +177,20 @@ def test_reasons_are_counted_while_the_result_is_computed(spark):
     assert sorted((r["id"], r["input_text"]) for r in ok.collect()) == [(1, "t"), (3, "s")]      # a sort would read twice
     assert obs.get == {"n_rows": 4, "n_rejected": 2, validate.NO_TEXT: 2}
     assert [r["id"] for r in bad.orderBy("id").collect()] == [2, 4]
+
+
+def test_integer_cells_are_what_python_reads(spark):
+    texts = ["5", "+5", "-007", "1_000", "1__0", "_1", "1_", "\u0661\u0662", "\uff11", "9223372036854775807", "9223372036854775808",
+             "-123456789012345678901234567890", "+00099999999999999999999", "-", "1.0", "1 2", " 7 ", "\u00b2", "None", "", None, "0", "-0"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", T.convert_cell("t").alias("c")).collect()}
+    shown = {r["i"]: r["s"] for r in df.select("i", T.cell_text(T.convert_cell("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        s = (t or "").strip()
+        try:
+            want = None if s == "" or s.lower() in ("none", "null") else s if "_" in s else int(s)
+        except ValueError:
+            want = s
+        assert shown[i] == str(want), t
+        if isinstance(want, int):
+            assert got[i]["kind"] == "int" and got[i]["i"] == (want if abs(want) < 2 ** 63 else None)

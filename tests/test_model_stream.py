@@ -51,3 +51,37 @@ def test_incremental_run_processes_new_files_once(spark):
     spark.createDataFrame([(2, "c")], schema).write.mode("append").parquet(f"{root}/in")
     out = run_incremental(spark, f"{root}/in", schema, transform, f"{root}/out", f"{root}/ck")
     assert sorted((r["k"], r["n"]) for r in out.collect()) == [(1, 2), (2, 1)]
+
+
+def counting():
+    """A model class that goes to the workers by value; it counts its constructions in a folder that the test reads."""
+    class Counting:
+        def __init__(self, folder):
+            import os
+            import uuid
+            self.calls = 0
+            open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+        def __call__(self, prompts):
+            self.calls += 1
+            if "flaky" in prompts and self.calls == 1:
+                raise OSError("first call")
+            if "bad" in prompts:
+                raise ValueError("cannot read bad")
+            return [p.upper() for p in prompts]
+
+    return Counting
+
+
+def test_model_is_set_up_once_per_worker_and_errors_are_rows(spark, tmp_path):
+    import os
+    factory = MD.ModelFactory(counting(), (str(tmp_path),), key=f"counting-{tmp_path}")
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(["flaky", "a", "bad", None, "b"])], "k long, p string").coalesce(1)
+    for _ in range(3):
+        got = {r["k"]: (r["out"], r["error"]) for r in
+               MD.call_model(df, "p", factory, "out", batch_size=5, retries=1, error_col="error").collect()}
+        assert got == {0: ("FLAKY", None), 1: ("A", None), 2: (None, "ValueError: cannot read bad"), 3: (None, None), 4: ("B", None)}
+    pids = [f.split("-")[0] for f in os.listdir(tmp_path)]
+    assert len(pids) == len(set(pids))                 # a worker built it once, whatever the number of tasks
+    with pytest.raises(Exception, match="cannot read bad|first call"):
+        MD.call_model(df, "p", factory, "out").collect()
