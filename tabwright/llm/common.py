@@ -18,15 +18,16 @@ from tabwright.session import ensure_checkpoint_dir, ship_package
 
 #: A table is broadcast only when its rows were counted and fit in this many bytes.
 BROADCAST_BYTES = 32 << 20
-#: Arrow batches sent to Python hold at most this many bytes of column data.
-ARROW_BATCH_BYTES = 16 << 20
+#: Arrow batches sent to Python hold at most this many bytes of column data; the smaller bound is for
+#: operators whose workers hold several times a batch.
+ARROW_BATCH_BYTES, SMALL_BATCH_BYTES = 16 << 20, 4 << 20
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = ARROW_BATCH_BYTES) -> None:
     """Ship the package to the executors and bound the Arrow batches by bytes."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +55,36 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Bits of a membership filter: 8 MB are broadcast, whatever the number of rows.
+FILTER_BITS = 26
+
+
+def _filter_cell(columns: list[Column]) -> Column:
+    return F.xxhash64(*columns).bitwiseAND((1 << FILTER_BITS) - 1) + 1        # Spark's buckets count from 1
+
+
+def member_filter(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """A bitmap of the hashed ``columns`` of ``rows``, as at most 2,048 rows (bucket, 4 KB of bits)."""
+    cell = _filter_cell([F.col(c) for c in columns])
+    bits = (rows.select(F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("bit"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    return stage(bits, name)
+
+
+def may_be_member(df: DataFrame, bits: DataFrame, columns: list[Column], flag: str) -> DataFrame:
+    """``df`` with ``flag``: false where its row is certainly not in the filter's rows.
+
+    A chance hit only sends a row through a join in vain.
+    """
+    cell = _filter_cell(columns)
+    at = F.bitmap_bit_position(cell)
+    small = bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    joined = df.join(F.broadcast(small), F.bitmap_bucket_number(cell) == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(flag, hit).drop("__bucket", "__bits")
+
+
 def text_chunks(arr: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, list]]:
     """(start row, list of bytes) runs of a string array, each run near ``max_bytes``.
 
@@ -129,10 +160,15 @@ def row_hash(id_col: Column, text: Column) -> Column:
     return F.xxhash64(id_col, text)
 
 
-def without(df: DataFrame, id_col: str, text_col: str, rejected: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose (id, row hash) is not in ``rejected`` (columns ``bad_id``, ``bad_hash``)."""
-    cond = F.col(id_col).eqNullSafe(F.col("bad_id")) & (row_hash(F.col(id_col), F.col(text_col)) == F.col("bad_hash"))
-    return df.join(broadcast_if_small(rejected, 32), cond, "left_anti")
+def without(df: DataFrame, id_col: str, text_col: str, rejected: DataFrame, kind: str = "left_anti") -> DataFrame:
+    """Rows of ``df`` whose (id, row hash) is not in ``rejected`` (columns ``bad_id``, ``bad_hash``).
+
+    With ``left_semi`` the others.  A row travels as one struct, so its column names clash with none.
+    """
+    rows = df.select(F.struct("*").alias("row"))
+    ident = F.col("row").getField(id_col)
+    cond = ident.eqNullSafe(F.col("bad_id")) & (row_hash(ident, F.col("row").getField(text_col)) == F.col("bad_hash"))
+    return rows.join(broadcast_if_small(rejected, 32), cond, kind).select("row.*")
 
 
 def words_column(text: Column) -> Column:

@@ -1,29 +1,34 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-A string of ``LENGTH`` bytes is repeated when it also starts elsewhere.  Suffixes
-are compared by fingerprints of their prefixes (the rank of a prefix is its
-64-bit hash: equal ranks, equal prefixes), and Spark groups (position, rank)
-pairs at growing prefix lengths; a position whose rank is unique drops out:
+A string of ``LENGTH`` bytes is repeated when it also starts elsewhere.  The rank of
+a string is its fingerprint (two polynomial hashes modulo primes near 2**31), so
+equal strings have equal ranks.  Spark sorts (position, rank, rank at an offset)
+rows at growing offsets, positions whose pair of ranks is unique drop out, and the
+others are ranked anew until the pair spans ``LENGTH`` bytes:
 
 * Every start p is represented by the anchor a(p): the rightmost minimum of the
   16-byte hashes at p .. p + ``SPAN`` - 1.  It depends on the string at p alone,
   so equal strings have equal anchors.  Consecutive starts with one anchor form
-  a run.  Suffixes at anchors, about two in ``SPAN`` positions, are ranked by
-  their first 100 bytes, then by the pair of ranks at offsets 0 and 100 (200
-  bytes), which all lie inside every string of the run.
-* Of runs still tied, those whose whole text (first start to last start + 400)
-  is repeated are settled.  Ties that hold other runs are expanded to single
-  starts, ranked by their 400 bytes (128-bit hashes); of equal settled runs one
-  stands for all.
+  a run; a start's distance to its anchor is d.  Suffixes at anchors, about two in
+  ``SPAN`` positions, are ranked by 100 bytes, then by the ranks at offsets 0 and
+  100 (200 bytes), which lie inside every string of the run.
+* Runs still tied whose whole text (first start to last start + 400) is repeated
+  are settled.  The other ties are cut into blocks of ``BLOCK`` starts by d: a
+  block's ranks of 200 bytes at offsets 0 and 193 (393 bytes inside all its
+  strings) must be tied, and a block whose whole text is repeated is settled.
+* Blocks still tied are cut into single starts, ranked by the ranks of 200 bytes
+  at offsets 0 and 200.  Of equal settled runs and blocks one stands for all.
 * Starts that are repeated at the full length cover the removed bytes.
 
 Ranking every byte position from the first step sorts several rows per input
 byte and several times over; anchors keep the result and cut the rows a
-hundredfold.
+hundredfold.  Only runs whose ties are open carry their text on, 600 bytes each.
 
 Defined cases: null text is the empty text; shorter texts than ``LENGTH`` are
 kept whole; matches never cross rows; repeated rows are different documents;
-texts of any length are read in segments; other columns are not read.
+texts of any length are read in segments; where a text repeats itself so closely
+that runs are short, equal runs beyond two of a segment are settled at once; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -39,44 +44,67 @@ from pyspark.sql import types as T
 from . import common
 
 LENGTH, SPAN, GRAM, STEP = 400, 200, 16, 100
+BLOCK = 8
 _SEGMENT = 1 << 19
 _RUN = T.StructType([
     T.StructField("lo", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("up", T.IntegerType()),
     T.StructField("r1", T.LongType()), T.StructField("r2", T.LongType()), T.StructField("whole", T.LongType())])
-_START = T.StructType([T.StructField("p", T.LongType()), T.StructField("settled", T.BooleanType()),
-                       T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+_PART = T.StructType([
+    T.StructField("d", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("r1", T.LongType()),
+    T.StructField("r2", T.LongType()), T.StructField("whole", T.LongType())])
 _KEPT = T.StructType([
     T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType())])
 
 
 class Rolling:
-    """Hashes of any substrings of one byte array, position independent, from one running sum."""
+    """Hashes modulo 2**64 of all substrings of one length, to choose anchors; never taken for equality."""
 
-    _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    _letters = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        self.h = self._letters[data]
+
+    def every(self, n: int) -> np.ndarray:
+        return common.rolling(self.h, n, 0x9E3779B97F4A7C15)
+
+
+class Prints:
+    """Fingerprints of any substrings of one byte array: 31 bits modulo each of two primes, from running sums."""
+
+    _PRIMES = (2147483647, 2147483629)
+    _tables: dict[tuple[int, int], tuple] = {}
 
     @classmethod
-    def _powers(cls, seed: int, n: int):
-        held = cls._tables.get(seed)
+    def _powers(cls, seed: int, prime: int, n: int):
+        held = cls._tables.get((seed, prime))
         if held is None or len(held[1]) < n:
-            rng = np.random.default_rng(seed)
-            letter = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-            base = int(rng.integers(1 << 60, 1 << 61)) * 2 + 1
-            inverse = pow(base, -1, 1 << 64)
-            size = max(n, 1 << 12)
-            up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in (base, inverse))
-            held = cls._tables[seed] = (letter, up, down)
+            rng = np.random.default_rng([seed, prime])
+            letter = rng.integers(1, prime, 256, np.uint64)
+            base = int(rng.integers(1 << 20, prime - 1))
+            tables = []
+            for b in (base, pow(base, -1, prime)):
+                t = np.ones(1, np.uint64)
+                while len(t) < n:
+                    t = np.concatenate([t, t * np.uint64(pow(b, len(t), prime)) % np.uint64(prime)])
+                tables.append(t)
+            held = cls._tables[seed, prime] = (letter, *tables)
         return held
 
-    def __init__(self, data: np.ndarray, seed: int):
-        letter, self.up, down = self._powers(seed, len(data) + 1)
-        self.sum = np.append(np.uint64(0), np.cumsum(letter[data] * down[: len(data)], dtype=np.uint64))
+    def __init__(self, data: np.ndarray, seed: int = 2):
+        self.parts = []
+        for prime in self._PRIMES:
+            letter, up, down = self._powers(seed, prime, len(data) + 1)
+            p = np.uint64(prime)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(letter[data] * down[: len(data)] % p, out=total[1:])        # below 2**31 * bytes: no overflow
+            self.parts.append((p, up, total))
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return common.mix64((self.sum[end] - self.sum[start]) * self.up[start])
-
-    def every(self, n: int) -> np.ndarray:
-        return common.mix64((self.sum[n:] - self.sum[: len(self.sum) - n]) * self.up[: len(self.sum) - n])
+        out = np.zeros(len(start), np.uint64)
+        for p, up, total in self.parts:
+            out = (out << np.uint64(31)) | (total[end] - total[start]) % p * up[start] % p
+        return out.view(np.int64)
 
 
 def _segments(texts: list[bytes | None], length: int):
@@ -101,8 +129,7 @@ def anchor_runs(batch, length: int, span: int):
     sizes = np.array([len(b) for _, _, b in batch])
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(b for _, _, b in batch), np.uint8)
-    roll = Rolling(data, 1)
-    low = common.window_argmin(roll.every(GRAM), span)
+    low = common.window_argmin(Rolling(data).every(GRAM), span)
     at = np.arange(len(low))
     ok = at[at + length <= np.repeat(ends, sizes)[: len(low)]]
     anchor = low[ok]
@@ -113,8 +140,37 @@ def anchor_runs(batch, length: int, span: int):
     lo, hi, a = ok[first], ok[last], anchor[first]
     seg = np.searchsorted(ends, lo, side="right")
     begin = (ends - sizes)[seg]
-    return (np.array([k for k, _, _ in batch])[seg], lo - begin + np.array([s for _, s, _ in batch])[seg], hi - lo + 1,
-            a - lo, roll.at(a, a + STEP), roll.at(a + STEP, a + 2 * STEP), roll.at(lo, hi + length))
+    step, prints = length // 4, Prints(data)
+    return _thinned([np.array([k for k, _, _ in batch])[seg], lo - begin + np.array([s for _, s, _ in batch])[seg],
+                     hi - lo + 1, a - lo, prints.at(a, a + step), prints.at(a + step, a + 2 * step),
+                     prints.at(lo, hi + length)], np.bincount([k for k, _, _ in batch], sizes))
+
+
+def _thinned(cols: list[np.ndarray], text_bytes: np.ndarray):
+    """Where runs of a text are short, keeps two of each kind; the others come as merged runs without ranks (up -1)."""
+    text = cols[0]
+    crowded = np.flatnonzero(np.bincount(text, minlength=len(text_bytes)) * 16 > text_bytes)
+    if not len(crowded):
+        return cols
+    rows = np.flatnonzero(np.isin(text, crowded))
+    kind = [cols[c][rows] for c in (0, 2, 3, 4, 5, 6)]
+    order = np.lexsort(kind[::-1])
+    same = np.ones(len(order), bool)
+    same[0] = False
+    for k in kind:
+        same[1:] &= k[order][1:] == k[order][:-1]
+    third = order[2:][same[2:] & same[1:-1]]                # at least two equal ones stand before it
+    spare = np.zeros(len(text), bool)
+    spare[rows[third]] = True
+    t, lo, n = (cols[c][spare] for c in (0, 1, 2))
+    begin = np.ones(len(t), bool)
+    begin[1:] = (t[1:] != t[:-1]) | (lo[1:] != (lo + n)[:-1])
+    at = np.flatnonzero(begin)
+    zero = np.zeros(len(at), np.int64)
+    merged = [t[at], lo[at], np.add.reduceat(n, at) if len(at) else n, zero - 1, zero, zero, zero]
+    out = [np.concatenate([c[~spare], m]) for c, m in zip(cols, merged)]
+    order = np.argsort(out[0], kind="stable")
+    return [c[order] for c in out]
 
 
 def _runs_udf(length: int, span: int):
@@ -125,37 +181,65 @@ def _runs_udf(length: int, span: int):
         cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 7
         offsets = np.append(0, np.cumsum(np.bincount(cols[0], minlength=len(values)))) if len(values) else [0]
         types = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3]
-        fields = [pa.array(c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64)).cast(t)
-                  for c, t in zip(cols[1:], types)]
+        fields = [pa.array(c).cast(t) for c, t in zip(cols[1:], types)]
         rows = pa.StructArray.from_arrays(fields, ["lo", "n", "up", "r1", "r2", "whole"])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
     return runs
 
 
-def _starts_udf(length: int):
-    """Every start of the given runs (lo, n, settled) with the 128-bit rank of its full string."""
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def _slices(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The [lo, hi) slices of a text."""
+    return pa.array([[(t or b"")[s["lo"] : s["hi"]] for s in own or ()]
+                     for t, own in zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist())], pa.list_(pa.binary()))
+
 
-    @F.arrow_udf(T.ArrayType(_START))
-    def starts(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        offsets, cols = [0], [[], [], [], []]
-        for text, own in zip(texts.cast(pa.binary()).to_pylist(), runs.to_pylist()):
-            total = 0
-            for r in own or ():
-                lo, n = r["lo"], r["n"]
-                data = np.frombuffer(text, np.uint8, n + length - 1, lo)
-                for c, v in zip(cols, (np.arange(lo, lo + n), np.full(n, r["settled"]),
-                                       Rolling(data, 2).every(length), Rolling(data, 3).every(length))):
+def _parts_udf(length: int, block: int):
+    """Blocks (by d, the distance to the anchor) of the starts d0, d0 - 1, .., of a slice that begins at d0.
+
+    Per block: its largest d, its number of starts, the ranks of ``length / 2`` bytes at both
+    ends of the bytes that all strings of a full block share, and the rank of its whole text.
+    """
+    half = length // 2
+
+    @F.arrow_udf(T.ArrayType(_PART))
+    def parts(slices: pa.Array, first: pa.Array, count: pa.Array) -> pa.Array:
+        offsets, cols = [0], [[] for _ in range(5)]
+        group, size = [], 0
+
+        def flush():
+            data = np.frombuffer(b"".join(t for t, _, _ in group), np.uint8)
+            prints, at = Prints(data), 0
+            for text, d0, n in group:
+                high = np.arange(d0 // block, (d0 - n + 1) // block - 1, -1)             # block numbers, first starts first
+                top = np.minimum(d0, high * block + block - 1)
+                low = np.maximum(d0 - n + 1, high * block)
+                core = at + d0 - high * block                                            # the block's last possible start
+                shared = length + 1 - block
+                for c, v in zip(cols, (top, top - low + 1, prints.at(core, core + half),
+                                       prints.at(core + shared - half, core + shared),
+                                       prints.at(at + d0 - top, at + d0 - low + length))):
                     c.append(v)
-                total += n
-            offsets.append(offsets[-1] + total)
-        cat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, (np.int64, bool, np.uint64, np.uint64))]
+                offsets.append(offsets[-1] + len(high))
+                at += len(text)
+            group.clear()
+
+        for text, d0, n in zip(slices.to_pylist(), first.to_pylist(), count.to_pylist()):
+            group.append((text, d0, n))
+            size += len(text)
+            if size >= _SEGMENT:
+                flush()
+                size = 0
+        if group:
+            flush()
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         rows = pa.StructArray.from_arrays(
-            [pa.array(cat[0]), pa.array(cat[1]), pa.array(cat[2].view(np.int64)), pa.array(cat[3].view(np.int64))],
-            ["p", "settled", "h1", "h2"])
+            [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(t) for c, t in zip(cols, kinds)],
+            ["d", "n", "r1", "r2", "whole"])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
-    return starts.asNondeterministic()
+    return parts
 
 
 def removed_spans(starts: list[tuple[int, int]], length: int) -> list[list[int]]:
@@ -190,10 +274,31 @@ def _kept_udf(length: int):
     return kept.asNondeterministic()
 
 
-def _repeated(rows: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
-    """The rows whose ``keys`` occur more than once: counted map-side, then a semi join."""
-    twice = rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(common.broadcast_if_small(common.stage(twice, "ranks"), row_bytes), keys, "left_semi")
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` occur more than once: counted map-side, sifted by a filter, then a semi join."""
+    twice = common.stage(rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "ranks")
+    sifted = common.may_be_member(rows, common.member_filter(twice, keys, "rank-filter"), [F.col(k) for k in keys], "may")
+    return sifted.where("may").drop("may").join(twice, keys, "left_semi")
+
+
+_WHERE = ["doc_id", "doc_hash", "a"]
+
+
+def _split(rows: DataFrame, core: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Settled rows of ``rows``, and one row of each class of the ties that are still open.
+
+    A class holds rows with equal whole texts; one with two members is settled.  A tie
+    (equal ``core``) is open if it holds several classes, one of them a single row.
+    """
+    same = [*core, "d", "n", "whole"]
+    classes = common.stage(rows.groupBy(*same).agg(
+        F.count("*").alias("c"), F.min(F.struct(*_WHERE, "settled")).alias("one")), f"{name}-classes")
+    wide = classes.groupBy(*core).agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1")
+    open_ = (classes.join(wide.select(*core), core, "left_semi")
+             .select("one.doc_id", "one.doc_hash", "one.a", "d", "n",
+                     ((F.col("c") > 1) | F.col("one.settled")).alias("settled")))
+    done = rows.where("not settled").join(classes.where("c > 1").select(same), same, "left_semi")
+    return done.select("doc_id", "doc_hash", (F.col("a") - F.col("d")).alias("lo"), "n"), common.stage(open_, f"{name}-open")
 
 
 def repeated_starts(docs: DataFrame, key: list[Column], text: Column, length: int = LENGTH, span: int = SPAN,
@@ -202,36 +307,60 @@ def repeated_starts(docs: DataFrame, key: list[Column], text: Column, length: in
     base = docs.select(*key, text.alias("text"))
     rows = common.stage(base.select("doc_id", "doc_hash", F.explode(_runs_udf(length, span)("text")).alias("r"))
                         .select("doc_id", "doc_hash", "r.*"), "anchors")
-    tied = common.stage(_repeated(rows, ["r1"], 24), "tied-100")
-    tied = common.stage(_repeated(tied, ["r1", "r2"], 32), "tied-200")
-    same = ["r1", "r2", "whole", "up", "n"]
-    classes = common.stage(tied.groupBy(*same).agg(
-        F.count("*").alias("c"), F.min(F.struct("doc_id", "doc_hash", "lo")).alias("one")), "run-classes")
-    # ties to expand: several classes, of which one is a single run
-    wide = classes.groupBy("r1", "r2").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1")
-    expand = classes.join(wide.select("r1", "r2"), ["r1", "r2"], "left_semi").select(
-        F.col("one.doc_id").alias("i"), F.col("one.doc_hash").alias("h"),
-        F.struct(F.col("one.lo").alias("lo"), "n", (F.col("c") > 1).alias("settled")).alias("r"))
-    lists = common.stage(expand.groupBy("i", "h").agg(F.collect_list("r").alias("runs")), "expand")
-    each = (base.join(_if_small(lists, expand), _same_row("i", "h")).select(
-        "doc_id", "doc_hash", F.explode(_starts_udf(length)("text", "runs")).alias("s"))
-        .select("doc_id", "doc_hash", "s.*"))
-    each = common.stage(each if unique else each.dropDuplicates(["doc_id", "doc_hash", "p"]), "starts")
-    twice = common.stage(each.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "ranks")
-    open_ = each.where("not settled").join(common.broadcast_if_small(twice, 32), ["h1", "h2"], "left_semi")
-    settled = tied.join(common.broadcast_if_small(classes.where("c > 1").select(same), 56), same, "left_semi")
-    return (settled.select("doc_id", "doc_hash", "lo", "n")
-            .union(open_.select("doc_id", "doc_hash", F.col("p").alias("lo"), F.lit(1).alias("n"))))
+    found = rows.where("up < 0").select("doc_id", "doc_hash", "lo", "n")
+    rows = rows.where("up >= 0").select("doc_id", "doc_hash", (F.col("lo") + F.col("up")).alias("a"), F.col("up").alias("d"),
+                                        "n", "r1", "r2", "whole", F.lit(False).alias("settled"))
+    tied = common.stage(_repeated(rows, ["r1"]), "tied-100")
+    tied = common.stage(_repeated(tied, ["r1", "r2"]), "tied-200")
+    done, open_ = _split(tied, ["r1", "r2"], "run")
+    found = found.union(done)
+    # the texts of open runs: from the first start to the end of the last one's string, but whole blocks at the end
+    last = F.col("d") - F.col("n") + 1
+    lists = open_.groupBy(F.col("doc_id").alias("i"), F.col("doc_hash").alias("h")).agg(F.collect_list(F.struct(
+        (F.col("a") - F.col("d")).alias("lo"), (F.col("a") - last + length).alias("hi"), "a", "d", "n", "settled")).alias("runs"))
+    lists = common.stage(lists, "run-lists")
+    texts = (_only_listed(base, lists).join(lists, _same_row("i", "h"))
+             .select("doc_id", "doc_hash", F.explode(F.arrays_zip("runs", _slices("text", "runs").alias("slice"))).alias("s"))
+             .select("doc_id", "doc_hash", "s.runs.a", "s.runs.d", "s.runs.n", "s.runs.settled", "s.slice"))
+    texts = common.stage(texts if unique else texts.dropDuplicates(_WHERE), "run-texts")
+    blocks = common.stage(_parts(texts, length, BLOCK), "blocks")
+    done, open_ = _split(_repeated(blocks, ["block", "r1", "r2"]), ["block", "r1", "r2"], "block")
+    found = found.union(done)
+    runs = texts.select(*_WHERE, F.col("d").alias("from"), "slice")
+    start = F.col("t.from") - F.col("o.d")
+    cut = open_.alias("o").join(runs.alias("t"), _equal_where("o", "t")).select(
+        *[f"o.{c}" for c in _WHERE], "o.d", "o.n", "o.settled",
+        F.substring(F.col("slice"), start + 1, F.col("o.n") + length - 1).alias("slice"))
+    singles = common.stage(_parts(cut, length, 1), "singles")
+    done = _repeated(singles, ["r1", "r2"]).where("not settled")
+    return found.union(done.select("doc_id", "doc_hash", (F.col("a") - F.col("d")).alias("lo"), "n"))
+
+
+def _equal_where(x: str, y: str) -> Column:
+    out = F.lit(True)
+    for c in _WHERE:
+        out = out & F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}"))
+    return out
+
+
+def _parts(texts: DataFrame, length: int, block: int) -> DataFrame:
+    """One row per block of the texts' starts, with its number, ranks and whole."""
+    return (texts.select(*_WHERE, "settled", F.explode(_parts_udf(length, block)("slice", "d", "n")).alias("p"))
+            .select(*_WHERE, "settled", "p.*").withColumn("block", F.floor(F.col("d") / block)))
 
 
 def _same_row(i: str, h: str) -> Column:
     return F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("doc_hash") == F.col(h))
 
 
-def _if_small(lists: DataFrame, items: DataFrame) -> DataFrame:
-    """Broadcast hint for per-document lists when all their items are few."""
-    size = lists.agg(F.sum(F.size(lists.columns[-1])), F.count("*")).first()
-    return F.broadcast(lists) if (size[0] or 0) * 24 + size[1] * 48 <= common.BROADCAST_BYTES else lists
+def _listed(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``docs`` with ``listed``: false where ``lists`` (keys ``i``, ``h``) certainly has no row for them."""
+    return common.may_be_member(docs, common.member_filter(lists, ["i", "h"], "row-filter"),
+                                [F.col("doc_id"), F.col("doc_hash")], "listed")
+
+
+def _only_listed(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    return _listed(docs, lists).where("listed").drop("listed")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -249,5 +378,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeated_starts(docs, key, F.col(text_col), length, span, unique)
     lists = common.stage(found.groupBy(F.col("doc_id").alias("i"), F.col("doc_hash").alias("h"))
                          .agg(F.collect_set(F.struct("lo", "n")).alias("starts")), "removed")
-    rows = docs.select(*key, F.col(text_col).alias("text")).join(_if_small(lists, found), _same_row("i", "h"), "left")
-    return rows.select("doc_id", _kept_udf(length)("text", "starts").alias("k")).select("doc_id", "k.*")
+    rows = _listed(docs.select(*key, F.col(text_col).alias("text")), lists)
+    # texts that nothing is removed from stay where they are; only the others are joined with their lists
+    whole = rows.where("not listed").select("doc_id", "text", F.lit(None).cast(lists.schema["starts"].dataType).alias("starts"))
+    cut = rows.where("listed").join(lists, _same_row("i", "h"), "left").select("doc_id", "text", "starts")
+    return whole.union(cut).select("doc_id", _kept_udf(length)("text", "starts").alias("k")).select("doc_id", "k.*")
