@@ -3,14 +3,15 @@
 Overlapping heuristic labellers vote good (1), bad (-1) or abstain (0) on every
 text.  Their accuracies are not known: expectation-maximisation over the counts
 of vote patterns (at most 3 ** labellers of them, counted over all documents)
-estimates, for each labeller, how it votes on good and on bad texts, and the
-share of good ones.  The posterior of a text's pattern is its weak label, and a
+estimates, for each labeller, how it votes on good texts and on each kind of bad
+ones, and their shares.  The posterior of a text's pattern is its weak label, and a
 hashed linear scorer (logistic loss over hashed words, word shapes and repeat
 marks) learns from these labels, so that it also judges texts on which the
 labellers abstain.
 
-The scorer fits on at most ``MAX_FIT`` documents chosen by hash (a bound for
-fitting only); votes are counted over all, and every text is scored whole.
+The scorer fits on about ``MAX_FIT`` documents chosen by the hash of their text, equal
+ones as one row with a weight (a bound for fitting only); votes are counted over all
+documents, and every text is scored whole.
 
 Defined cases: null and empty texts get the labellers' votes for no words and
 score by the scorer's offset; with an empty table there are no rows; if only one
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-DIMS, MAX_FIT, ROUNDS, RATE, RIDGE = 1 << 14, 20000, 40, 0.5, 1e-4
+DIMS, MAX_FIT, ROUNDS, RATE, RIDGE = 1 << 14, 20000, 40, 0.2, 1e-4
 KEEP = 0.5
 _PLAIN = "0123456789.,;:!?'\"()-"
 _END = tuple(".!?:;\"')")
@@ -70,44 +71,59 @@ def votes(text: str | None) -> list[int]:
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def votes_column(texts: pa.Array) -> pa.Array:
-    return pa.array([votes(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+    return pa.array([votes(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
 
 @dataclass
 class LabelModel:
-    prior: float                  # share of good texts
-    good: np.ndarray              # [labeller, vote + 1]: how it votes on good texts
-    bad: np.ndarray
+    """A mixture of good texts and, for every labeller, the texts with its kind of fault."""
+    prior: np.ndarray             # [1 + labellers]: share of good texts, then of each kind of bad ones
+    table: np.ndarray             # [1 + labellers, labeller, vote + 1]: how it votes on the texts of a class
+
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        onehot = (patterns[:, :, None] + 1 == np.arange(3)).astype(float)
+        score = np.log(self.prior) + np.einsum("pkv,ckv->pc", onehot, np.log(self.table))
+        share = np.exp(score - score.max(axis=1, keepdims=True))
+        return share / share.sum(axis=1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        at = (np.arange(patterns.shape[1]), patterns + 1)
-        g = np.log(self.prior) + np.log(self.good[at]).sum(axis=1)
-        b = np.log(1 - self.prior) + np.log(self.bad[at]).sum(axis=1)
-        return 1 / (1 + np.exp(np.clip(b - g, -500, 500)))
+        """How likely a text with these votes is good."""
+        return self.classes(patterns)[:, 0]
+
+    @property
+    def good(self) -> np.ndarray:
+        """How the labellers vote on good texts."""
+        return self.table[0]
+
+    @property
+    def bad(self) -> np.ndarray:
+        """How they vote on bad texts of any kind."""
+        return np.einsum("c,ckv->kv", self.prior[1:], self.table[1:]) / self.prior[1:].sum()
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """EM for two classes and conditionally independent labellers.
+    """EM for good texts and one kind of bad ones per labeller, votes independent within a class.
 
-    Begun with a bad vote meaning a bad text: labellers look for different
-    faults, so most of them have nothing against any one bad text.
+    Labellers look for different faults, so bad texts have little in common and one
+    class for all of them would settle on the commonest fault.  Begun with a bad vote
+    meaning a bad text of the kinds of those who cast it.
     """
     k = patterns.shape[1]
-    post = np.where((patterns < 0).any(axis=1), 0.05, 0.95)
+    faults = patterns < 0
+    any_ = faults.any(axis=1)
+    post = np.empty((len(patterns), k + 1))
+    post[:, 0] = np.where(any_, 0.05, 0.95)
+    post[:, 1:] = np.where(any_[:, None], faults * (0.95 / np.maximum(1, faults.sum(axis=1)))[:, None], 0.05 / k)
     onehot = (patterns[:, :, None] + 1 == np.arange(3)).astype(float)
     for _ in range(rounds):
-        wg, wb = counts * post, counts * (1 - post)
-        model = LabelModel(float(np.clip(wg.sum() / counts.sum(), 1e-3, 1 - 1e-3)),
-                           (np.einsum("p,pkv->kv", wg, onehot) + 0.1) / (wg.sum() + 0.3),
-                           (np.einsum("p,pkv->kv", wb, onehot) + 0.1) / (wb.sum() + 0.3))
-        new = model.posterior(patterns)
+        weight = counts[:, None] * post
+        total = weight.sum(axis=0)
+        model = LabelModel((total + 1) / (total.sum() + k + 1),
+                           (np.einsum("pc,pkv->ckv", weight, onehot) + 0.1) / (total[:, None, None] + 0.3))
+        new = model.classes(patterns)
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    # the class on which labellers vote good more often is the good one
-    if (model.good[:, 2] - model.good[:, 0]).sum() < (model.bad[:, 2] - model.bad[:, 0]).sum():
-        model = LabelModel(1 - model.prior, model.bad, model.good)
-    assert model.good.shape == (k, 3)
     return model
 
 
@@ -126,7 +142,7 @@ class _Buckets(dict):
         self.dims = dims
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         own = (xxhash.xxh3_64_intdigest(word.lower()) % self.dims, xxhash.xxh3_64_intdigest("~" + _shape(word)) % self.dims)
         self[word] = own
@@ -147,7 +163,7 @@ def hashed(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]
 
 
 def _gradient(weights: np.ndarray, dims: int):
-    """Summed logistic-loss gradient of the rows (idx, val, p): one row for each task."""
+    """Summed logistic-loss gradient of the rows (idx, val, p, w): one row for each task."""
     def partial(batches):
         grad, n = np.zeros(dims + 2), 0
         for batch in batches:
@@ -156,22 +172,30 @@ def _gradient(weights: np.ndarray, dims: int):
             idx, val = (batch.column(c).flatten().to_numpy() for c in (0, 1))
             sizes = np.diff(batch.column(0).offsets.to_numpy())               # every row has the offset bucket
             z = np.add.reduceat(weights[idx] * val, np.cumsum(sizes) - sizes)
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - batch.column(2).to_numpy()
+            w = batch.column(3).to_numpy()
+            error = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - batch.column(2).to_numpy())
             grad += np.bincount(idx, weights=val * np.repeat(error, sizes), minlength=dims + 2)
-            n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([grad.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["g", "n"])
+            n += w.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([grad.tobytes()], pa.binary()), pa.array([n], pa.float64())], names=["g", "n"])
     return partial
 
 
-def _hash_udf(dims: int):
-    kind = T.StructType([T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("val", T.ArrayType(T.DoubleType()))])
+def _fit_udf(dims: int):
+    """Votes and hashed features of texts, from one Python worker."""
+    kind = T.StructType([T.StructField("votes", T.ArrayType(T.IntegerType())), T.StructField("idx", T.ArrayType(T.IntegerType())),
+                         T.StructField("val", T.ArrayType(T.DoubleType()))])
 
     @F.arrow_udf(kind)
     def vectors(texts: pa.Array) -> pa.Array:
-        buckets = _Buckets(dims)
-        rows = [hashed(t, buckets) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([a for a, _ in rows], pa.list_(pa.int32())),
-                                           pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["idx", "val"])
+        buckets, cast, at, value = _Buckets(dims), [], [], []
+        for t in texts:
+            text = t.as_py()
+            cast.append(votes(text))
+            a, v = hashed(text, buckets)
+            at.append(a.astype(np.int32))
+            value.append(v)
+        return pa.StructArray.from_arrays([pa.array(cast, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())),
+                                           pa.array(value, pa.list_(pa.float64()))], ["votes", "idx", "val"])
     return vectors.asNondeterministic()
 
 
@@ -183,9 +207,9 @@ class Model:
 
 def learn(docs: DataFrame, text_col: str = "text", max_fit: int = MAX_FIT, dims: int = DIMS) -> Model:
     spark = docs.sparkSession
-    common.prepare(spark)
-    voted = docs.select(F.col(text_col).alias("text"), votes_column(F.col(text_col)).alias("votes"))
-    seen = voted.groupBy("votes").count().collect()                            # at most 3 ** 7 patterns
+    common.prepare(spark, common.SMALL_BATCH_BYTES)
+    texts = docs.select(F.col(text_col).alias("text"))
+    seen = texts.select(votes_column("text").alias("votes")).groupBy("votes").count().collect()   # at most 3 ** 7 patterns
     if not seen:
         return Model(None, np.zeros(dims + 2))
     patterns, counts = np.array([r.votes for r in seen]), np.array([r["count"] for r in seen], float)
@@ -193,13 +217,16 @@ def learn(docs: DataFrame, text_col: str = "text", max_fit: int = MAX_FIT, dims:
     post = labels.posterior(patterns)
     table = spark.createDataFrame([(list(map(int, p)), float(q)) for p, q in zip(patterns, post)],
                                   "votes array<int>, p double")
-    share = max_fit / counts.sum()
-    place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000))
-    fit = common.stage(voted.where(place < 1_000_000 * min(1.0, share)).join(F.broadcast(table), "votes")
-                       .select(_hash_udf(dims)("text").alias("h"), "p").select("h.idx", "h.val", "p"), "weak-labels")
+    place = F.xxhash64("text", F.lit(5))
+    share = min(1.0, max_fit / counts.sum())
+    some = texts.select("text", place.alias("place")).where(F.pmod("place", F.lit(1 << 40)) < int((1 << 40) * share))
+    once = common.stage(some.groupBy("place").agg(F.first("text").alias("text"), F.count("*").cast("double").alias("w"))
+                        .drop("place"), "fit-texts")
+    fit = common.stage(once.select(_fit_udf(dims)("text").alias("h"), "w").select("h.*", "w").join(F.broadcast(table), "votes")
+                       .select("idx", "val", "p", "w"), "weak-labels")
     weights, size = np.zeros(dims + 2), np.full(dims + 2, 1e-8)
     for _ in range(ROUNDS):                                                    # Adagrad on the whole sample
-        parts = fit.mapInArrow(_gradient(weights, dims), "g binary, n long").collect()   # one bounded row per task
+        parts = fit.mapInArrow(_gradient(weights, dims), "g binary, n double").collect()   # one bounded row per task
         n = sum(r.n for r in parts)
         if not n:
             break
@@ -211,15 +238,15 @@ def learn(docs: DataFrame, text_col: str = "text", max_fit: int = MAX_FIT, dims:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", dims: int = DIMS) -> DataFrame:
     """``row`` (the input row as a struct) and ``score`` in (0, 1): likelier good when higher."""
-    common.prepare(docs.sparkSession)
+    common.prepare(docs.sparkSession, common.SMALL_BATCH_BYTES)
     weights = model.weights
 
     @F.arrow_udf(T.DoubleType())
     def judge(texts: pa.Array) -> pa.Array:
         buckets = _Buckets(dims)
         out = []
-        for t in texts.to_pylist():
-            at, value = hashed(t, buckets)
+        for t in texts:
+            at, value = hashed(t.as_py(), buckets)
             out.append(float(1 / (1 + np.exp(-np.clip(weights[at] @ value, -30, 30)))))
         return pa.array(out, pa.float64())
 
