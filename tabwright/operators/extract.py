@@ -105,23 +105,31 @@ def schema_outcomes(df: DataFrame, key: str, raw_col: str) -> DataFrame:
                     .alias("schema_json"), F.when(F.col("_ej").isNull() & ~full, reason).alias("reason"))
 
 
-def final_schema_headers(outcomes: DataFrame, key: str) -> DataFrame:
-    """Tables and column headers of ``final`` outcomes, in the object's order: A5's long form.
+def final_schema_tables(outcomes: DataFrame, key: str) -> DataFrame:
+    """``(key, tables)`` of ``final`` outcomes: (name, headers) of each table, in the object's order.
 
     Headers are the text elements of ``column_headers``, or of ``col_headers`` where
-    that is missing or empty; a table without any has one row with a null header.
+    that is missing or empty; null where a table has neither.
     """
     x = outcomes.filter(F.col("kind") == "final").select(
-        key, F.posexplode(F.json_object_keys("schema_json")).alias("table_pos", "table_name"),
-        F.from_json("schema_json", "map<string,string>").alias("_m"))
-    x = x.withColumn("_v", F.try_parse_json(F.element_at("_m", F.col("table_name"))))
+        key, F.json_object_keys("schema_json").alias("_k"), F.from_json("schema_json", "map<string,string>").alias("_m"))
 
-    def texts(name):
-        found = F.try_variant_get("_v", f"$.{name}", "array<variant>")
+    def texts(entry, name):
+        found = F.try_variant_get(F.try_parse_json(entry), f"$.{name}", "array<variant>")
         return F.when(F.size(found) > 0, F.transform(
             F.filter(found, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string")))
-    return x.select(key, "table_pos", "table_name", F.posexplode_outer(
-        F.coalesce(texts("column_headers"), texts("col_headers"))).alias("header_pos", "header"))
+
+    def table(name):
+        entry = F.element_at("_m", name)
+        return F.struct(name.alias("name"), F.coalesce(texts(entry, "column_headers"), texts(entry, "col_headers")).alias("headers"))
+    return x.select(key, F.transform("_k", table).alias("tables"))
+
+
+def final_schema_headers(outcomes: DataFrame, key: str) -> DataFrame:
+    """The headers of :func:`final_schema_tables` in long form; a table without any has one row with a null header."""
+    x = final_schema_tables(outcomes, key).select(key, F.posexplode("tables").alias("table_pos", "t"))
+    return x.select(key, "table_pos", F.col("t.name").alias("table_name"),
+                    F.posexplode_outer("t.headers").alias("header_pos", "header"))
 
 
 def parse_schema_outputs(df: DataFrame, key: str, raw_col: str) -> tuple[DataFrame, DataFrame]:
@@ -129,11 +137,13 @@ def parse_schema_outputs(df: DataFrame, key: str, raw_col: str) -> tuple[DataFra
 
     ``explicit`` holds records whose output carried a ``{"schema"...}`` line
     (its JSON text); ``fields`` holds the A5 field list built from the
-    ``### Final Schema:`` block of the others.  :func:`schema_outcomes` has the rest.
+    ``### Final Schema:`` block of the others, one row per field, made within the
+    record.  :func:`schema_outcomes` has the rest.
     """
     out = schema_outcomes(df, key, raw_col)
     explicit = out.filter(F.col("kind") == "explicit").select(key, "schema_json")
-    return explicit, induce.header_schema_fields(final_schema_headers(out, key), key=key)
+    made = induce.with_schema_fields(final_schema_tables(out, key), "tables")
+    return explicit, made.select(key, "schema_id", F.explode("fields").alias("f")).select(key, "schema_id", "f.*")
 
 
 SCHEMA_OBJECT = ("struct<schema_id:string,structure:string,"

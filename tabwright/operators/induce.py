@@ -235,6 +235,32 @@ def header_schema_fields(headers: DataFrame, key: str = "record_id") -> DataFram
         "name", F.col("f.type").alias("type"), F.col("f.required").alias("required"))
 
 
+FIELD = "struct<grp:int,p1:int,p2:int,name:string,type:string,required:boolean>"
+
+
+def with_schema_fields(df: DataFrame, tables_col: str, out_col: str = "fields") -> DataFrame:
+    """A5 within the record: ``schema_id`` and ``out_col`` from an array of (name, headers), without a shuffle.
+
+    The fields are those of :func:`header_schema_fields`, in order of first appearance.
+    """
+    tables = F.col(tables_col)
+    title = F.transform(tables, lambda t: F.lower(t["name"]))
+
+    def field(grp, i, j, name, kind, required):
+        parts = [F.lit(grp), i.cast("int"), j, name, kind, required]
+        return F.struct(*[c.alias(n) for c, n in zip(parts, ("grp", "p1", "p2", "name", "type", "required"))])
+
+    own = F.transform(title, lambda t, i: field(0, i, F.lit(0), F.concat(t, F.lit("_name")), F.lit("string"), i == 0))
+    heads = F.flatten(F.transform(tables, lambda t, i: F.transform(
+        F.coalesce(t["headers"], F.array().cast("array<string>")), lambda h, j: field(
+            1, i, j.cast("int"), T.snake_case_plain(h), T.guess_header_type(T.snake_case_plain(h)), F.lit(False)))))
+    x = df.withColumn("_all", F.filter(F.concat(own, heads).cast(f"array<{FIELD}>"), lambda f: f["name"] != ""))
+    x = x.withColumn("_names", F.transform("_all", lambda f: f["name"]))
+    first = F.filter("_all", lambda f, i: F.array_position("_names", f["name"]) == i + 1)
+    sid = F.concat(F.array_join(title, "_"), F.lit("_schema"))
+    return x.withColumns({out_col: first, "schema_id": sid}).drop("_all", "_names")
+
+
 # A8 / A9 combined -------------------------------------------------------------------
 def column_constraints(types: DataFrame, enums: DataFrame, key_cols: list[str]) -> DataFrame:
     """Per column the schema field with its constraints.

@@ -102,3 +102,16 @@ def test_keys_and_enums_of_high_cardinality_columns(spark):
     cells = cells.unionByName(cells.select("pos", F.lit("ten").alias("column_name"), (F.col("pos") % 10).cast("string").alias("value")))
     got = {r["column_name"]: (r["n_distinct"], r["enum_values"]) for r in induce.small_enums(cells, ["column_name"]).collect()}
     assert got == {"nearly": (None, None), "key": (None, None), "ten": (10, [str(i) for i in range(10)])}
+
+
+def test_fields_within_the_record_equal_the_long_form(spark):
+    rows = [(1, [("Team", ["Team", "Wins", "wins", "Total Points"]), ("Player", ["Player", "Points", "", "--", "Wins"]), ("Team", None)]),
+            (2, [("A b", [])]), (3, [("x", ["x name", "a_b name"]), ("X", ["id"])])]
+    df = spark.createDataFrame(rows, "record_id long, tables array<struct<name:string,headers:array<string>>>")
+    got = induce.with_schema_fields(df, "tables").select("record_id", "schema_id", F.explode("fields").alias("f")).select(
+        "record_id", "schema_id", "f.*")
+    long = df.select("record_id", F.posexplode("tables").alias("table_pos", "t")).select(
+        "record_id", "table_pos", F.col("t.name").alias("table_name"), F.posexplode_outer("t.headers").alias("header_pos", "header"))
+    want = induce.header_schema_fields(long).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
