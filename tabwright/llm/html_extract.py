@@ -45,48 +45,66 @@ _KINDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising
                    "toolbar widget widgets".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation note search status "
                    "toolbar".split())
-_NAME = re.compile(r"[a-z0-9]+")
+# Parts of class names that say where or how a thing stands, not what it is; and words that negate or attach one.
+_FRAME = frozenset("area bar bars block body bottom box col column container content group head inner item items layer left "
+                   "links list main outer panel pane posts right section slot thread title top unit wrap wrapper zone".split())
+_APART = frozenset("has hide no not off on show with without".split())
+_PART = re.compile(r"[a-z]+")
+
+
+def _names_a_kind(name: str) -> bool:
+    """Whether a class or id names something that is no article: its last part, frames aside, is such a kind.
+
+    ``cookie-notice`` is a notice and ``related-posts`` are related ones; ``related-work`` is
+    work, and ``with-sidebar`` or ``no-comments`` speak of something else.
+    """
+    parts = _PART.findall(name)
+    if any(p in _APART for p in parts[:-1]):
+        return False
+    while len(parts) > 1 and parts[-1] in _FRAME:
+        parts.pop()
+    return bool(parts) and parts[-1] in _KINDS
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "path")
+    __slots__ = ("text", "tags", "linked", "container")
 
-    def __init__(self, text: str, tags: int, linked: int, path: tuple[int, ...]):
-        self.text, self.tags, self.linked, self.path = text, tags, linked, path
+    def __init__(self, text: str, tags: int, linked: int, container: int):
+        self.text, self.tags, self.linked, self.container = text, tags, linked, container
 
 
 class LineParser(HTMLParser):
-    """Lines of a page, with the containers they lie in."""
+    """Lines of a page, with the innermost container each lies in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.containers: dict[int, str] = {0: "root"}
-        self.open: list[tuple[str, bool, int]] = []      # tag, passed over, container number
+        self.containers: list[tuple[str, int]] = [("root", 0)]       # tag, parent: numbers grow inwards
+        self.open: list[tuple[str, bool, int]] = []                  # tag, passed over, innermost container
+        self.count: dict[str, int] = {}                              # open elements by tag
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
 
     def _dropped(self, tag: str, attrs) -> bool:
         if tag in ("html", "body", "main"):
             return False
-        if tag == "header" and any(t == "article" for t, _, _ in self.open):
+        if tag == "header" and any(self.count.get(t) for t in ("article", "main", "section")):
             return False                                  # an article's own heading
         values = {k: (v or "").lower() for k, v in attrs}
         if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role") in _ROLES:
             return True
-        names = set(_NAME.findall(values.get("class", "") + " " + values.get("id", "")))
-        return tag in _DROPPED or bool(names & _KINDS)
+        names = [*values.get("class", "").split(), values.get("id", "")]
+        return tag in _DROPPED or any(map(_names_a_kind, names))
 
     def _flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(c for _, _, c in self.open if c)
-            self.lines.append(Line(text, self.tags, self.linked, path))
+            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][2] if self.open else 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _pop_to(self, size: int):
         for tag, _, _ in self.open[size:]:
-            self.links -= tag == "a"
+            self.count[tag] -= 1
         del self.open[size:]
 
     def handle_starttag(self, tag, attrs):
@@ -105,12 +123,12 @@ class LineParser(HTMLParser):
                 self._pop_to(first)
                 over = False
         over = over or self._dropped(tag, attrs)
-        number = 0
+        container = self.open[-1][2] if self.open else 0
         if tag in _CONTAINER and not over:
-            number = len(self.containers)
-            self.containers[number] = tag
-        self.links += tag == "a"
-        self.open.append((tag, over, number))
+            self.containers.append((tag, container))
+            container = len(self.containers) - 1
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.open.append((tag, over, container))
 
     def _imply_ends(self, tag: str):
         """A block ends an open paragraph; an item ends the item before it."""
@@ -121,6 +139,8 @@ class LineParser(HTMLParser):
                 return
             if name in _CONTAINER or name in ("ul", "ol", "dl", "nav", "aside", "header", "footer", "form"):
                 return
+            if not self.count.get("p") and not self.count.get(tag):
+                return
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -131,6 +151,8 @@ class LineParser(HTMLParser):
         if tag in _BLOCK:
             self._flush()
         self.tags += 1
+        if not self.count.get(tag):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self._pop_to(i)
@@ -142,7 +164,7 @@ class LineParser(HTMLParser):
         if self.open and self.open[-1][1]:
             return
         self.parts.append(data)
-        if self.links > 0:
+        if self.count.get("a"):
             self.linked += len(data.strip())
 
     def finish(self, page: str) -> list[Line]:
@@ -183,17 +205,24 @@ def main_text(page: str | None) -> str:
         return ""
     ratio = smoothed_ratios(lines)
     cut = threshold(ratio)
-    core = [x for x, r in zip(lines, ratio) if r >= cut]
-    mass: dict[int, int] = {}
-    for x in core:
-        for c in (0, *x.path):
-            mass[c] = mass.get(c, 0) + len(x.text)
-    region = max(c for c in mass if mass[c] >= SHARE * mass[0])         # numbers grow inwards along a path
-    path = next(x.path for x in core if region in (0, *x.path))
-    around = path[: path.index(region) + 1] if region else ()
-    region = next((c for c in around if parser.containers[c] in ("article", "main")), region)
+    mass = [0] * len(parser.containers)                  # text of the upper cluster inside each container
+    for x, r in zip(lines, ratio):
+        if r >= cut:
+            mass[x.container] += len(x.text)
+    parents = [parent for _, parent in parser.containers]
+    for c in range(len(mass) - 1, 0, -1):
+        mass[parents[c]] += mass[c]
+    region = max(c for c, m in enumerate(mass) if m >= SHARE * mass[0])     # numbers grow inwards
+    around, c = [], region
+    while c:
+        around.append(c)
+        c = parents[c]
+    region = next((c for c in reversed(around) if parser.containers[c][0] in ("article", "main")), region)
+    inside = [False] * len(mass)
+    for c in range(len(mass)):
+        inside[c] = c == region or (c > 0 and inside[parents[c]])
     return "\n".join(x.text for x, r in zip(lines, ratio)
-                     if region in (0, *x.path) and not (r < cut and x.linked >= len(x.text.replace(" ", ""))))
+                     if inside[x.container] and not (r < cut and x.linked >= len(x.text.replace(" ", ""))))
 
 
 @F.arrow_udf(T.StringType())

@@ -97,25 +97,23 @@ def thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Every document with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes it).
-
-    The new columns are in one struct column ``mix``, so that input columns of
-    the same names stay as they are.
-    """
+    """``row`` (the input row as a struct) and ``mix``: size, source_size, target and copies (how often the mix takes it)."""
     plan = thresholds(docs, id_col, text_col, source_col, weights)
     plan = common.broadcast_if_small(plan.select(F.struct("*").alias("__plan")), 96)
+    rows = docs.select(F.struct("*").alias("row"))
+    text, source = F.col("row").getField(text_col), F.col("row").getField(source_col)
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_POSITION)) / _POSITION
-    hashed = docs.withColumns({"__hash": document_hash(F.col(id_col), F.col(text_col)), "__place": place})
-    joined = hashed.join(plan, F.col(source_col).eqNullSafe(F.col("__plan.source")), "left")
-    over = (F.col("__hash") < F.col("__plan.threshold")) | (
-        (F.col("__hash") == F.col("__plan.threshold")) & (F.col("__place") < F.col("__plan.tie_share")))
-    return joined.withColumn("mix", F.struct(
-        common.words_column(F.col(text_col)).alias("size"), F.col("__plan.source_size"), F.col("__plan.target"),
-        (F.col("__plan.passes") + over.cast("long")).alias("copies"))).drop("__hash", "__place", "__plan")
+    hashed = rows.withColumns({"hash": document_hash(F.col("row").getField(id_col), text), "place": place})
+    joined = hashed.join(plan, source.eqNullSafe(F.col("__plan.source")), "left")
+    over = (F.col("hash") < F.col("__plan.threshold")) | (
+        (F.col("hash") == F.col("__plan.threshold")) & (F.col("place") < F.col("__plan.tie_share")))
+    return joined.select("row", F.struct(
+        common.words_column(text).alias("size"), F.col("__plan.source_size"), F.col("__plan.target"),
+        (F.col("__plan.passes") + over.cast("long")).alias("copies")).alias("mix"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: each document as many times as the mix takes it, input columns only."""
-    taken = mix(docs.select(F.struct("*").alias("__row"), id_col, text_col, source_col), id_col, text_col, source_col)
+    taken = mix(docs, id_col, text_col, source_col)
     times = F.array_repeat(F.lit(0), F.col("mix.copies").cast("int"))
-    return taken.select("__row", F.explode(times)).select("__row.*")
+    return taken.select("row", F.explode(times)).select("row.*")

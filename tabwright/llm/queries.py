@@ -44,7 +44,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     m = mixing.mix(docs)
-    return m.select("doc_id", "mix.size", "mix.source_size", "mix.target",
+    return m.select("row.doc_id", "mix.size", "mix.source_size", "mix.target",
                     (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
@@ -125,9 +125,9 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
-    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    outcomes = url_filter.page_outcomes(pages, _read(spark, sf_dir, "labels"))
-    return url_filter.judge(pages, outcomes).select("row.page_id", "host", "path", "rule", "verdict", "bad_rate", "bound")
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    outcomes = url_filter.page_outcomes(pages)
+    return url_filter.judge(pages.select("page_id", "url"), outcomes).select("row.page_id", "host", "path", "rule", "verdict", "bad_rate", "bound")
 
 
 @_query

@@ -136,14 +136,14 @@ def test_near_duplicates_of_an_edited_group(spark, monkeypatch, rare):
 
 
 def test_mixing_sums_and_ties(spark, docs, empty, texts):
-    m = mixing.mix(docs).select("source", "mix.*").collect()
+    m = mixing.mix(docs).select("row.source", "mix.*").collect()
     total = sum(r.size for r in m)
     goal = {r.source: (r.source_size, r.target) for r in m}
     assert abs(sum(t for _, t in goal.values()) - total) < 1e-6 * total
     assert all(t <= 3 * s + 1e-9 for s, t in goal.values()) and all(0 <= r.copies <= 3 for r in m)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).columns == empty.columns
     same = spark.createDataFrame([(1, "a b", "x", 0, "", "", 0)] * 3000 + [(2, "c " * 2000, "y", 0, "", "", 0)], SCHEMA)
-    taken = {r.source: (r.t, r.taken) for r in mixing.mix(same).groupBy("source").agg(
+    taken = {r.source: (r.t, r.taken) for r in mixing.mix(same).groupBy("row.source").agg(
         F.max("mix.target").alias("t"), F.sum(F.col("mix.size") * F.col("mix.copies")).alias("taken")).collect()}
     assert abs(taken["x"][1] - taken["x"][0]) < 0.1 * taken["x"][0]
 
@@ -198,11 +198,88 @@ def test_suffix_dedup(docs, empty, texts):
     ("<div id=top><a href=1>One</a> <a href=2>Two</a></div><div id=content><p>A paragraph with enough words in it to be text."
      "</p><p>Another paragraph with enough words in it to be text.</p></div><div class='cookie-notice'>We use cookies</div>",
      "A paragraph with enough words in it to be text.\nAnother paragraph with enough words in it to be text."),
+    ("<div class='content with-sidebar'><p>Body text of it.</p></div>", "Body text of it."),
+    ("<article class='post no-comments'><p>Body text.</p></article>", "Body text."),
+    ("<div id=related-work><p>Body.</p></div>", "Body."),
+    ("<main><header><h1>Title</h1></header><p>Body text.</p></main>", "Title\nBody text."),
+    ("<section><header><h1>T</h1></header><p>Body text.</p></section>", "T\nBody text."),
+    ("<div class=cookie-notice>c</div><div class=comment-list>x</div><div class=site_footer>f</div><div class='box ad-slot-3'>a"
+     "</div><ul class=related-posts><li>r</ul><p>Body text here.</p>", "Body text here."),
 ])
 def test_html(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_html_through_spark_and_deep_pages(spark):
+    import time
+    page = "<nav>menu</nav><article><p>Text of the article, long enough.</p></article>"
+    rows = [(1, page, "t"), (1, page, "t"), (2, None, "t"), (3, "", None), (4, "<p>" + "word " * 200000 + "</p>", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted((r["row"].page_id, r["row"].text or "", r.text) for r in html_extract.extract(pages).collect())
+    want = "Text of the article, long enough."
+    assert got == [(1, "t", want), (1, "t", want), (2, "t", ""), (3, "", ""), (4, "t", ("word " * 200000).strip())]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+    began = time.perf_counter()
+    assert html_extract.main_text("<div><p>x " * 20000).count("x") >= html_extract.SHARE * 20000
+    html_extract.main_text("<div><b>" * 20000 + "</i></p></section>" * 20000)
+    assert time.perf_counter() - began < 20               # in proportion to the page, not to its square
+
+
+def brute_reputation(outcomes):
+    """The posterior of every host in plain Python."""
+    from collections import defaultdict
+    total = [sum(b for _, b in outcomes), len(outcomes)]
+    whole = total[0] / total[1]
+
+    def strength(groups):                                 # (n, bad, parent's mean)
+        groups = [g for g in groups if g[0]]
+        scatter = sum(n * (b / n - m) ** 2 for n, b, m in groups)
+        noise, size = sum(m * (1 - m) for _, _, m in groups), sum(n * m * (1 - m) for n, _, m in groups)
+        between = (scatter - noise) / (size - noise) if size > noise else 0
+        return min(1000, max(1, 1 / between - 1)) if between > 0 else 1000
+
+    def level(names, means):                              # name -> parent; parent -> mean
+        tally = defaultdict(lambda: [0, 0])
+        for h, b in outcomes:
+            tally[names(h)][0] += 1
+            tally[names(h)][1] += b
+        s = strength([(n, b, means(k)) for k, (n, b) in tally.items()])
+        return {k: ((s * means(k) + b) / (s + n), n + s + 1) for k, (n, b) in tally.items()}
+
+    suf = lambda h: ".".join(h.split(".")[-2:]) if h.endswith(".co.uk") else h.split(".")[-1]
+    dom = lambda h: ".".join(h.split(".")[-1 - len(suf(h).split(".")):])
+    suffixes = level(suf, lambda _: whole)
+    domains = level(dom, lambda d: suffixes[suf(d)][0])
+    hosts = level(lambda h: h, lambda h: domains[dom(h)][0])
+    return {h: (m, m - 1.64 * (m * (1 - m) / n) ** 0.5) for h, (m, n) in hosts.items()}
+
+
+def test_reputation_equals_brute_force(spark):
+    rng = random.Random(11)
+    hosts = ["a.x.com", "b.x.com", "x.com", "c.y.co.uk", "d.z.co.uk", "z.co.uk", "w.org", "v.w.org"]
+    rate = dict(zip(hosts, [0.9, 0.8, 0.85, 0.1, 0.05, 0.2, 0.0, 0.3]))
+    outcomes = [(h, int(rng.random() < rate[h])) for h in hosts for _ in range(rng.randint(1, 120))]
+    got = {r["host"]: (r["mean"], r["bound"]) for r in url_filter.reputation(
+        spark.createDataFrame(outcomes, "host string, bad int")).collect()}
+    want = brute_reputation(outcomes)
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[h], want[h]) for h in want)
+
+
+def test_pages_are_labelled_by_their_text(spark):
+    rng = random.Random(2)
+    words = [a + b for a in ("the", "hou", "wat", "gar", "sto", "nea", "old") for b in ("den", "se", "er", "ne", "r", "ing", "ly")]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(60)) + "."
+    rows = [(i, "http://good.test/%d" % i, f"<article><p>{prose()}</p><p>{prose()}</p></article>") for i in range(300)]
+    rows += [(1000 + i, "http://Junk.test/%d" % i, "<article><p>" + "BUY!! NOW!! " * 40 + "</p></article>") for i in range(40)]
+    rows += [(2000, None, None), (2001, "http://new.test/", "<p>one</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["row"].page_id: r.verdict for r in url_filter.judge(pages, url_filter.page_outcomes(pages)).collect()}
+    assert len(got) == len(rows)
+    assert {got[i] for i in range(300)} == {"allow"} and {got[1000 + i] for i in range(40)} == {"block"}
+    assert url_filter.page_outcomes(pages.limit(0)).count() == 0
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://A.net/x?q", "https://b.example.net/en/1", "ftp://example.com/de/", "x://sub.org/fr/#a", "no scheme", None,
             "http://bad.test/1", "http://good.test/2", "http://xnet/"]
@@ -216,6 +293,7 @@ def test_url_rules_and_reputation(spark):
         7: ("good.test", "/2", None, "allow"), 8: ("xnet", "/", None, "allow")}
     assert url_filter.judge(pages.limit(0), outcomes).count() == 0
     assert url_filter.judge(pages, outcomes.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+    assert url_filter.judge(pages.union(pages), outcomes).groupBy("row.page_id").count().where("count != 2").count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark):
