@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common, pieces
 
 LANE = 128
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 HEAD_PAIRS = 500_000
 _SPACE = b" "
 _GROUPS = "array<struct<a:array<int>,b:array<int>>>"
@@ -208,7 +208,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 def groups(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
     """The input rows as ``row`` and their groups of ids as ``groups``; empty without tokens."""
-    common.prepare(docs.sparkSession)
+    common.prepare(docs.sparkSession, common.SMALL_BATCH_BYTES)
 
     @F.arrow_udf(_GROUPS)
     def grouped(texts: pa.Array) -> pa.Array:
@@ -320,7 +320,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
           head_pairs: int = HEAD_PAIRS) -> DataFrame:
     """One row per document: ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``."""
     spark = docs.sparkSession
-    common.prepare(spark)
+    common.prepare(spark, common.SMALL_BATCH_BYTES)
     if max(pieces.ByteBpe(path_a).size, pieces.PieceBpe(path_b).size) > 1 << 16:
         raise ValueError("a tokenizer with more than 65,536 ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

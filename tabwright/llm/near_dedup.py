@@ -155,7 +155,7 @@ def _may_link(x: str, y: str, percent: int, bound: int) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """One row per document row: ``doc_id``, ``doc_hash``, ``n_shingles``, ``component_id``."""
-    common.prepare(docs.sparkSession)
+    common.prepare(docs.sparkSession, common.SMALL_BATCH_BYTES)
     bound = sketch_bound(bands * rows, bits, percent / 100)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     sig = common.stage(docs.select(
@@ -198,10 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                              "components")
         mixed = _mixed(members, final) if candidates is not _cross_pairs else mixed
     classes = reps.select("node", "k1", "k2").join(final, "node", "left").select(
-        "k1", "k2", F.coalesce("component.id", "node.id").alias("component"))
-    return (sig.select("doc_id", "id", "doc_hash", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
-            .select("doc_id", "doc_hash", "n_shingles",
-                    F.nullif(F.coalesce("component", "id"), F.lit(_NO_ID)).alias("component_id")))
+        "k1", "k2", F.coalesce("component", "node").alias("component"))
+    out = sig.select("doc_id", "doc_hash", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    smallest = F.nullif(F.col("component.id"), F.lit(_NO_ID))
+    top = out.where(F.col("doc_id") == _NO_ID)
+    if not top.isEmpty():                             # the id that stands for a missing one is some row's own
+        own = common.stage(top.select(F.col("component").alias("c"), F.lit(_NO_ID).alias("own")).distinct(), "top-id")
+        out = out.join(common.broadcast_if_small(own, 48), F.col("component") == F.col("c"), "left")
+        smallest = F.when(F.col("component.id") == _NO_ID, F.col("own")).otherwise(F.col("component.id"))
+    return out.select("doc_id", "doc_hash", "n_shingles",
+                      F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(smallest).alias("component_id"))
 
 
 def _mixed(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -296,15 +302,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bad = common.stage(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
                        .select(F.col("doc_id").alias("bad_id"), F.col("doc_hash").alias("bad_hash")).distinct(), "copies")
     kept = common.without(docs, id_col, text_col, bad)
-    key = [F.col(id_col).alias("bad_id"), common.row_hash(F.col(id_col), F.col(text_col)).alias("bad_hash")]
     again = common.stage(found.groupBy(F.col("doc_id").alias("bad_id"), F.col("doc_hash").alias("bad_hash"))
                          .count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():
         return kept
     # rows repeated with equal id and text: group-limited map-side, so one row of each leaves every partition
     rest = common.without(kept, id_col, text_col, again)
-    tied = kept.withColumns({"__id": key[0], "__hash": key[1]}).join(
-        again, F.col("__id").eqNullSafe(F.col("bad_id")) & (F.col("__hash") == F.col("bad_hash")), "left_semi")
-    one = Window.partitionBy("__id", "__hash").orderBy("__hash")
-    tied = tied.withColumn("__row", F.row_number().over(one)).where("__row = 1")
-    return rest.unionByName(tied.drop("__id", "__hash", "__row"))
+    tied = common.without(kept, id_col, text_col, again, "left_semi").select(F.struct("*").alias("row"))
+    ident = F.col("row").getField(id_col)
+    tied = tied.select("row", ident.alias("id"), common.row_hash(ident, F.col("row").getField(text_col)).alias("hash"))
+    one = F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))
+    return rest.unionByName(tied.withColumn("nth", one).where("nth = 1").select("row.*"))
