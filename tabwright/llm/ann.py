@@ -11,9 +11,12 @@ sqrt(M^2 - |x|^2) with M the largest norm.
   reverse, is joined with the vectors, and each pair in it is offered to both
   ends.  Long reverse lists are split by hash into several groups, each with the
   forward list; no neighbour is dropped.  Lists improve until few change.
-* A query walks the graph from its own class and from the ``ENTRIES`` longest
-  vectors (long vectors have large inner products with many queries): the best
-  unvisited nodes' lists are scored, ``HOPS`` times after the first.
+* A query walks the graph from its own class and from entry nodes: the
+  ``PER_CELL`` longest vectors of each of at most ``CELLS`` cells of directions (one
+  more tree), of which the query takes the best ``BEAM`` by inner product.  Long
+  vectors have large inner products with many queries, and the cells reach
+  clusters that no edge of the graph joins.  The best unvisited nodes' lists are
+  scored, ``HOPS`` times after the first.
 
 Defined cases: null, zero, or non-finite vectors and vectors with null
 components take no part; vectors of another length than most are compared over
@@ -34,7 +37,7 @@ from . import common
 
 NEIGHBOURS, TREES, LEAF, ROUNDS, HOPS, BEAM, K = 32, 8, 600, 3, 4, 80, 20
 SAMPLE = 20000                 # vectors on which the trees' cut points are fitted
-GROUP, ENTRIES = 96, 32
+GROUP, CELLS, PER_CELL = 96, 256, 4
 _LIST = T.ArrayType(T.StructType([T.StructField("d", T.FloatType()), T.StructField("id", T.LongType())]))
 
 
@@ -168,14 +171,41 @@ def build_graph(nodes: DataFrame, dims: int, neighbours: int = NEIGHBOURS, round
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def entry_nodes(nodes: DataFrame, dims: int, cells: int = CELLS, per_cell: int = PER_CELL) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the longest nodes of each cell of directions: at most ``cells * per_cell`` rows."""
+    size = F.sqrt(product(F.col("vec"), F.col("vec")))
+    unit = nodes.select("id", "vec", size.alias("size")).withColumn("dir", F.transform(
+        "vec", lambda x: (x / F.col("size")).cast("float")))
+    n = nodes.count()
+    place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
+    some = unit.where(place < 1_000_000 * min(1.0, SAMPLE / max(1, n))).select("dir").limit(2 * SAMPLE).toArrow()
+    sample = _matrix(some["dir"].combine_chunks(), dims) if some.num_rows else np.zeros((0, dims), np.float32)
+    forest = fit_trees(sample, cells, 1, seed=11)
+    longest = Window.partitionBy("cell").orderBy(F.desc("size"), "id")
+    best = (unit.withColumn("cell", F.element_at(_leaves_udf(forest, dims)("dir"), 1)).drop("dir")
+            .withColumn("nth", F.row_number().over(longest)).where(F.col("nth") <= per_cell).select("id", "vec").toArrow())
+    vectors = best["vec"].combine_chunks()
+    x = _matrix(vectors.cast(pa.list_(pa.float64())), dims) if best.num_rows else np.zeros((0, dims))
+    return best["id"].to_numpy(), x
+
+
+def _entries_udf(ids: np.ndarray, x: np.ndarray, dims: int, keep: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def entries(vectors: pa.Array) -> pa.Array:
+        q = _matrix(vectors.cast(pa.list_(pa.float64())), dims)
+        k = min(keep, len(ids))
+        best = np.argpartition(-(q @ x.T), k - 1, axis=1)[:, :k]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * k, pa.int32()), pa.array(ids[best].ravel()))
+    return entries
+
+
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
     """``q``, ``id``: the best ``beam`` nodes found for each query (node ids), its own among them."""
     vec = nodes.select(F.col("id").alias("b"), F.col("vec").alias("bv"))
     own = nodes.join(queries, "id").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
     links = graph.select(F.col("id").alias("a"), F.col("near.id").alias("to"))
-    norm = product(F.col("vec"), F.col("vec"))
-    entries = [r.id for r in nodes.orderBy(F.desc(norm), "id").limit(ENTRIES).select("id").collect()]
-    start = own.select("q", F.explode(F.array(*[F.lit(i).cast("long") for i in entries])).alias("b")) if entries else None
+    ids, x = entry_nodes(nodes, dims)
+    start = own.select("q", F.explode(_entries_udf(ids, x, dims, beam)("qv")).alias("b")) if len(ids) else None
     found = common.stage(own.select("q", F.col("q").alias("id"), F.lit(None).cast("double").alias("score"),
                                     F.lit(False).alias("done")), "beam")
     best = Window.partitionBy("q").orderBy(F.col("score").desc_nulls_first(), "id")
@@ -224,7 +254,7 @@ def _nearest(rows: DataFrame, dims: int, every: int, k: int) -> DataFrame:
     graph = build_graph(nodes, dims + 1)
     asked = rows.where(F.pmod("vid", F.lit(every)) == 0).join(classes, "raw").select("vid", "id")
     asked = common.stage(asked, "queries")
-    near = search(graph, plain, asked.select("id").distinct())
+    near = search(graph, plain, asked.select("id").distinct(), dims)
     # scored once per class pair; the classes' ids are named, the k + 1 best kept, then each query drops itself
     both = near.join(plain.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q").join(plain, "id")
     scored = both.select("q", "id", product(F.col("qv"), F.col("vec")).alias("score")).join(named, "id")
