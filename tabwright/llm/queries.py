@@ -31,6 +31,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "contaminated")
 
 
+_WORDS_SQL = (r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLES["op10_decontamination"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS_SQL.format('text')}, []) AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL.format('text')} AS ws FROM benchmark),
+s AS (SELECT DISTINCT item_id, m, array_to_string(ws[i : i + m - 1], ' ') AS span
+      FROM (SELECT item_id, ws, least(13, len(ws)) AS m, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i
+            FROM b WHERE len(ws) > 0)),
+w AS (SELECT r, m, i, array_to_string(ws[i : i + m - 1], ' ') AS span
+      FROM (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM s) WHERE len(ws) >= m)),
+h AS (SELECT r, i, s.m, item_id FROM w JOIN s ON w.m = s.m AND w.span = s.span),
+p AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS pos FROM h) GROUP BY r),
+n AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM h GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN n USING (r)
+"""
+
+
 @_query
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
