@@ -44,7 +44,8 @@ STAGES = [
     ("token_output", tokens),
 ]
 
-#: Trees, MinHash and tokenizer ids have no SQL form; the stages are tested against brute force.
+#: Trees, MinHash and tokenizer ids have no SQL form; tests/llm/test_pipeline.py holds near-duplicates, decontamination
+#: and tokens against brute force, toxicity against planted texts and the mixture against its input.
 ORACLE_SQL = None
 
 
