@@ -72,7 +72,7 @@ class _Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 100_000:
+        if len(self) > 200_000:
             self.clear()
         plain = word.translate(_LEET)
         w = max(self.lexicon.get(t, 0.0) for x in {word, plain} for t in terms(x))
@@ -103,10 +103,11 @@ def features(text: str | None, weights: dict[str, float]) -> list[float]:
 
 
 def _features_udf(lexicon: dict[str, float]):
+    weights = _Weights(lexicon)              # a task's own, kept over its batches
+
     @F.arrow_udf("array<double>")
     def vectors(texts: pa.Array) -> pa.Array:
-        weights = _Weights(lexicon)
-        return pa.array([features(t, weights) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([features(t.as_py(), weights) for t in texts], pa.list_(pa.float64()))
 
     return vectors
 
