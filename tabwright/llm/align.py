@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import common, pieces
 
 LANE = 128
+_CHUNK = 2 << 20
 CACHE_PIECES = 150_000
 HEAD_PAIRS = 500_000
 _SPACE = b" "
@@ -213,7 +214,7 @@ def groups(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") ->
     @F.arrow_udf(_GROUPS)
     def grouped(texts: pa.Array) -> pa.Array:
         al, parts = aligner(path_a, path_b), []
-        for _, chunk in pieces.chunks(texts):
+        for _, chunk in pieces.chunks(texts, _CHUNK):
             ids_a, at_a, ids_b, at_b, link_a, link_b = al.batch(chunk)
             lists = [pa.ListArray.from_arrays(pa.array(np.append(0, link + 1).astype(np.int32)), pa.array(ids.astype(np.int32)))
                      for ids, link in ((ids_a, link_a), (ids_b, link_b))]
@@ -232,7 +233,7 @@ def _aligned_rows(path_a: str, path_b: str):
         names = [c.split()[0] for c in _ROW.split(", ")]
         for batch in batches:
             docs = batch.column(0)
-            for first, chunk in pieces.chunks(batch.column(1)):
+            for first, chunk in pieces.chunks(batch.column(1), _CHUNK):
                 ids_a, at_a, ids_b, at_b, link_a, link_b = al.batch(chunk)
                 keys = (ids_a[link_a].astype("<u4") << np.uint32(16)) | ids_b[link_b].astype("<u4")
                 cut = np.searchsorted(link_a, at_a).tolist()

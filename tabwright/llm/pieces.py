@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Ids of this many pieces at most are remembered, in two generations; longer pieces than ``_LONG`` bytes are not.
-CACHE_PIECES, _LONG = 200_000, 64
-CHUNK_BYTES = 2 << 20
+CACHE_PIECES, _LONG = 350_000, 64
+CHUNK_BYTES = 4 << 20
 
 _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _NEWLINE = 1, 2, 3, 4, 5, 6
 
