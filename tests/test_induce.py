@@ -115,3 +115,13 @@ def test_fields_within_the_record_equal_the_long_form(spark):
     want = induce.header_schema_fields(long).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_enums_aggregate_by_hash_not_by_sorting_rows(spark):
+    cells = spark.range(1000).select(F.col("id").alias("pos"), F.lit("c").alias("column_name"),
+                                     F.concat(F.lit(" V"), F.col("id") % 3, F.lit(" ")).alias("value"))
+    found = induce.small_enums(cells, ["column_name"])
+    assert found.collect()[0]["enum_values"] == ["V0", "V1", "V2"]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+    by_row = [line for line in plan.splitlines() if "SortAggregate" in line and "value" in line]
+    assert not by_row, by_row                    # rows as they come are combined without a sort
