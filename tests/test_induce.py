@@ -122,6 +122,23 @@ def test_enums_aggregate_by_hash_not_by_sorting_rows(spark):
                                      F.concat(F.lit(" V"), F.col("id") % 3, F.lit(" ")).alias("value"))
     found = induce.small_enums(cells, ["column_name"])
     assert found.collect()[0]["enum_values"] == ["V0", "V1", "V2"]
-    plan = found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
-    by_row = [line for line in plan.splitlines() if "SortAggregate" in line and "value" in line]
-    assert not by_row, by_row                    # rows as they come are combined without a sort
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("HashAggregate" in line and "partial_min(pos" in line for line in plan)     # rows are combined without a sort
+
+
+def test_every_column_has_its_distinct_count(spark):
+    cells = spark.range(3000).select(F.col("id").alias("pos"), F.lit("many").alias("column_name"),
+                                     F.concat(F.lit("V"), F.col("id") % 1500, F.when(F.col("id") > 1500, " ").otherwise("")).alias("value"))
+    cells = cells.unionByName(spark.createDataFrame([(1, "few", "b"), (2, "few", "a"), (0, "few", "A "), (5, "few", "-"), (6, "none", None)],
+                                                    "pos long, column_name string, value string"))
+    got = {r["column_name"]: (r["n_distinct"], r["enum_values"]) for r in
+           induce.small_enums(cells, ["column_name"], count_all=True).collect()}
+    assert got == {"many": (1500, None), "few": (2, ["A", "b"])}
+
+
+def test_column_enums_counts_columns_with_many_values(spark):
+    from tabwright import plans
+    from .conftest import SF_SMALL
+    got = {r["column_name"]: r["n_distinct"] for r in plans.QUERIES["column_enums"](spark, SF_SMALL).collect()}
+    assert got["c_name"] > 10 and got["l_shipdate"] > 10 and None not in got.values()
+    assert "n.nd <= 10 THEN n.nd" not in plans.ORACLES["column_enums"]
