@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import json_tables, unroll, validate
+from ..sources import files as SF
 from ..sources import jsonl as JL
 from . import message_queries as MQ
 from . import sqltext as S
@@ -242,7 +243,9 @@ def unroll_scores(spark, sf_dir):
                                                               F.col("table_id").alias("id"), pos, "statement")
     ids = EV.aligned_ids(gold.select("id"), pred.select("id"))
     pb, gb = EV.best_scores(pred, gold, scorer="exact")
-    ex = EV.per_example(EV.soft_prf(pb, gb), ids, ["Team"])
+    # a row per nation, stored: the categories are looked up in it before it is joined
+    prf = SF.materialize(lambda: EV.soft_prf(pb, gb), spark, SF.scratch_path(spark, "unroll-scores"), require_rows=False)
+    ex = EV.per_example(prf, ids, ["Team"])
     return ex.select("id", *[F.round(x, 6).alias(x) for x in ["precision", "recall", "f1"]])
 
 

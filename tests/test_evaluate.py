@@ -143,3 +143,14 @@ def test_error_ledger_and_the_rest_of_the_run(spark):
     ledger = EV.error_ledger(scored, ids)
     assert [tuple(r) for r in ledger.collect()] == [("1", "E: a")]
     assert [r["id"] for r in EV.without_errors(ids, ledger).collect()] == ["2"]
+
+
+def test_exact_scores_are_joined_without_a_broadcast(spark):
+    pred = spark.createDataFrame([("Team", 1, 0, "a "), ("Team", 1, 1, "b"), ("Team", 1, 2, "a"), ("Team", 1, 2, "z"), ("Team", 2, None, "c"),
+                                  ("Team", None, 3, "a")], "category string, id long, pos long, statement string")
+    gold = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (2, 0, "c")], "id long, pos long, statement string")
+    pb, gb = EV.best_scores(pred, gold, scorer="exact")
+    assert "BroadcastHashJoin" not in pb._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r["id"] or 0, -1 if r["pos"] is None else r["pos"], r["score"]) for r in pb.collect()))
+    assert got == [(0, 3, 0.0), (1, 0, 1.0), (1, 1, 0.0), (1, 2, 1.0), (1, 2, 1.0), (2, -1, 0.0)]
+    assert sorted((r["id"], r["pos"], r["score"]) for r in gb.collect()) == [(1, 0, 1.0), (1, 1, 0.0), (2, 0, 1.0)]
