@@ -249,6 +249,11 @@ def chain_stub(spark, sf_dir):
                       F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
 
 
+def records_per_file(n_records: int) -> int:
+    """Records of one arriving file: 200, or more where that would make more than 128 files."""
+    return max(200, -(-n_records // 128))
+
+
 # G7 ----------------------------------------------------------------------------------------------
 @query("streaming_append", sql=_STMT_SQL + """
 SELECT doc_id, len(kept)::BIGINT AS n_statements, md5(array_to_string(kept, chr(10))) AS statements_md5 FROM k
@@ -257,7 +262,10 @@ def streaming_append(spark, sf_dir):
     """Documents arrive as files; each micro-batch is prompted, answered and parsed."""
     root = SF.scratch_path(spark, "stream")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d.write.mode("overwrite").option("maxRecordsPerFile", 200).parquet(f"{root}/in")
+    # micro-batches hold a fixed number of files: larger tables arrive in larger files (of small row groups, which
+    # are read side by side), or the batches, each with its own start and commit, grow with the table
+    (d.write.mode("overwrite").option("maxRecordsPerFile", records_per_file(d.count()))
+     .option("parquet.block.size", 8 << 20).parquet(f"{root}/in"))
 
     def transform(src):
         p = src.select("doc_id", messages.statement_prompt(F.col("text")).alias("prompt"))

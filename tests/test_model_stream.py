@@ -85,3 +85,10 @@ def test_model_is_set_up_once_per_worker_and_errors_are_rows(spark, tmp_path):
     assert len(pids) == len(set(pids))                 # a worker built it once, whatever the number of tasks
     with pytest.raises(Exception, match="cannot read bad|first call"):
         MD.call_model(df, "p", factory, "out").collect()
+
+
+def test_arriving_files_do_not_grow_in_number_with_the_table():
+    from tabwright.plans.io_queries import records_per_file
+    assert [records_per_file(n) for n in (0, 1000, 25_600)] == [200, 200, 200]
+    for n in (25_601, 500_000, 3_000_000):
+        assert -(-n // records_per_file(n)) <= 128
