@@ -115,13 +115,12 @@ def final_schema_tables(outcomes: DataFrame, key: str) -> DataFrame:
         key, F.json_object_keys("schema_json").alias("_k"), F.from_json("schema_json", "map<string,string>").alias("_m"))
 
     def texts(entry, name):
-        found = F.try_variant_get(F.try_parse_json(entry), f"$.{name}", "array<variant>")
-        return F.when(F.size(found) > 0, F.transform(
-            F.filter(found, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string")))
+        return T.let(F.try_variant_get(entry, f"$.{name}", "array<variant>"), lambda found: F.when(F.size(found) > 0, F.transform(
+            F.filter(found, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))))
 
     def table(name):
-        entry = F.element_at("_m", name)
-        return F.struct(name.alias("name"), F.coalesce(texts(entry, "column_headers"), texts(entry, "col_headers")).alias("headers"))
+        return T.let(F.try_parse_json(F.element_at("_m", name)), lambda entry: F.struct(
+            name.alias("name"), F.coalesce(texts(entry, "column_headers"), texts(entry, "col_headers")).alias("headers")))
     return x.select(key, F.transform("_k", table).alias("tables"))
 
 
@@ -143,7 +142,10 @@ def parse_schema_outputs(df: DataFrame, key: str, raw_col: str) -> tuple[DataFra
     out = schema_outcomes(df, key, raw_col)
     explicit = out.filter(F.col("kind") == "explicit").select(key, "schema_json")
     made = induce.with_schema_fields(final_schema_tables(out, key), "tables")
-    return explicit, made.select(key, "schema_id", F.explode("fields").alias("f")).select(key, "schema_id", "f.*")
+    # an inner explode of a column adds a filter on its size, which Spark pushes through all projections down to the
+    # JSON parser with every expression written out anew
+    each = made.select(key, "schema_id", F.explode_outer("fields").alias("f")).filter(F.col("f").isNotNull())
+    return explicit, each.select(key, "schema_id", "f.*")
 
 
 SCHEMA_OBJECT = ("struct<schema_id:string,structure:string,"
