@@ -118,10 +118,10 @@ def final_schema_tables(outcomes: DataFrame, key: str) -> DataFrame:
         return T.let(F.try_variant_get(entry, f"$.{name}", "array<variant>"), lambda found: F.when(F.size(found) > 0, F.transform(
             F.filter(found, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))))
 
-    def table(name):
-        return T.let(F.try_parse_json(F.element_at("_m", name)), lambda entry: F.struct(
+    def table(entries, name):
+        return T.let(F.try_parse_json(F.element_at(entries, name)), lambda entry: F.struct(
             name.alias("name"), F.coalesce(texts(entry, "column_headers"), texts(entry, "col_headers")).alias("headers")))
-    return x.select(key, F.transform("_k", table).alias("tables"))
+    return x.select(key, T.let(F.col("_m"), lambda m: F.transform("_k", lambda name: table(m, name))).alias("tables"))
 
 
 def final_schema_headers(outcomes: DataFrame, key: str) -> DataFrame:

@@ -98,19 +98,23 @@ def render_ndjson(schema_names, table_names, rows) -> Column:
     A schema column absent from the table, beyond a short row, or null gives
     ``""``; other values are trimmed text.
     """
-    sn, tn = _c(schema_names), _c(table_names)
-
-    def line(r):
-        def pair(k):
-            # the last table column of that name wins, as a name -> index lookup built in order does
-            back = F.array_position(F.reverse(tn), k)
-            i = F.when(back == 0, F.lit(0)).otherwise(F.size(tn) - back + 1)
-            v = F.when((i == 0) | (i > F.size(r)), F.lit("")).otherwise(
-                F.coalesce(T.py_strip(F.element_at(r, i.cast("int"))), F.lit("")))
-            return F.concat(T.json_string(k), F.lit(": "), T.json_string(v))
-        return F.concat(F.lit("{"), F.array_join(F.transform(sn, pair), ", "), F.lit("}"))
-
-    return F.array_join(F.transform(_c(rows), line), "\n")
+    sn = _c(schema_names)
+
+    def place(names, k):
+        # the last table column of that name wins, as a name -> index lookup built in order does
+        back = F.array_position(names, k)
+        return F.when(back > 0, (F.size(names) - back + 1).cast("int"))
+
+    def line(r, places, heads):
+        values = F.transform(places, lambda i: F.coalesce(T.py_strip(F.try_element_at(r, i)), F.lit("")))
+        pairs = F.transform(values, lambda v, j: F.concat(F.get(heads, j), T.json_string(v)))
+        return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+    # a record's places and names are worked out once, not for each of its rows
+    places = T.let(F.reverse(_c(table_names)), lambda names: F.transform(sn, lambda k: place(names, k)))
+    heads = F.transform(sn, lambda k: F.concat(T.json_string(k), F.lit(": ")))
+    return T.let(places, lambda p: T.let(heads, lambda h: F.array_join(
+        F.transform(_c(rows), lambda r: line(r, p, h)), "\n")))
 
 
 def table_stage_rows(records: DataFrame, id_col: str = "id", text_col: str = "text",
