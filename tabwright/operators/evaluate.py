@@ -50,26 +50,24 @@ def sanity_flags(gens: DataFrame, key: str, messages_col: str = "messages",
     schema = extract.schema_from_user_turn(extract.first_user_turn(messages_col))
     df = gens.select(key, g.alias("_g"), schema["fields"].alias("_f")).filter(F.col("_g") != "")
     names = F.transform(F.coalesce(F.col("_f"), F.array()), lambda f: F.coalesce(f["name"], F.lit("")))
-    df = df.select(key, names.alias("_names"), F.coalesce(F.col("_f"), F.array()).alias("_f"),
-                   extract.ndjson_rows(F.col("_g")).alias("_v"))
-
-    def col_type(k):
-        hit = F.filter("_f", lambda f: F.coalesce(f["name"], F.lit("")) == k)
-        return F.coalesce(F.try_element_at(hit, F.lit(-1))["type"], F.lit("string"))
-
-    def line_types_ok(x):
-        def ok(k, i):
-            v = x["values"][i]
-            return v.isNull() | (v == "") | _type_ok(col_type(k), v)
-        return F.coalesce(F.forall(F.transform(x["keys"], ok), lambda b: b), F.lit(True))
-
-    key_ok = F.transform("_v", lambda x: x["is_object"] & F.coalesce(x["keys"] == F.col("_names"), F.lit(False)))
-    first_bad = F.array_min(F.transform(key_ok, lambda ok, i: F.when(~ok, i).otherwise(F.lit(1 << 30))))
-    json_ok = F.forall("_v", lambda x: x["ok"])
-    types_ok = F.forall(F.transform("_v", lambda x, i: (i >= first_bad) | line_types_ok(x)), lambda b: b)
-    return df.select(key, json_ok.alias("json_ok"),
-                     (json_ok & F.coalesce(first_bad >= F.lit(1 << 30), F.lit(True))).alias("keys_ok"),
-                     (json_ok & types_ok).alias("types_ok"))
+    # rows whose types are checked have the schema's names as keys, in order (so no name twice): types go by place
+    types = F.transform(F.coalesce(F.col("_f"), F.array()), lambda f: F.coalesce(f["type"], F.lit("string")))
+    df = df.select(key, names.alias("_names"), types.alias("_types"), extract.ndjson_rows(F.col("_g")).alias("_v"))
+
+    def line_types_ok(x, types):
+        checks = F.zip_with(x["values"], types, lambda v, t: v.isNull() | (v == "") | _type_ok(t, v))
+        return F.coalesce(F.forall(checks, lambda b: b), F.lit(True))
+
+    def verdict(rows, names, types):
+        key_ok = F.transform(rows, lambda x: x["is_object"] & F.coalesce(x["keys"] == names, F.lit(False)))
+        first = F.array_min(F.transform(key_ok, lambda ok, i: F.when(~ok, i).otherwise(F.lit(1 << 30))))
+        return T.let(first, lambda bad: F.struct(
+            F.forall(rows, lambda x: x["ok"]).alias("json"), F.coalesce(bad >= F.lit(1 << 30), F.lit(True)).alias("keys"),
+            F.forall(F.transform(rows, lambda x, i: (i >= bad) | line_types_ok(x, types)), lambda b: b).alias("types")))
+    df = df.select(key, T.let(F.col("_v"), lambda rows: T.let(F.col("_names"), lambda names: T.let(
+        F.col("_types"), lambda types: verdict(rows, names, types)))).alias("_ok"))
+    return df.select(key, F.col("_ok.json").alias("json_ok"), (F.col("_ok.json") & F.col("_ok.keys")).alias("keys_ok"),
+                     (F.col("_ok.json") & F.col("_ok.types")).alias("types_ok"))
 
 
 def sanity_report(flags: DataFrame) -> DataFrame:
@@ -89,7 +87,9 @@ def sanity_failures(flags: DataFrame, key: str, limit: int | None = None) -> Dat
         F.when(F.col("json_ok") & ~F.col("keys_ok"), F.struct(F.lit(1).alias("r"), F.lit("key_order_mismatch").alias("reason"))),
         F.when(F.col("json_ok") & ~F.col("types_ok"), F.struct(F.lit(2).alias("r"), F.lit("type_mismatch").alias("reason"))))
     x = flags.select(F.col(key).alias("sample"), F.explode(reasons).alias("f")).filter(F.col("f").isNotNull())
-    x = x.orderBy("sample", "f.r")
+    # dealt by sample first: a range sort reads its input twice (once to choose the ranges), and so reads
+    # the shuffled failures, not the generations
+    x = x.repartition("sample").orderBy("sample", "f.r")
     return (x if limit is None else x.limit(limit)).select("sample", F.col("f.reason").alias("reason"))
 
 
