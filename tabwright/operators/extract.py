@@ -1,14 +1,13 @@
 """Extraction jobs over model outputs.
 
 Whole-table jobs: a DataFrame of raw outputs in, relations out.  Line-level
-parsing is array code inside the row (X1, X2, X6) or an exploded relation
-with a window partitioned by record (X4); no step gathers more than one
-record.
+parsing is array code inside the row (X1, X2, X4, X6); no step gathers more
+than the texts of one key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -183,55 +182,62 @@ def parse_markdown_tables_long(df: DataFrame, key: str, raw_col: str, with_rejec
     adds a row of kind ``reject`` with ``reason`` for every record without a
     table, so each key is either there with tables or rejected.
 
-    Lines are exploded once; every later step is a window partitioned by
-    the record (or by record plus section / name, which the record
-    partitioning already satisfies), so the whole parse costs one shuffle
-    and no record is gathered into a single row.
+    A record's text is parsed by array code within its row, linear in its lines but for
+    two sorts of its sections, and its table lines are exploded last: no line is shuffled
+    or sorted, so a task holds texts, not the lines of all its records.  The texts of a key
+    that comes more than once are read together, line by line.
     """
-    lines = df.select(key, F.posexplode_outer(T.py_lines(F.col(raw_col))).alias("pos", "line"),
-                      F.col(raw_col).isNull().alias("absent"))
-    s = lines.withColumn("line", T.py_strip("line"))
-    by_rec = Window.partitionBy(key)
-    s = s.withColumn("start", F.min(F.when(F.startswith("line", F.lit(K.FINAL_TABLES_MARKER)), F.col("pos"))).over(by_rec))
-    inside = F.coalesce(F.col("pos") > F.col("start"), F.lit(False))
-    body = s.withColumn("is_hdr", inside & F.startswith("line", F.lit("### ")))
-    if not with_rejects:
-        body = body.filter(inside)
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("section", F.sum(F.col("is_hdr").cast("int")).over(run))
-    cells = F.filter(F.transform(F.split("line", r"\|", -1), T.py_strip), lambda x: x != "")
-    body = body.withColumn("cells", F.when(inside & ~F.col("is_hdr") & F.col("line").contains("|"), cells))
-    body = body.withColumn("has_cells", F.coalesce(F.size("cells") > 0, F.lit(False)))
-    by_sec = Window.partitionBy(key, "section")
-    body = (body.withColumn("hpos", F.min(F.when(F.col("has_cells"), F.col("pos"))).over(by_sec))
-            .withColumn("name", F.max(F.when(F.col("is_hdr"), T.py_strip(F.regexp_replace("line", "^#+", "")))).over(by_sec)))
+    texts = df.groupBy(key).agg(F.collect_list(F.struct(F.col(raw_col).alias("raw"))).alias("_raws"))
+
+    def numbered(raw):
+        return F.transform(T.py_lines(raw), lambda x, i: F.struct(i.alias("pos"), T.py_strip(x).alias("line")))
+    lines = F.when(F.size("_raws") == 1, numbered(F.get("_raws", F.lit(0))["raw"])).otherwise(
+        F.sort_array(F.flatten(F.transform("_raws", lambda r: numbered(r["raw"])))))
+    x = texts.select(key, "_raws", lines.alias("_lines"))
+    markers = F.filter("_lines", lambda x: F.startswith(x["line"], F.lit(K.FINAL_TABLES_MARKER)))
+    x = x.withColumn("_start", F.get(markers, F.lit(0))["pos"])
+    x = x.withColumn("_body", T.let(F.col("_start"), lambda start: F.filter("_lines", lambda x: x["pos"] > start)))
+
+    def filled(x):
+        cells = F.filter(F.transform(F.split(x["line"], r"\|", -1), T.py_strip), lambda c: c != "")
+        return F.struct(x["pos"].alias("pos"), cells.alias("cells"))
+
+    def section(body, at, until):
+        rows = F.filter(F.slice(body, at + 2, until - at - 1), lambda x: F.contains(x["line"], F.lit("|")))
+        name = T.py_strip(F.regexp_replace(F.get(body, at)["line"], "^#+", ""))
+        return F.struct(name.alias("name"), at.alias("at"),
+                        F.filter(F.transform(rows, filled), lambda r: F.size(r["cells"]) > 0).alias("rows"))
+
+    def sections(body):
+        heads = F.filter(F.transform(body, lambda x, i: F.when(F.startswith(x["line"], F.lit("### ")), i)), lambda i: i.isNotNull())
+        return T.let(heads, lambda h: F.transform(h, lambda at, k: section(
+            body, at, F.coalesce(F.get(h, k + 1), F.size(body)))))
+
+    def tables(found):      # by name: the place of its first section with the lines of its last
+        first = F.filter(found, lambda s, i: (i == 0) | (F.get(found, i - 1)["name"] != s["name"]))
+        last = F.filter(found, lambda s, i: (i == F.size(found) - 1) | (F.get(found, i + 1)["name"] != s["name"]))
+        return F.sort_array(F.zip_with(first, last, lambda f, t: F.struct(f["at"].alias("at"), t["name"].alias("name"), t["rows"].alias("rows"))))
+
     # a section counts when it has a non-empty name and a header line
-    usable = (F.col("section") > 0) & (F.col("name") != "") & F.col("hpos").isNotNull() & F.col("has_cells")
-    body = body.withColumn("usable", F.coalesce(usable, F.lit(False)))
+    usable = F.filter(T.let(F.col("_body"), sections), lambda s: (s["name"] != "") & (F.size(s["rows"]) > 0))
+    x = x.withColumn("_tables", T.let(F.sort_array(usable), tables))
+    parts = ("table_pos", "table_name", "kind", "row_pos", "headers", "cells", "reason")
+
+    def line_of(t, place, r, i):
+        is_head = r["pos"] == F.get(t["rows"], F.lit(0))["pos"]
+        own = [place, t["name"], F.when(is_head, "header").otherwise("row"), F.when(~is_head, i - 1), F.when(is_head, r["cells"]),
+               F.when(~is_head, F.transform(r["cells"], T.convert_cell)), F.lit(None).cast("string")]
+        return F.struct(*[c.alias(n) for c, n in zip(own, parts)])
+    out = F.flatten(F.transform("_tables", lambda t, p: F.transform(t["rows"], lambda r, i: line_of(t, p, r, i))))
     if with_rejects:
-        body = body.withColumn("n_usable", F.count_if("usable").over(by_rec))
-        reason = F.when(F.col("absent"), NO_OUTPUT).when(F.col("start").isNull(), NO_TABLES).otherwise(NO_TABLE)
-        rejects = F.coalesce(F.col("pos"), F.lit(0)) == 0
-        body = body.withColumn("reason", F.when((F.col("n_usable") == 0) & rejects, reason))
-        body = body.filter(F.col("usable") | F.col("reason").isNotNull())
-    else:
-        body = body.filter("usable").withColumn("reason", F.lit(None).cast("string"))
-    by_name = Window.partitionBy(key, "name")
-    kept = (body.withColumn("last", F.max("section").over(by_name))
-            .withColumn("first", F.min("section").over(by_name)))
-    kept = kept.filter((F.col("section") == F.col("last")) | F.col("reason").isNotNull())
-    kept = kept.withColumn("table_pos", F.dense_rank().over(Window.partitionBy(key).orderBy("first")) - 1)
-    kept = kept.withColumn("row_pos", F.row_number().over(Window.partitionBy(key, "section").orderBy("pos")) - 2)
-    rejected = F.col("reason").isNotNull()
-    is_head = F.coalesce(F.col("pos") == F.col("hpos"), F.lit(False)) & ~rejected
-    is_row = ~is_head & ~rejected
-    out = kept.select(key, F.when(~rejected, F.col("table_pos")).alias("table_pos"),
-                      F.when(~rejected, F.col("name")).alias("table_name"),
-                      F.when(rejected, "reject").when(is_head, "header").otherwise("row").alias("kind"),
-                      F.when(is_row, F.col("row_pos")).alias("row_pos"),
-                      F.when(is_head, F.col("cells")).alias("headers"),
-                      F.when(is_row, F.transform("cells", T.convert_cell)).alias("cells"), "reason")
-    return out if with_rejects else out.drop("reason")
+        def reject(r):
+            reason = F.when(r["raw"].isNull(), NO_OUTPUT).when(F.col("_start").isNull(), NO_TABLES).otherwise(NO_TABLE)
+            none = ("int", "string", "string", "int", "array<string>", f"array<{T.CELL_TYPE}>", "string")
+            own = [F.lit("reject") if n == "kind" else reason if n == "reason" else F.lit(None).cast(t) for n, t in zip(parts, none)]
+            return F.struct(*[c.alias(n) for c, n in zip(own, parts)])
+        out = F.when(F.size("_tables") > 0, out).otherwise(F.transform("_raws", reject))
+    long = x.select(key, F.explode_outer(out).alias("_l")).filter(F.col("_l").isNotNull()).select(key, "_l.*")
+    return long if with_rejects else long.drop("reason")
 
 
 def parse_markdown_tables(df: DataFrame, key: str, raw_col: str) -> tuple[DataFrame, DataFrame]:
