@@ -61,10 +61,11 @@ def named_tables(records: DataFrame, field: str = "tables", record_col: str = "r
     """
     entries = F.map_entries(_at(F.col(record_col), f"$.{field}", "map<string,variant>"))
     t = records.select("*", F.explode(entries).alias("_e"))
-    t = t.withColumns({"table_name": F.col("_e.key"), "headers": _texts(_at(F.col("_e.value"), "$.headers", _CELLS)),
-                       "rows": _rows(_at(F.col("_e.value"), "$.rows", _CELLS)),
-                       "category": T.safe_table_name(F.col("_e.key"))})
-    return _usable(t.drop("_e"))
+    # the sizes that P8 asks for are those of the lists as they stand: no cell is made text to be counted
+    t = _usable(t.withColumns({"table_name": F.col("_e.key"), "headers": _at(F.col("_e.value"), "$.headers", _CELLS),
+                               "rows": _at(F.col("_e.value"), "$.rows", _CELLS)}))
+    return t.withColumns({"headers": _texts(F.col("headers")), "rows": _rows(F.col("rows")),
+                          "category": T.safe_table_name("table_name")}).drop("_e")
 
 
 def table_names(records: DataFrame, field: str = "tables", record_col: str = "record") -> DataFrame:

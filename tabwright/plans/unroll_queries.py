@@ -260,12 +260,13 @@ def _json_records(spark, sf_dir, named: bool):
     return flag of open lines is null.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.struct(
-            "l_linenumber", "l_quantity", F.when(F.col("l_linestatus") != "O", F.col("l_returnflag")).alias("l_returnflag")).alias("x"))
-    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    cells = F.transform("x", lambda r: F.concat(
-        F.lit("["), F.array_join(F.array(*[F.coalesce(F.to_json(F.array(r[c])), F.lit("[null]")) for c in JSON_COLS]), ","), F.lit("]")))
-    data = F.concat(F.lit("["), F.array_join(F.transform(cells, lambda c: F.regexp_replace(c, r"\[([^\[\]]*)\](?=[,\]])", "$1")), ","), F.lit("]"))
+        "l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_linestatus") != "O", F.col("l_returnflag")).alias("l_returnflag"))
+    cells = F.concat(
+        F.lit("["), F.array_join(F.array(*[F.coalesce(F.to_json(F.array(c)), F.lit("[null]")) for c in JSON_COLS]), ","), F.lit("]"))
+    # a row's text is made before rows are gathered, and follows from the columns that order them
+    text = F.regexp_replace(cells, r"\[([^\[\]]*)\](?=[,\]])", "$1").alias("text")
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", text))).alias("x"))
+    data = F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["text"]), ","), F.lit("]"))
     o = table(spark, sf_dir, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
     data = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("[]")).otherwise(data)
     names = ", ".join(f'{{"name": "{c}"}}' for c in JSON_COLS) if not named else ", ".join(f'"{c}"' for c in JSON_COLS)

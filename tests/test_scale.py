@@ -78,3 +78,13 @@ def test_json_line_verdicts(spark):
     assert got[2] is None and got[3] == []
     assert got[4] == [(True, True, ["n", "s"], ["{'x': [1, 'é']}", ""]), (True, True, [], []), (True, False, None, None),
                       (False, False, None, None)]
+
+
+def test_table_names_make_no_cell_text(spark):
+    from tabwright.operators import json_tables
+    lines = ['{"tables": {"A": {"headers": ["x"], "rows": [[1]]}, "B": {"headers": [], "rows": [[1]]}, "C": 3}}',
+             '{"tables": {"D": {"headers": ["x"], "rows": []}, "E": {"headers": [null], "rows": [null]}}}', '{"tables": null}', "{}"]
+    rec = spark.createDataFrame([(x,) for x in lines], "line string").select(F.parse_json("line").alias("record"))
+    names = json_tables.table_names(rec)
+    assert "schema_of_variant" not in _plan(names).lower() and "schemaOfVariant" not in _plan(names)
+    assert [r["table_name"] for r in names.collect()] == ["A", "E"]
