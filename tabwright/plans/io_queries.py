@@ -305,10 +305,8 @@ def statement_dir_categories(spark, sf_dir):
     """One file per (role, conversation) under a root and with ids that file URLs and partitions escape."""
     root = SF.scratch_path(spark, "statements")
     root = f"{root}/a root + 100%"
-    files = _turn_files(spark, sf_dir).withColumnsRenamed({"category": "folder", "text": "value"})
-    files = files.withColumn("id", F.concat(F.lit("n/é +%"), F.col("id")))
-    files.filter("folder is not null").write.partitionBy("folder", "id").text(root)
-    files.filter("folder is null").drop("folder").write.mode("append").partitionBy("id").text(root)
+    files = _turn_files(spark, sf_dir).withColumn("id", F.concat(F.lit("n/é +%"), F.col("id")))
+    SF.write_statement_files(files, root, "category")
     d = extract.with_numbered_statements(SF.read_statement_dir(spark, root), "text", "st")
     return d.select("category", "id", F.size("st").cast("bigint").alias("n_statements"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..session import ensure_checkpoint_dir
+from .jsonl import _fs_and_path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,6 +68,63 @@ def count_files(statements: DataFrame) -> DataFrame:
     return statements.groupBy("category").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
 
 
+#: What partition folders escape, and how they name a missing or empty value.
+_ESCAPED = {c: f"%{c:02X}" for c in [*range(0x01, 0x20), *map(ord, "\"#%'*/:=?\\{[]^"), 0x7F]}
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_statement_files(df: DataFrame, path: str, folder_col: str = "folder", id_col: str = "id",
+                          text_col: str = "text") -> None:
+    """S15 as files: ``<path>/folder=<folder>/id=<id>/part-*.txt``, one per (folder, id); a null folder is the root.
+
+    The layout and escapes are those of ``partitionBy(folder, id).text(...)``, and so is a
+    file's text: each row and a line break.  That writer is not used as it commits each
+    file from the driver and, on a local disk, starts processes to set the modes of each
+    new file and folder; here a task renames its own files to names that its retries share.
+    """
+    fs, base = _fs_and_path(path.rstrip("/"))
+    fs.create_dir(base, recursive=True)
+    token = uuid.uuid4().hex[:8]
+    spark = df.sparkSession
+    folder, ident = F.col(folder_col), F.col(id_col).cast("string")
+    x = df.select(F.when(folder == "", F.lit(_NO_VALUE)).otherwise(folder).alias("folder"),
+                  F.when(ident != "", ident).otherwise(F.lit(_NO_VALUE)).alias("id"),
+                  F.col(text_col).cast("binary").alias("text"))
+    # the number is given, so that few bytes in many files are not coalesced into few tasks
+    x = x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", "id").sortWithinPartitions("folder", "id")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        final = f"part-{ctx.partitionId():05d}-{token}.txt"
+        tmp = f".{final}-{ctx.attemptNumber()}-{uuid.uuid4().hex[:6]}"
+        n, key, out, at = 0, None, None, base
+
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(f"{at}/{tmp}", f"{at}/{final}")
+
+        for batch in batches:
+            for folder, ident, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None or key != (folder, ident):
+                    close()
+                    key, n = (folder, ident), n + 1
+                    named = ([] if folder is None else [("folder", folder)]) + [("id", ident)]
+                    at = "/".join([base, *(f"{k}={v.translate(_ESCAPED)}" for k, v in named)])
+                    fs.create_dir(at, recursive=True)
+                    out = fs.open_output_stream(f"{at}/{tmp}", compression=None)
+                out.write((text or b"") + b"\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    x.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    with fs.open_output_stream(f"{base}/_SUCCESS"):
+        pass
+
+
 def write_statement_dir(df: DataFrame, path: str, category_col: str = "category", id_col: str = "id",
                         text_col: str = "text") -> None:
     """Statement texts per (category, id) as JSON rows ``(id, text)``; a null category is the root.
@@ -91,11 +149,12 @@ def read_statement_rows(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _categories(x: DataFrame) -> DataFrame:
-    subs = x.filter(F.col("folder") != "").withColumn("category", T.category_display_name("folder"))
-    team = subs.filter(F.col("category") == "Team").select("category").distinct()
-    roots = x.filter(F.col("folder") == "").withColumn("category", F.lit("Team"))
-    roots = roots.join(team, "category", "left_anti")
-    return subs.unionByName(roots)
+    """Display names; root rows form ``Team`` unless a folder does.  ``x`` is read twice: for its rows, and for one
+    row of such a folder, which is broadcast (rows of one category are never dealt to one task)."""
+    root = F.col("folder") == ""
+    named = x.withColumn("category", F.when(root, F.lit("Team")).otherwise(T.category_display_name("folder")))
+    team = named.filter(~root & (F.col("category") == "Team")).select(F.col("category").alias("_team")).limit(1)
+    return named.join(F.broadcast(team), root & (F.col("category") == F.col("_team")), "left_anti")
 
 
 #: What Spark says of a path without rows: missing, without Parquet files, or with files that are none.

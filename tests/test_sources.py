@@ -225,3 +225,30 @@ def test_parquet_rows_of_missing_and_broken_paths(spark):
     assert SF.parquet_rows(spark, f"{d}/junk") == 0
     spark.range(3).write.parquet(f"{d}/ok")
     assert SF.parquet_rows(spark, f"{d}/ok") == 3
+
+
+def test_statement_files_are_laid_out_as_sparks_writer_does_and_written_by_many_tasks(spark):
+    import glob
+    odd = ["n/é +%1", "a=b:c", "q\"'#*?\\{[]^\x7f\t", "", None, " x.y "]
+    rows = [(f, i, f"{f}-{i}") for f in (None, "assistant", "sys/tem 100%", "") for i in odd]
+    rows += [("assistant", str(k), f"Statements:\n1. s{k}\n") for k in range(200)] + [("assistant", "0", None)]
+    df = spark.createDataFrame(rows, "folder string, id string, text string").coalesce(1)
+    d = _dir() + "/a root + 100%"
+    SF.write_statement_files(df, f"{d}/new")
+    plain = df.withColumnRenamed("text", "value")
+    plain.filter("folder is not null").write.partitionBy("folder", "id").text(f"{d}/old")
+    plain.filter("folder is null").drop("folder").write.mode("append").partitionBy("id").text(f"{d}/old")
+
+    def files(root):
+        out = {}
+        for p in glob.glob(f"{root}/**/*.txt", recursive=True):
+            with open(p, newline="") as f:
+                out.setdefault(os.path.dirname(p)[len(root):], []).extend(sorted(f.read().split("\n")))
+        return out
+    assert files(f"{d}/new") == files(f"{d}/old")
+    found = glob.glob(f"{d}/new/**/*", recursive=True, include_hidden=True)
+    names = [os.path.basename(p) for p in found if os.path.isfile(p)]
+    assert len(names) == len(files(f"{d}/new")) + 1 and "_SUCCESS" in names       # one file each, nothing temporary
+    assert len({n.split("-")[1] for n in names if n != "_SUCCESS"}) > 4           # few bytes, yet not one task
+    key = lambda root: sorted(map(str, SF.read_statement_dir(spark, root).select("category", "id").distinct().collect()))
+    assert key(f"{d}/new") == key(f"{d}/old")
