@@ -74,8 +74,9 @@ _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_statement_files(df: DataFrame, path: str, folder_col: str = "folder", id_col: str = "id",
-                          text_col: str = "text") -> None:
+                          text_col: str = "text", order_col: str | None = None) -> None:
     """S15 as files: ``<path>/folder=<folder>/id=<id>/part-*.txt``, one per (folder, id); a null folder is the root.
+    Rows of one file follow ``order_col``, nulls last.
 
     The layout and escapes are those of ``partitionBy(folder, id).text(...)``, and so is a
     file's text: each row and a line break.  That writer is not used as it commits each
@@ -89,9 +90,11 @@ def write_statement_files(df: DataFrame, path: str, folder_col: str = "folder",
     folder, ident = F.col(folder_col), F.col(id_col).cast("string")
     x = df.select(F.when(folder == "", F.lit(_NO_VALUE)).otherwise(folder).alias("folder"),
                   F.when(ident != "", ident).otherwise(F.lit(_NO_VALUE)).alias("id"),
-                  F.col(text_col).cast("binary").alias("text"))
+                  F.col(text_col).cast("binary").alias("text"),
+                  (F.col(order_col) if order_col else F.lit(0)).alias("order"))
     # the number is given, so that few bytes in many files are not coalesced into few tasks
-    x = x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", "id").sortWithinPartitions("folder", "id")
+    x = x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", "id")
+    x = x.sortWithinPartitions("folder", "id", F.col("order").asc_nulls_last()).drop("order")
 
     def write(batches):
         import pyarrow as pa

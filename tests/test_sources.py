@@ -252,3 +252,12 @@ def test_statement_files_are_laid_out_as_sparks_writer_does_and_written_by_many_
     assert len({n.split("-")[1] for n in names if n != "_SUCCESS"}) > 4           # few bytes, yet not one task
     key = lambda root: sorted(map(str, SF.read_statement_dir(spark, root).select("category", "id").distinct().collect()))
     assert key(f"{d}/new") == key(f"{d}/old")
+
+
+def test_rows_of_one_statement_file_follow_their_order(spark):
+    d = _dir() + "/files"
+    rows = spark.createDataFrame([(None, "1", "b", None), (None, "1", "a", "user"), ("x", "1", "c", None)],
+                                 "folder string, id string, text string, role string")
+    SF.write_statement_files(rows, d, order_col="role")
+    got = sorted((r["folder"], r["id"], r["text"]) for r in SF.read_statement_dir(spark, d).collect())
+    assert got == [("", "1", "a\nb\n"), ("x", "1", "c\n")]
