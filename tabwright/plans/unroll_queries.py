@@ -63,8 +63,9 @@ def _named_tables(spark, sf_dir):
         "l_orderkey", *MQ.LINE_ORDER, F.array(*[F.col(c).cast("string") for c in LINE_COLS]).alias("row"))
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*MQ.LINE_ORDER)
-    lrows = li.select(F.col("l_orderkey").alias("id"), F.lit(LINES_TABLE).alias("table_name"),
-                      (F.row_number().over(w) - 1).cast("bigint").alias("row_pos"),
+    # cells are made behind the window, so that its shuffle and sort hold plain text
+    li = li.withColumn("row_pos", (F.row_number().over(w) - 1).cast("bigint"))
+    lrows = li.select(F.col("l_orderkey").alias("id"), F.lit(LINES_TABLE).alias("table_name"), "row_pos",
                       F.transform("row", T.convert_cell).alias("cells"))
     o = table(spark, sf_dir, "orders")
     orows = o.select(F.col("o_orderkey").alias("id"), F.lit(ORDER_TABLE).alias("table_name"),

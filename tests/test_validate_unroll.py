@@ -73,3 +73,17 @@ def test_table_format_and_names(spark):
 def test_split_statements(spark):
     df = spark.createDataFrame([("One. Two!  Three?\nOne.\n\nfour e.g.x",)], "t string")
     assert df.select(unroll.split_statements("t").alias("s")).first()["s"] == ["One.", "Two!", "Three?", "four e.g.x"]
+
+
+def test_named_tables_make_their_names_before_cells_are_exploded(spark):
+    cell = lambda v: ("str", v, None)
+    tables = spark.createDataFrame([("1", "Line Items", ["k", "v"]), ("1", "team", ["a"]), ("2", "Line Items", [])],
+                                   "id string, table_name string, headers array<string>")
+    rows = spark.createDataFrame([("1", "Line Items", 0, [cell("x"), cell("1")]), ("1", "Line Items", 1, [cell("y"), None]),
+                                  ("1", "team", 0, [cell("z")]), ("2", "Line Items", 0, [cell("w")])],
+                                 "id string, table_name string, row_pos long, cells array<struct<kind:string,s:string,i:bigint>>")
+    out = unroll.unroll_named_tables(tables, rows)
+    got = sorted((r["id"], r["category"], r["display_name"], r["statement"]) for r in out.collect())
+    assert got == [("1", "line_items", "Line Items", "The v of x is 1.")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "initcap" in plan[plan.index("Generate"):] and "initcap" not in plan[:plan.index("Generate")]
